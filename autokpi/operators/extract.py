@@ -15,19 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def as_of_column(df: DataFrame, ts: str, as_of=None) -> tuple[DataFrame, Column]:
-    """Return ``(df', as_of column)``.
+def as_of_column(df: DataFrame, ts: str, as_of=None) -> Column:
+    """The reference instant as a column.
 
     A literal ``as_of`` stays a literal (pushed to the scan).  ``None`` means
-    the newest value of ``ts`` in the data: a one-row aggregate cross-joined as
-    a broadcast (size bound: one row).
+    the newest value of ``ts`` in the data: a scalar subquery (one partial +
+    final ``max``, evaluated once, then used as a constant).
     """
     if as_of is None:
-        mx = df.agg(F.max(ts).alias("__as_of"))
-        return df.crossJoin(F.broadcast(mx)), F.col("__as_of")
+        return df.agg(F.max(ts)).scalar()
     if isinstance(as_of, str):
         as_of = _dt.datetime.fromisoformat(as_of)
-    return df, F.lit(as_of)
+    return F.lit(as_of)
 
 
 def daily_totals(df: DataFrame, amount: str, date: str, label: str,
@@ -39,7 +38,7 @@ def daily_totals(df: DataFrame, amount: str, date: str, label: str,
     src = df.select(F.col(date).alias("__d"), F.col(amount).try_cast("double").alias("__v"))
     src = src.filter(F.col("__d").isNotNull())
     if days is not None:
-        src, ref = as_of_column(src, "__d", as_of)
+        ref = as_of_column(src, "__d", as_of)
         src = src.filter(F.col("__d") > ref - F.expr(f"INTERVAL {int(days)} DAYS"))
     return (src.groupBy(F.to_date("__d").alias("date"))
             .agg(F.sum("__v").alias("value"))
