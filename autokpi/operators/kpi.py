@@ -29,7 +29,7 @@ def _z_status(z: Column, critical: float, warning: float) -> Column:
 
 def kpi_metrics(frame: DataFrame, latest_only: bool = True, daily: bool = True,
                 critical_z: float = 2.5, warning_z: float = 1.5,
-                min_weekday_rows: int = 4) -> DataFrame:
+                min_weekday_rows: int = 4, keys: list[str] | None = None) -> DataFrame:
     """Day-over-day, week-over-week, 7-row average, weekday-aware z-score.
 
     Per KPI ordered by date (then ``source_row_id`` when ``daily=False``);
@@ -40,19 +40,26 @@ def kpi_metrics(frame: DataFrame, latest_only: bool = True, daily: bool = True,
     them, else of all history; ``z`` = |today - mean| / std (0 when std is 0 or
     null).  ``latest_only`` keeps the newest row of each KPI with >= 2 rows.
 
-    Columns: kpi_name, recorded_at, value, dod_pct, wow_pct, avg_7d, z_score,
+    ``keys`` (default ``["kpi_name"]``) names the series, e.g. per tenant
+    ``["department_id", "kpi_name"]``.
+
+    Columns: keys, recorded_at, value, dod_pct, wow_pct, avg_7d, z_score,
     baseline_mean, baseline, status (numbers rounded to 2).
     """
+    keys = keys or ["kpi_name"]
+    ok = F.col("date").isNotNull() & F.col("value").isNotNull()
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
     if daily:
-        base = daily_frame(frame).withColumn("__tie", F.lit(0))
+        base = (frame.filter(ok).groupBy(*keys, F.to_date("date").alias("date"))
+                .agg(F.sum("value").alias("value")).withColumn("__tie", F.lit(0)))
     else:
-        base = (frame.filter(F.col("date").isNotNull() & F.col("value").isNotNull() & F.col("kpi_name").isNotNull())
-                .select("kpi_name", "date", "value", F.col("source_row_id").alias("__tie")))
+        base = frame.filter(ok).select(*keys, "date", "value", F.col("source_row_id").alias("__tie"))
     base = base.withColumn("__wd", F.weekday("date"))
-    w = Window.partitionBy("kpi_name").orderBy("date", "__tie")
+    w = Window.partitionBy(*keys).orderBy("date", "__tie")
     hist = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("kpi_name")
-    wd = Window.partitionBy("kpi_name", "__wd").orderBy("date", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    wd = Window.partitionBy(*keys, "__wd").orderBy("date", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     v = F.col("value")
     m = (base
          .withColumn("__rn", F.row_number().over(w))
@@ -77,7 +84,7 @@ def kpi_metrics(frame: DataFrame, latest_only: bool = True, daily: bool = True,
     dod = F.when(prev != 0, (v - prev) / prev * 100).otherwise(F.lit(0.0))
     wow = F.when(wbase != 0, (v - wbase) / wbase * 100).otherwise(F.lit(0.0))
     out = m.select(
-        "kpi_name",
+        *keys,
         F.to_date("date").alias("recorded_at"),
         F.round(v, 2).alias("value"),
         F.round(dod, 2).alias("dod_pct"),
@@ -105,8 +112,9 @@ def anomalies(metrics: DataFrame) -> DataFrame:
         F.concat(F.lit("Value "), val, F.lit(" is exceptionally far from the "), base_txt, F.lit(" of "), mean),
     ).otherwise(
         F.concat(F.lit("Value "), val, F.lit(" is notable compared to the "), base_txt, F.lit(" of "), mean))
+    keys = [c for c in metrics.columns if c in ("department_id", "user_id")]
     return (metrics.filter(F.col("status") != "NORMAL")
-            .select("kpi_name", "recorded_at", F.col("status").alias("severity"),
+            .select(*keys, "kpi_name", "recorded_at", F.col("status").alias("severity"),
                     F.col("z_score").alias("deviation"), "baseline", reason.alias("reason")))
 
 

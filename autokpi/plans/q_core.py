@@ -10,67 +10,47 @@ from autokpi.plans.registry import register
 from autokpi.sinks import tables as sinks
 
 
-def w1_sql(src: str, latest_only: bool = True) -> str:
-    """Oracle text for W1 over a daily CTE ``src(kpi_name, date DATE, value)``."""
+def w1_parts(src: str, latest_only: bool = True, keys=("kpi_name",)) -> tuple[list[tuple[str, str]], str]:
+    """Oracle text for W1 over a daily CTE ``src(keys..., date DATE, value)``:
+    (CTEs, final SELECT)."""
+    k = ", ".join(keys)
     last = "AND rn = n" if latest_only else ""
-    return f"""
-m AS (
-  SELECT kpi_name, date, value,
-    row_number() OVER (PARTITION BY kpi_name ORDER BY date) AS rn,
-    count(*) OVER (PARTITION BY kpi_name) AS n,
-    lag(value, 1) OVER (PARTITION BY kpi_name ORDER BY date) AS prev,
-    lag(value, 7) OVER (PARTITION BY kpi_name ORDER BY date) AS lag7,
-    first_value(value) OVER (PARTITION BY kpi_name ORDER BY date) AS first_v,
-    avg(value) OVER (PARTITION BY kpi_name ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS avg7,
-    avg(value) OVER (PARTITION BY kpi_name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean_all,
-    stddev_samp(value) OVER (PARTITION BY kpi_name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS std_all,
-    count(value) OVER (PARTITION BY kpi_name, isodow(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cnt_wd,
-    avg(value) OVER (PARTITION BY kpi_name, isodow(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean_wd,
-    stddev_samp(value) OVER (PARTITION BY kpi_name, isodow(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS std_wd
-  FROM {src}),
-b AS (
-  SELECT *, CASE WHEN cnt_wd >= 4 THEN mean_wd ELSE mean_all END AS mean_b,
-            CASE WHEN cnt_wd >= 4 THEN std_wd ELSE std_all END AS std_b,
-            coalesce(lag7, first_v) AS wbase
-  FROM m WHERE rn >= 2 {last}),
-z AS (
-  SELECT *, CASE WHEN std_b > 0 THEN abs(value - mean_b) / std_b ELSE 0.0 END AS z FROM b)
-SELECT kpi_name, date AS recorded_at, round(value, 2) AS value,
+    w = f"PARTITION BY {k} ORDER BY date"
+    wd = f"PARTITION BY {k}, isodow(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    hist = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    m = f"""SELECT {k}, date, value,
+    row_number() OVER ({w}) AS rn, count(*) OVER (PARTITION BY {k}) AS n,
+    lag(value, 1) OVER ({w}) AS prev, lag(value, 7) OVER ({w}) AS lag7,
+    first_value(value) OVER ({w}) AS first_v,
+    avg(value) OVER ({w} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS avg7,
+    avg(value) OVER ({hist}) AS mean_all, stddev_samp(value) OVER ({hist}) AS std_all,
+    count(value) OVER ({wd}) AS cnt_wd, avg(value) OVER ({wd}) AS mean_wd, stddev_samp(value) OVER ({wd}) AS std_wd
+  FROM {src}"""
+    b = f"""SELECT *, CASE WHEN cnt_wd >= 4 THEN mean_wd ELSE mean_all END AS mean_b,
+            CASE WHEN cnt_wd >= 4 THEN std_wd ELSE std_all END AS std_b, coalesce(lag7, first_v) AS wbase
+  FROM m WHERE rn >= 2 {last}"""
+    z = "SELECT *, CASE WHEN std_b > 0 THEN abs(value - mean_b) / std_b ELSE 0.0 END AS z FROM b"
+    final = f"""SELECT {k}, date AS recorded_at, round(value, 2) AS value,
   round(CASE WHEN prev <> 0 THEN (value - prev) / prev * 100 ELSE 0.0 END, 2) AS dod_pct,
   round(CASE WHEN wbase <> 0 THEN (value - wbase) / wbase * 100 ELSE 0.0 END, 2) AS wow_pct,
   round(avg7, 2) AS avg_7d, round(z, 2) AS z_score, round(mean_b, 2) AS baseline_mean,
   CASE WHEN cnt_wd >= 4 THEN 'same_weekday' ELSE 'all_history' END AS baseline,
   CASE WHEN z > 2.5 THEN 'CRITICAL' WHEN z > 1.5 THEN 'WARNING' ELSE 'NORMAL' END AS status
 FROM z"""
+    return [("m", m), ("b", b), ("z", z)], final
 
 
 def _w1_oracle(src_sql: str, latest_only: bool = True) -> str:
-    body = w1_sql("d", latest_only)
-    head, sel = body.rsplit("SELECT kpi_name, date AS recorded_at", 1)
-    return with_fixtures("SELECT kpi_name, date AS recorded_at" + sel, ("d", src_sql),
-                         *_split_ctes(head))
-
-
-def _split_ctes(text: str) -> list[tuple[str, str]]:
-    """Split ``a AS (...), b AS (...)`` into pairs (balanced parentheses)."""
-    out, i, s = [], 0, text.strip().rstrip(",")
-    while i < len(s):
-        j = s.index(" AS (", i)
-        name = s[i:j].strip().lstrip(",").strip()
-        depth, k = 0, j + 4
-        while True:
-            if s[k] == "(":
-                depth += 1
-            elif s[k] == ")":
-                depth -= 1
-                if depth == 0:
-                    break
-            k += 1
-        out.append((name, s[j + 5:k]))
-        i = k + 1
-        while i < len(s) and s[i] in ", \n":
-            i += 1
-    return out
+    ctes, final = w1_parts("d", latest_only)
+    return with_fixtures(final, ("d", src_sql), *ctes)
+
+
+W2_SELECT = """SELECT {keys}recorded_at, status AS severity, z_score AS deviation, baseline,
+  'Value ' || printf('%.2f', value) || CASE WHEN status = 'CRITICAL' THEN ' is exceptionally far from the '
+    ELSE ' is notable compared to the ' END ||
+  CASE WHEN baseline = 'same_weekday' THEN 'same-weekday average' ELSE 'historical average' END ||
+  ' of ' || printf('%.2f', baseline_mean) AS reason
+FROM metrics WHERE status <> 'NORMAL'"""
 
 
 DAILY_EVENTS = ("SELECT kpi_name, CAST(date AS DATE) AS date, SUM(value) AS value FROM fx_frame "
@@ -99,17 +79,8 @@ def q_w1_orders(spark, sf):
 
 
 def _w2_oracle(src_sql: str, latest_only: bool) -> str:
-    body = w1_sql("d", latest_only)
-    head, sel = body.rsplit("SELECT kpi_name, date AS recorded_at", 1)
-    metrics = "SELECT kpi_name, date AS recorded_at" + sel
-    final = """
-SELECT kpi_name, recorded_at, status AS severity, z_score AS deviation, baseline,
-  'Value ' || printf('%.2f', value) || CASE WHEN status = 'CRITICAL' THEN ' is exceptionally far from the '
-    ELSE ' is notable compared to the ' END ||
-  CASE WHEN baseline = 'same_weekday' THEN 'same-weekday average' ELSE 'historical average' END ||
-  ' of ' || printf('%.2f', baseline_mean) AS reason
-FROM metrics WHERE status <> 'NORMAL'"""
-    return with_fixtures(final, ("d", src_sql), *_split_ctes(head), ("metrics", metrics))
+    ctes, final = w1_parts("d", latest_only)
+    return with_fixtures(W2_SELECT.format(keys="kpi_name, "), ("d", src_sql), *ctes, ("metrics", final))
 
 
 @register("w2_anomalies_orders", _w2_oracle(DAILY_ORDERS, latest_only=False))
