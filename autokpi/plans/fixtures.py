@@ -81,6 +81,24 @@ SELECT '{"department":"' || r_name || '","report_date":"2024-01-30","kpis":[{"kp
 FROM region""",
 }
 
+# Derived tables shaped like the reference's demo social-insurance schema, built
+# from the driver tables so that every discovery rule meets real data.
+DEMO_SQL: dict[str, str] = {
+    "contributions": """
+SELECT o_orderkey AS id, o_custkey AS employer_id, o_totalprice AS amount, o_orderdate AS paid_at, o_orderstatus AS status
+FROM orders""",
+    "payments": """
+SELECT l_orderkey AS id, l_linenumber AS line_no, l_extendedprice AS amount, l_shipdate AS payment_date FROM lineitem""",
+    "claims": """
+SELECT event_id AS id, user_id AS beneficiary_id, event_type AS claim_type, ts AS created_at FROM events""",
+    "beneficiaries": """
+SELECT c_custkey AS id, c_name AS full_name, c_mktsegment AS segment, c_nationkey AS region_code FROM customer""",
+    "pensions": """
+SELECT o_orderkey AS id, o_custkey AS beneficiary_id, o_totalprice AS monthly_amount, o_orderdate AS paid_on
+FROM orders WHERE o_orderstatus = 'F'""",
+}
+FIXTURE_SQL.update(DEMO_SQL)
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
