@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every query module (each registers on import)."""
-    from autokpi.plans import q_core, q_quality, q_analyses, q_rollups, q_discover, q_misc  # noqa: F401
+    from autokpi.plans import q_core, q_quality, q_analyses, q_rollups, q_discover, q_misc, q_sources  # noqa: F401
