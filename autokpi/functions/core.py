@@ -32,8 +32,13 @@ def lenient_date(col, dtype: DataType | None = None) -> Column:
 
 
 def round_half_up(col, digits: int = 2) -> Column:
-    """``round`` in Spark is HALF_UP, as is DuckDB's."""
-    return F.round(_c(col), digits)
+    """Round a double half away from zero at ``digits`` decimals, on the
+    binary value: ``round(x * 10^d) / 10^d`` (the scaled product rounds to
+    the nearest double first).  This is how DuckDB rounds doubles; Spark's own
+    ``round`` would round the shortest decimal text instead (41/40 = 1.025
+    -> 1.03 there, 1.02 here and in the reference's Python)."""
+    scale = float(10 ** digits)
+    return F.round(_c(col).cast("double") * F.lit(scale), 0) / F.lit(scale)
 
 
 def title_label(col) -> Column:
@@ -48,4 +53,4 @@ def display_label(col) -> Column:
 
 def fmt2(col) -> Column:
     """``{x:.2f}`` text.  Rounded first so Java and C formatters agree on ties."""
-    return F.format_string("%.2f", F.round(_c(col), 2))
+    return F.format_string("%.2f", round_half_up(col, 2))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from autokpi.functions.core import round_half_up
 from pyspark.sql import types as T
 
 
@@ -138,7 +140,7 @@ def liability_forecast(df: DataFrame, amount: str, date: str, by: list[str] | No
     g = g.withColumn("growth_yoy", growth)
     fc = g.select(*by, "growth_yoy", "__avg", "__last", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("__i"))
     fc = fc.select(*by, F.lit("forecast").alias("kind"), F.add_months("__last", F.col("__i")).alias("bucket"),
-                   F.round(F.col("__avg") * F.pow(1 + F.col("growth_yoy"), F.col("__i") / 12.0), 2).alias("total"),
+                   round_half_up(F.col("__avg") * F.pow(1 + F.col("growth_yoy"), F.col("__i") / 12.0), 2).alias("total"),
                    "growth_yoy")
     hist = m.filter(F.col("__rn") <= 24).join(g.select(*by, "growth_yoy"), by, "inner") if by else \
         m.filter(F.col("__rn") <= 24).withColumn("growth_yoy", g.select("growth_yoy").scalar())

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
 from autokpi.operators import analyses
 from autokpi.sources import catalog as cat
 
@@ -226,7 +227,7 @@ def analyse_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, r
         try:
             summ = summarise(run_analysis(tables, sp), sp["kind"], as_of)
             parts.append(summ.select(F.lit(sp["seq"]).alias("seq"), F.lit(name).alias("kpi_name"),
-                                     F.round("value", 2).alias("value"), "status",
+                                     round_half_up("value", 2).alias("value"), "status",
                                      F.lit(day).cast("date").alias("recorded_at")))
         except Exception as exc:  # noqa: BLE001 — reported per analysis, like the reference
             parts.append(spark.createDataFrame([(sp["seq"], name, None, f"FAILED: {type(exc).__name__}", day)],

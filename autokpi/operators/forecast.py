@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
 from autokpi.operators.kpi import daily_frame
 
 Z80 = 1.2816
@@ -50,9 +51,9 @@ def forecast(frame: DataFrame, horizon: int = 7, min_rows: int = 10, z: float =
     t = F.datediff("forecast_date", "__d0").cast("double")
     yhat = F.col("__a") + F.col("__b") * t + F.coalesce(F.col("__eff"), F.lit(0.0))
     return steps.select("kpi_name", "forecast_date",
-                        F.round(yhat, 2).alias("predicted_value"),
-                        F.round(yhat - z * F.col("__sd"), 2).alias("lower_bound"),
-                        F.round(yhat + z * F.col("__sd"), 2).alias("upper_bound"))
+                        round_half_up(yhat, 2).alias("predicted_value"),
+                        round_half_up(yhat - z * F.col("__sd"), 2).alias("lower_bound"),
+                        round_half_up(yhat + z * F.col("__sd"), 2).alias("upper_bound"))
 
 
 def forecast_wide(fc: DataFrame, kpi_names: list[str] | None = None) -> DataFrame:

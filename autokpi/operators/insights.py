@@ -12,14 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autokpi.functions.core import title_label
+from autokpi.functions.core import round_half_up, title_label
 from autokpi.operators.kpi import daily_frame
 
 INSIGHT_COLUMNS = ["type", "kpi", "severity", "title", "explanation", "value"]
 
 
 def _fmt1(c: Column) -> Column:
-    return F.format_string("%.1f", F.round(c, 1))
+    return F.format_string("%.1f", round_half_up(c, 1))
 
 
 def trend_shift(frame: DataFrame, min_rows: int = 7, report: float = 0.15, warn: float = 0.30,
@@ -49,7 +49,7 @@ def trend_shift(frame: DataFrame, min_rows: int = 7, report: float = 0.15, warn:
     return g.select(F.lit("trend_shift").alias("type"), F.col("kpi_name").alias("kpi"),
                     F.when(big, "warning").otherwise("info").alias("severity"),
                     F.concat(F.lit("Trend shift detected in "), title_label("kpi_name")).alias("title"),
-                    expl.alias("explanation"), F.round("__c", 4).alias("value"))
+                    expl.alias("explanation"), round_half_up("__c", 4).alias("value"))
 
 
 def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.75,
@@ -85,13 +85,13 @@ def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.7
     if report_only:
         long = long.filter(F.abs("r") > threshold)
     expl = F.concat(F.lit("These two metrics move together with a correlation of "),
-                    F.format_string("%.2f", F.round("r", 2)), F.lit(". "),
+                    F.format_string("%.2f", round_half_up("r", 2)), F.lit(". "),
                     F.when(F.col("r") > 0, F.lit("They likely share a common driver."))
                     .otherwise(F.lit("They move inversely — a rise in one predicts a fall in the other.")))
     return long.select(F.lit("correlation").alias("type"), F.concat_ws(" ↔ ", "k1", "k2").alias("kpi"),
                        F.lit("info").alias("severity"),
                        F.concat(F.lit("Strong correlation: "), title_label("k1"), F.lit(" & "), title_label("k2"))
-                       .alias("title"), expl.alias("explanation"), F.round("r", 3).alias("value"))
+                       .alias("title"), expl.alias("explanation"), round_half_up("r", 3).alias("value"))
 
 
 def concentration(frame: DataFrame, account: str = "customer_id", top: int = 5, threshold: float = 0.5,
@@ -114,7 +114,7 @@ def concentration(frame: DataFrame, account: str = "customer_id", top: int = 5,
                           "would have outsized impact."))
     return s.select(F.lit("concentration_risk").alias("type"), F.lit("revenue_concentration").alias("kpi"),
                     F.lit("warning").alias("severity"), F.lit("High revenue concentration risk").alias("title"),
-                    expl.alias("explanation"), F.round("__share", 3).alias("value"))
+                    expl.alias("explanation"), round_half_up("__share", 3).alias("value"))
 
 
 def freshness(frame: DataFrame, as_of, info_days: int = 3, warn_days: int = 7, report_only: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autokpi.functions.core import fmt2
+from autokpi.functions.core import fmt2, round_half_up
 
 
 def daily_frame(frame: DataFrame, key: str = "kpi_name") -> DataFrame:
@@ -86,12 +86,12 @@ def kpi_metrics(frame: DataFrame, latest_only: bool = True, daily: bool = True,
     out = m.select(
         *keys,
         F.to_date("date").alias("recorded_at"),
-        F.round(v, 2).alias("value"),
-        F.round(dod, 2).alias("dod_pct"),
-        F.round(wow, 2).alias("wow_pct"),
-        F.round(F.col("__avg7"), 2).alias("avg_7d"),
-        F.round(z, 2).alias("z_score"),
-        F.round(mean, 2).alias("baseline_mean"),
+        round_half_up(v, 2).alias("value"),
+        round_half_up(dod, 2).alias("dod_pct"),
+        round_half_up(wow, 2).alias("wow_pct"),
+        round_half_up(F.col("__avg7"), 2).alias("avg_7d"),
+        round_half_up(z, 2).alias("z_score"),
+        round_half_up(mean, 2).alias("baseline_mean"),
         F.when(use_wd, F.lit("same_weekday")).otherwise(F.lit("all_history")).alias("baseline"),
         _z_status(z, critical_z, warning_z).alias("status"),
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
+
 
 def mapping_rules(mappings: DataFrame, fields: DataFrame) -> DataFrame:
     """Mapping ⋈ field definition on ``template_field_id = id``; mappings
@@ -142,4 +144,4 @@ def match_fields(fields: DataFrame, columns: DataFrame, top: int = 3) -> DataFra
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     return ranked.select(F.col("global_field_name").alias("semantic_field"), F.col("id").alias("semantic_field_id"),
                          "table_name", "column_name", "score", "rank",
-                         F.round(F.least(F.lit(1.0), 0.4 + F.col("score") * 0.2), 2).alias("confidence"))
+                         round_half_up(F.least(F.lit(1.0), 0.4 + F.col("score") * 0.2), 2).alias("confidence"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
+
 
 def _nps_aggs(score: Column, digits: int | None) -> list[Column]:
     n = F.count(score)
@@ -19,7 +21,7 @@ def _nps_aggs(score: Column, digits: int | None) -> list[Column]:
     det = F.sum(F.when(score <= 6, 1).otherwise(0))
     val = (prom * 100.0 / n) - (det * 100.0 / n)
     if digits is not None:
-        val = F.round(val, digits)
+        val = round_half_up(val, digits)
     return [n.alias("responses"), prom.alias("promoters"),
             F.sum(F.when((score >= 7) & (score <= 8), 1).otherwise(0)).alias("passives"),
             det.alias("detractors"), val.alias("nps_score")]
@@ -40,7 +42,7 @@ def weekly_median(df: DataFrame, value: str, date: str, by: list[str] | None = N
 def segment_scores(feedback: DataFrame, customers: DataFrame, by: str = "segment") -> DataFrame:
     """Average score (round 2) and responses per customer segment."""
     j = feedback_by(feedback, customers)
-    return j.groupBy(by).agg(F.round(F.avg("score"), 2).alias("avg_score"), F.count(F.lit(1)).alias("responses"))
+    return j.groupBy(by).agg(round_half_up(F.avg("score"), 2).alias("avg_score"), F.count(F.lit(1)).alias("responses"))
 
 
 def feedback_by(feedback: DataFrame, customers: DataFrame, key: str = "customer_id") -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from autokpi.functions.core import round_half_up
 from pyspark.sql import types as T
 
 from autokpi.operators.frame import KPI_COLUMNS, RETIRED_KPI_NAMES
@@ -112,7 +114,7 @@ def null_profile(df: DataFrame, threshold: float = 0.10) -> DataFrame:
     rate = F.try_divide(F.col("null_count"), F.col("__total"))
     return long.select(
         "column_name", "null_count", F.col("__total").alias("total_rows"),
-        F.round(rate * 100, 1).alias("null_pct"),
+        round_half_up(rate * 100, 1).alias("null_pct"),
         F.coalesce(rate > F.lit(t), F.lit(False)).alias("flagged"),
         F.col("__total"))
 
@@ -187,9 +189,9 @@ def magnitude_profile(cur: DataFrame, hist: DataFrame, threshold: float = 0.50)
     long = both.selectExpr("c_n AS n_cur", "h_n AS n_hist", stack)
     change = F.try_divide(F.abs(F.col("current_total") - F.col("previous_total")), F.abs(F.col("previous_total")))
     return (long.filter(F.col("previous_total") != 0)
-            .select("column_name", F.round("current_total", 2).alias("current_total"),
-                    F.round("previous_total", 2).alias("previous_total"),
-                    F.round(change * 100, 1).alias("change_pct"), (change > F.lit(t)).alias("flagged"),
+            .select("column_name", round_half_up("current_total", 2).alias("current_total"),
+                    round_half_up("previous_total", 2).alias("previous_total"),
+                    round_half_up(change * 100, 1).alias("change_pct"), (change > F.lit(t)).alias("flagged"),
                     "n_cur", "n_hist"))
 
 
@@ -260,7 +262,7 @@ def pass_rate(depts: DataFrame, logs: DataFrame, n: int = 10) -> DataFrame:
     null when the department has none."""
     top = newest_logs(logs, n)
     rate = top.groupBy("department_id").agg(
-        F.round(F.avg(F.when(F.col("status") == "pass", 100.0).otherwise(0.0)), 1).alias("pass_rate"),
+        round_half_up(F.avg(F.when(F.col("status") == "pass", 100.0).otherwise(0.0)), 1).alias("pass_rate"),
         F.count(F.lit(1)).alias("n_logs"))
     return (depts.select(F.col("id").alias("department_id"), F.col("name").alias("department_name"))
             .join(rate, "department_id", "left")
@@ -300,16 +302,16 @@ def governance(frame: DataFrame, checks: DataFrame, days_since_sync: Column, map
     size = F.col("__rows") * F.lit(len(cols))
     rate = F.try_divide(F.col("__nulls").cast("double"), F.greatest(size, F.lit(1)).cast("double"))
     completeness = F.when(F.col("__rows") == 0, F.lit(0.0)) \
-        .otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - rate * 10) * 100, 1))
+        .otherwise(round_half_up(F.greatest(F.lit(0.0), 1.0 - rate * 10) * 100, 1))
     n_checks = checks.agg(F.count(F.lit(1))).scalar()
     n_pass = checks.agg(F.sum(F.when(F.col("status") == "pass", 1).otherwise(0))).scalar()
-    validity = F.when(n_checks == 0, F.lit(50.0)).otherwise(F.round(n_pass / n_checks * 100, 1))
+    validity = F.when(n_checks == 0, F.lit(50.0)).otherwise(round_half_up(n_pass / n_checks * 100, 1))
     d = days_since_sync
     freshness = (F.when(d <= 1, 100.0).when(d <= 3, 80.0).when(d <= 7, 60.0).when(d <= 30, 30.0).otherwise(0.0))
     trace = F.when(mapped, 100.0).otherwise(40.0)
     s = comp.select(completeness.alias("completeness"), freshness.alias("freshness"),
                                    validity.alias("validity"), trace.alias("traceability"))
-    overall = F.round((F.col("completeness") + F.col("freshness") + F.col("validity") + F.col("traceability")) / 4, 1)
+    overall = round_half_up((F.col("completeness") + F.col("freshness") + F.col("validity") + F.col("traceability")) / 4, 1)
     s = s.withColumn("overall", overall)
     grade = (F.when(F.col("overall") >= 90, "A").when(F.col("overall") >= 75, "B").when(F.col("overall") >= 60, "C")
              .when(F.col("overall") >= 40, "D").otherwise("F"))

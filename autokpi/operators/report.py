@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autokpi.functions.core import display_label, title_label
+from autokpi.functions.core import display_label, round_half_up, title_label
 
 # Name hints used by the chart column picker.
 X_HINTS = ("date", "time", "at", "day", "month", "year")
@@ -151,11 +151,11 @@ def due(prefs: DataFrame, at, yearly: bool = True) -> DataFrame:
 
 
 def _num2(c: Column) -> Column:
-    return F.format_number(F.round(c, 2), 2)
+    return F.format_number(round_half_up(c, 2), 2)
 
 
 def _signed1(c: Column) -> Column:
-    return F.format_string("%+.1f", F.round(c, 1))
+    return F.format_string("%+.1f", round_half_up(c, 1))
 
 
 def explain_kpi(kpis: DataFrame) -> DataFrame:
@@ -167,9 +167,9 @@ def explain_kpi(kpis: DataFrame) -> DataFrame:
                .otherwise("Performance is within normal parameters."))
     text = F.concat(title_label("kpi_name"), F.lit(" is currently "), _num2(F.coalesce(F.col("value"), F.lit(0.0))),
                     F.lit(", "), F.when(dod > 0, "increased").otherwise("decreased"), F.lit(" "),
-                    F.format_string("%.1f", F.round(F.abs(dod), 1)), F.lit("% day-over-day and "),
+                    F.format_string("%.1f", round_half_up(F.abs(dod), 1)), F.lit("% day-over-day and "),
                     F.when(wow > 0, "up").otherwise("down"), F.lit(" "),
-                    F.format_string("%.1f", F.round(F.abs(wow), 1)), F.lit("% week-over-week. "), urgency)
+                    F.format_string("%.1f", round_half_up(F.abs(wow), 1)), F.lit("% week-over-week. "), urgency)
     return kpis.withColumn("explanation", text)
 
 
@@ -178,7 +178,7 @@ def explain_anomaly(anomalies: DataFrame) -> DataFrame:
     crit = F.col("severity") == "CRITICAL"
     text = F.concat(title_label("kpi_name"), F.lit(" shows a "),
                     F.when(crit, "critical issue").otherwise("notable deviation"), F.lit(" with a "),
-                    F.format_string("%.1f", F.round(F.coalesce(F.col("deviation"), F.lit(0.0)), 1)),
+                    F.format_string("%.1f", round_half_up(F.coalesce(F.col("deviation"), F.lit(0.0)), 1)),
                     F.lit("σ deviation from its normal range. "), F.coalesce(F.col("reason"), F.lit("")), F.lit(" "),
                     F.when(crit, "Immediate investigation is recommended.")
                     .otherwise("Monitor this metric closely over the next 24-48 hours."))
@@ -200,7 +200,7 @@ def anomaly_line(anomalies: DataFrame) -> DataFrame:
     line = F.concat(F.lit("  ["), F.coalesce(F.col("severity"), F.lit("WARNING")), F.lit("] "), title_label("kpi_name"),
                     F.lit(": "), F.coalesce(F.col("reason"), F.lit("Deviation detected")),
                     F.lit(" (z-score deviation: "),
-                    F.format_string("%.1f", F.round(F.coalesce(F.col("deviation"), F.lit(0.0)), 1)), F.lit(")"))
+                    F.format_string("%.1f", round_half_up(F.coalesce(F.col("deviation"), F.lit(0.0)), 1)), F.lit(")"))
     return anomalies.withColumn("line", line)
 
 
@@ -249,4 +249,4 @@ def trend(frame: DataFrame, days: int = 14) -> DataFrame:
     grid = names.withColumn("__k", F.lit(1)).join(F.broadcast(dates.withColumn("__k", F.lit(1))), "__k").drop("__k")
     out = grid.join(daily, ["kpi_name", "date"], "left")
     return out.select("kpi_name", display_label("kpi_name").alias("label"), "date",
-                      F.date_format("date", "MMM dd").alias("day_label"), F.round("value", 2).alias("value"))
+                      F.date_format("date", "MMM dd").alias("day_label"), round_half_up("value", 2).alias("value"))

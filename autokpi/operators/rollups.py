@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
+
 UNASSIGNED = "Unassigned"
 
 
@@ -48,7 +50,7 @@ def combined_report(kpis: DataFrame, depts: DataFrame, report_date=None) -> Data
     cmap = comb.groupBy("report_date").agg(
         F.sort_array(F.collect_list(F.struct("kpi_name", "value"))).alias("__e"))
     text = F.array_join(F.transform(F.col("__e"), lambda e: F.concat(
-        e["kpi_name"], F.lit(" "), F.format_number(F.round(e["value"], 2), 2))), ", ")
+        e["kpi_name"], F.lit(" "), F.format_number(round_half_up(e["value"], 2), 2))), ", ")
     cmap = cmap.select("report_date", F.map_from_entries("__e").alias("combined_kpis"),
                        F.concat(F.lit("Combined governed-mesh snapshot for "), F.col("report_date").cast("string"),
                                 F.lit(": "), text).alias("narrative"))
@@ -63,7 +65,7 @@ def combined_kpis(kpis: DataFrame, newest: int | None = None) -> DataFrame:
     if newest is not None:
         kpis = kpis.orderBy(F.col("recorded_at").desc()).limit(newest)
     return (kpis.groupBy("kpi_name")
-            .agg(F.round(F.sum("value"), 2).alias("total_value"),
+            .agg(round_half_up(F.sum("value"), 2).alias("total_value"),
                  F.count_distinct("department_id").alias("department_count")))
 
 

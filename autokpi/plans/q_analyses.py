@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
 from autokpi.operators import analyses, forecast, insights
 from autokpi.plans.fixtures import fixture, table, with_fixtures
 from autokpi.plans.registry import register
@@ -17,7 +18,7 @@ FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 24"""
 def q_a2(spark, sf):
     """A2: monthly order value, newest 24 months."""
     out = analyses.time_series_sum(table(spark, sf, "orders"), "o_totalprice", "o_orderdate", 24)
-    return out.withColumn("total", F.round("total", 2))
+    return out.withColumn("total", round_half_up("total", 2))
 
 
 @register("a3_count_over_time_lineitem", """
@@ -84,8 +85,8 @@ def q_f1(spark, sf):
     """F1: line items whose extended price is > 2.5 std from the mean (whole table)."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     out = analyses.value_outliers(li, "l_extendedprice", 2.5)
-    return out.select("l_orderkey", "l_linenumber", "l_extendedprice", F.round("_z", 4).alias("_z"),
-                      F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "outlier_count")
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice", round_half_up("_z", 4).alias("_z"),
+                      round_half_up("mean", 4).alias("mean"), round_half_up("stddev", 4).alias("stddev"), "outlier_count")
 
 
 @register("f2_liability_forecast_orders", """
@@ -105,7 +106,7 @@ FROM gg, range(1, 13) t(i)""")
 def q_f2(spark, sf):
     """monthly order value, 24 months of history and a 12-month projection."""
     out = analyses.liability_forecast(table(spark, sf, "orders"), "o_totalprice", "o_orderdate")
-    return out.select("kind", "bucket", F.round("total", 2).alias("total"), F.round("growth_yoy", 6).alias("growth_yoy"))
+    return out.select("kind", "bucket", round_half_up("total", 2).alias("total"), round_half_up("growth_yoy", 6).alias("growth_yoy"))
 
 
 DAILY_EVENTS = ("SELECT kpi_name, CAST(date AS DATE) AS date, SUM(value) AS value FROM fx_frame "
@@ -160,7 +161,7 @@ def q_u2(spark, sf):
     """Daily history and forecast of each event type as one series."""
     fr = fixture(spark, sf, "fx_frame")
     from autokpi.operators.kpi import daily_frame
-    h = daily_frame(fr).withColumn("value", F.round("value", 2))
+    h = daily_frame(fr).withColumn("value", round_half_up("value", 2))
     return forecast.history_and_forecast(h, forecast.forecast(fr))
 
 

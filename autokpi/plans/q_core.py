@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
 from autokpi.operators import extract, frame, kpi
 from autokpi.plans.fixtures import fixture, table, with_fixtures
 from autokpi.plans.registry import register
@@ -124,7 +125,7 @@ GROUP BY CAST(o_orderdate AS DATE)""")
 def q_a1(spark, sf):
     """A1: trailing-30-day daily sums; as_of = newest order date."""
     out = extract.daily_totals(table(spark, sf, "orders"), "o_totalprice", "o_orderdate", "Orders")
-    return out.withColumn("value", F.round("value", 2))
+    return out.withColumn("value", round_half_up("value", 2))
 
 
 @register("u1_union_daily_totals", """
@@ -146,7 +147,7 @@ def q_u1(spark, sf):
         extract.daily_totals(table(spark, sf, "lineitem"), "l_extendedprice", "l_shipdate", "Lineitem"),
         extract.daily_totals(table(spark, sf, "events"), "value", "ts", "Events"),
     ]
-    return extract.union_frames(frames).withColumn("value", F.round("value", 2))
+    return extract.union_frames(frames).withColumn("value", round_half_up("value", 2))
 
 
 @register("w3_latest_kpi_per_department", with_fixtures("""

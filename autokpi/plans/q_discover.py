@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
 from autokpi.operators import discover, prepare
 from autokpi.plans.fixtures import BASE_TABLES, DEMO_SQL, fixture, table, with_fixtures
 from autokpi.plans.registry import register
@@ -251,7 +252,7 @@ FROM fx_dirty d, st""", ("st", """SELECT
 def q_v6(spark, sf):
     """V6: the dirty frame after automatic preparation (value rounded to 4 for the comparison)."""
     cleaned, _ = prepare.auto_prepare(fixture(spark, sf, "fx_dirty"))
-    return cleaned.withColumn("value", F.round("value", 4))
+    return cleaned.withColumn("value", round_half_up("value", 4))
 
 
 @register("v6_prepare_actions", with_fixtures("""
@@ -329,4 +330,4 @@ def q_a18(spark, sf):
     """Every roll-up the modeller suggests for orders (time series + 2 categories)."""
     orders = table(spark, sf, "orders")
     _, sugg = prepare.auto_model(orders)
-    return prepare.run_suggestions(orders, sugg).withColumn("total", F.round("total", 2))
+    return prepare.run_suggestions(orders, sugg).withColumn("total", round_half_up("total", 2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up, title_label
 from autokpi.operators import kpi, nps, report
 from autokpi.plans.fixtures import fixture, table, with_fixtures
 from autokpi.plans.q_core import DAILY_EVENTS, DAILY_ORDERS, W2_SELECT, order_counts, w1_parts
@@ -35,7 +36,7 @@ def q_p6_monthly(spark, sf):
     """P6 over an analysis result (bucket, total): no hint -> first column, bar chart."""
     from autokpi.operators import analyses
     m = analyses.time_series_sum(table(spark, sf, "orders"), "o_totalprice", "o_orderdate", None)
-    return report.chart_series(m.withColumn("total", F.round("total", 2)))
+    return report.chart_series(m.withColumn("total", round_half_up("total", 2)))
 
 
 @register("p7_custom_chart_pie", with_fixtures("""
@@ -111,7 +112,6 @@ SELECT DISTINCT o_orderpriority AS kpi_name, {_py_title('o_orderpriority')} AS l
 UNION SELECT DISTINCT event_type, {_py_title('event_type')} FROM events""")
 def q_p11(spark, sf):
     """Display labels of every KPI name in orders and events."""
-    from autokpi.functions.core import title_label
     names = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kpi_name")) \
         .union(table(spark, sf, "events").select("event_type")).distinct()
     return names.select("kpi_name", title_label("kpi_name").alias("label"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
 from autokpi.operators import mapping, quality
 from autokpi.plans.fixtures import BASE_TABLES, fixture, table, with_fixtures
 from autokpi.plans.registry import register
@@ -26,7 +27,7 @@ def _vf(spark, sf):
 def q_a7(spark, sf):
     """Wide validation frame per (report_date, customer_id), one column per KPI."""
     vf = _vf(spark, sf)
-    return vf.select("report_date", "customer_id", *[F.round(k, 2).alias(k) for k in EVENT_KPIS])
+    return vf.select("report_date", "customer_id", *[round_half_up(k, 2).alias(k) for k in EVENT_KPIS])
 
 
 @register("a7_validation_frame_extra_columns", with_fixtures("""
@@ -46,7 +47,7 @@ def q_a7_extra(spark, sf):
     counts = d.groupBy(F.coalesce(F.col("date").cast("string"), F.lit("")).alias("report_date")) \
         .agg(F.count(F.lit(1)).alias("n_rows"))
     return vf.drop("n_rows").join(counts, "report_date").select(
-        "report_date", "customer_id", "n_rows", *[F.round(k, 2).alias(k) for k in EVENT_KPIS], "category")
+        "report_date", "customer_id", "n_rows", *[round_half_up(k, 2).alias(k) for k in EVENT_KPIS], "category")
 
 
 @register("a8_kpi_row_counts", with_fixtures("""

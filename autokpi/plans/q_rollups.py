@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import round_half_up
 from autokpi.operators import rollups
 from autokpi.plans.fixtures import fixture, table, with_fixtures
 from autokpi.plans.registry import register
@@ -26,7 +27,7 @@ FROM kd GROUP BY 1, 2, 3""", KR_DEPT))
 def q_a9(spark, sf):
     """A9 (long form): department -> KPI -> sum for every report date."""
     out = rollups.department_breakdown(_kr(spark, sf), _depts(spark, sf))
-    return out.withColumn("value", F.round("value", 2))
+    return out.withColumn("value", round_half_up("value", 2))
 
 
 @register("a9_combined_narrative", with_fixtures("""
@@ -40,7 +41,7 @@ def q_a9_narrative(spark, sf):
     rep = rollups.combined_report(_kr(spark, sf), _depts(spark, sf))
     vals = F.map_values("combined_kpis")
     return rep.select("report_date", "narrative",
-                      F.round(F.aggregate(vals, F.lit(0.0), lambda a, b: a + b), 2).alias("combined_total"),
+                      round_half_up(F.aggregate(vals, F.lit(0.0), lambda a, b: a + b), 2).alias("combined_total"),
                       F.size("combined_kpis").cast("bigint").alias("n_kpis"))
 
 
@@ -58,7 +59,7 @@ FROM kd GROUP BY 1""", KR_DEPT))
 def q_a11(spark, sf):
     """Per date total value and the size of its department map."""
     t = rollups.timeline(_kr(spark, sf), _depts(spark, sf))
-    return t.select("period", F.round("total_value", 2).alias("total_value"),
+    return t.select("period", round_half_up("total_value", 2).alias("total_value"),
                     F.size("department_breakdown").cast("bigint").alias("n_departments"))
 
 
@@ -66,7 +67,7 @@ def q_a11(spark, sf):
 SELECT recorded_at AS period, department_name, round(sum(value), 2) AS value FROM kd GROUP BY 1, 2""", KR_DEPT))
 def q_a11_long(spark, sf):
     """A11 (long form): per date and department value."""
-    return rollups.timeline_long(_kr(spark, sf), _depts(spark, sf)).withColumn("value", F.round("value", 2))
+    return rollups.timeline_long(_kr(spark, sf), _depts(spark, sf)).withColumn("value", round_half_up("value", 2))
 
 
 @register("w4_department_summaries", with_fixtures("""

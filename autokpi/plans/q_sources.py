@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from autokpi.operators import kpi, report
+from autokpi.functions.core import round_half_up
+
 from autokpi.plans import sync
-from autokpi.plans.fixtures import DEMO_SQL, fixture, table, with_fixtures
+from autokpi.plans.fixtures import fixture, table, with_fixtures
 from autokpi.plans.q_core import DAILY_EVENTS, w1_parts
 from autokpi.plans.registry import register
 from autokpi.sinks import tables as sinks
@@ -71,7 +72,7 @@ WHERE rn = 1"""))
 def q_k2(spark, sf):
     """K2: keyed upsert (last write wins): urgent rows rewritten, new KPI rows added."""
     kr = fixture(spark, sf, "fx_kpi_results").select(*KEYS, "value").withColumn("version", F.lit(1))
-    changes = (kr.filter(F.col("kpi_name") == "1-URGENT").withColumn("value", F.round(F.col("value") * 2, 2))
+    changes = (kr.filter(F.col("kpi_name") == "1-URGENT").withColumn("value", round_half_up(F.col("value") * 2, 2))
                .withColumn("version", F.lit(2))
                .unionByName(kr.filter(F.col("kpi_name") == "2-HIGH").withColumn("kpi_name", F.lit("9-NEW"))
                             .withColumn("version", F.lit(2))))
@@ -119,7 +120,7 @@ def q_l1_extract(spark, sf):
     and a date column, labelled by its first domain (driver + demo tables)."""
     from autokpi.plans.q_discover import _tables
     fr = sync.extract(spark, _tables(spark, sf))
-    return fr.select("date", "kpi_name", F.round("value", 2).alias("value"))
+    return fr.select("date", "kpi_name", round_half_up("value", 2).alias("value"))
 
 
 _L4_CTES, _L4_FINAL = w1_parts("d", True)

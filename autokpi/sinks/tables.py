@@ -45,6 +45,8 @@ def upsert(spark, path: str, changes: DataFrame, keys: list[str], order_col: str
     and rewritten (dynamic overwrite); the new image is written to a staging
     folder first, then swapped in with a second dynamic overwrite.
     """
+    if changes.isEmpty():
+        return
     try:
         base = spark.read.parquet(path)
     except Exception:  # table does not exist yet
@@ -89,14 +91,28 @@ def purge_frame(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def purge(spark, path: str, predicate: Column, partition_by: str | None = None) -> None:
-    """K3: rewrite the table without the purged rows (staged, then swapped)."""
+    """K3: rewrite the table without the purged rows.
+
+    The kept rows are staged first, then the table is replaced with a static
+    overwrite, so partitions emptied by the purge disappear too (a dynamic
+    overwrite would leave them behind).  Rows where ``predicate`` is null stay.
+    """
     kept = purge_frame(spark.read.parquet(path), predicate)
     stage = f"{path.rstrip('/')}/../_staging_{uuid.uuid4().hex}"
+    w = kept.write.mode("overwrite")
     if partition_by:
-        _write_stage_and_swap(spark, kept, stage, path, partition_by)
-    else:
-        kept.write.mode("overwrite").parquet(stage)
-        spark.read.parquet(stage).write.mode("overwrite").parquet(path)
+        w = w.partitionBy(partition_by)
+    w.parquet(stage)
+    staged = spark.read.parquet(stage)
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        w2 = staged.write.mode("overwrite")
+        if partition_by:
+            w2 = w2.partitionBy(partition_by)
+        w2.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
 
 def lineage(df: DataFrame, batch_col: str = "batch_source_id", id_col: str = "source_row_id",

@@ -24,7 +24,11 @@ from autokpi.sources.readers import SUMMARY_SCHEMA
 
 def daily_totals_stream(stream: DataFrame, ts: str, amount: str, label: str, watermark: str = "2 days") -> DataFrame:
     """R1 (lazy part): ``sum(amount)`` per event-time day with a watermark;
-    columns date, kpi_name, value.  State per open day only."""
+    columns date, kpi_name, value.  State per open day only.  Event time
+    must be a TIMESTAMP; a TIMESTAMP_NTZ column is read as session-time-zone
+    wall clock."""
+    if dict(stream.dtypes).get(ts) == "timestamp_ntz":
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return (stream.withWatermark(ts, watermark)
             .groupBy(F.window(F.col(ts), "1 day").alias("w"))
             .agg(F.sum(F.col(amount).cast("double")).alias("value"))
