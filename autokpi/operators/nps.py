@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from autokpi.functions.core import round_half_up
+from autokpi.functions.stats import exact_median
 
 
 def _nps_aggs(score: Column, digits: int | None) -> list[Column]:
@@ -34,9 +35,13 @@ def nps(df: DataFrame, score: str = "score", by: list[str] | None = None, digits
 
 
 def weekly_median(df: DataFrame, value: str, date: str, by: list[str] | None = None) -> DataFrame:
-    """Exact median of ``value`` per (Monday week, group)."""
-    return (df.groupBy(F.to_date(F.date_trunc("week", F.col(date))).alias("week"), *(by or []))
-            .agg(F.median(value).alias("median_value"), F.count(F.lit(1)).alias("responses")))
+    """Exact median of ``value`` per (Monday week, group), sort-based
+    (``functions.stats.exact_median``), with the response count."""
+    keys = ["week", *(by or [])]
+    w = df.withColumn("week", F.to_date(F.date_trunc("week", F.col(date))))
+    med = exact_median(w, keys, value, "median_value")
+    n = w.groupBy(*keys).agg(F.count(F.lit(1)).alias("responses"))
+    return n.join(med, keys, "left")
 
 
 def segment_scores(feedback: DataFrame, customers: DataFrame, by: str = "segment") -> DataFrame:

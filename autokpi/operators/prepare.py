@@ -3,8 +3,11 @@
 Both operators read the table in one statistics pass: a single aggregate
 with a handful of expressions per column, whose one-row result (bounded by
 the column count) is read on the driver to decide the per-column rules.
-The cleaned frame is then one projection; the action log one more aggregate
-(outlier counts need the bounds).  No per-column jobs.
+Medians and modes (only for columns that need imputing) are exact and
+sort-based over all those columns at once (``functions.stats``), never a
+per-group in-memory buffer.  The cleaned frame is then one projection; the
+action log one more aggregate (outlier counts need the bounds).  No
+per-column jobs.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autokpi.functions.stats import exact_median, mode_by
+
 # Name hints of the preparation and modelling rules.
 DATE_NAME_HINTS = ("date", "time", "at", "_on", "created", "updated")
 NUMERIC_ID_HINTS = ("id", "code", "num", "ref", "key")
@@ -36,25 +41,40 @@ def _is_numeric(t) -> bool:
     return isinstance(t, T.NumericType)
 
 
-def _median(x: Column, accuracy: int | None) -> Column:
-    return F.median(x) if accuracy is None else F.percentile_approx(x, 0.5, accuracy)
-
-
 def prepare_stats(df: DataFrame, accuracy: int | None = None) -> dict:
-    """Pass 1: one aggregate over all columns (driver reads one row)."""
+    """Pass 1: one aggregate over all columns (driver reads one row):
+    counts, coercible counts, mean and sample std.  Medians and modes are
+    computed afterwards, only for the columns that need imputing."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(df.schema.fields):
         c, t = _q(f.name), f.dataType
         aggs.append(F.count(c).alias(f"nn{i}"))
         if _is_string(t) or _is_numeric(t):
             x = c.try_cast("double") if _is_string(t) else c.cast("double")
-            aggs += [F.count(x).alias(f"nx{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-                     _median(x, accuracy).alias(f"md{i}")]
-        if not _is_numeric(t):
-            aggs.append(F.mode(c, True).cast("string").alias(f"mo{i}"))
+            aggs += [F.count(x).alias(f"nx{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}")]
+            if accuracy is not None:
+                aggs.append(F.percentile_approx(x, 0.5, accuracy).alias(f"md{i}"))
     return df.agg(*aggs).first().asDict()
 
 
+def _medians(df: DataFrame, cols: dict[int, Column]) -> dict[int, float | None]:
+    """Exact medians of several columns in one job (unpivoted, sort-based)."""
+    if not cols:
+        return {}
+    arr = F.array(*[F.struct(F.lit(i).alias("i"), x.cast("double").alias("x")) for i, x in cols.items()])
+    long = df.select(F.inline(arr))
+    return {r["i"]: r["median"] for r in exact_median(long, ["i"], "x").collect()}
+
+
+def _modes(df: DataFrame, cols: dict[int, Column]) -> dict[int, str | None]:
+    """Modes (ties: smallest) of several columns in one job, as text."""
+    if not cols:
+        return {}
+    arr = F.array(*[F.struct(F.lit(i).alias("i"), x.cast("string").alias("x")) for i, x in cols.items()])
+    long = df.select(F.inline(arr))
+    return {r["i"]: r["mode"] for r in mode_by(long, ["i"], "x").collect()}
+
+
 def auto_prepare(df: DataFrame, accuracy: int | None = None) -> tuple[DataFrame, DataFrame]:
     """V6: (cleaned frame, action log).
 
@@ -73,6 +93,15 @@ def auto_prepare(df: DataFrame, accuracy: int | None = None) -> tuple[DataFrame,
     s = prepare_stats(df, accuracy)
     rows = s["__rows"]
     spark = df.sparkSession
+    fields = df.schema.fields
+    is_num = {i: _is_numeric(f.dataType) or (_is_string(f.dataType) and s[f"nx{i}"] > s[f"nn{i}"] * 0.5)
+              for i, f in enumerate(fields)}
+    if accuracy is None:
+        need_md = {i: (_q(f.name).try_cast("double") if _is_string(f.dataType) else _q(f.name))
+                   for i, f in enumerate(fields) if rows and is_num[i] and rows - s[f"nx{i}"] > 0}
+        s.update({f"md{i}": v for i, v in _medians(df, need_md).items()})
+    need_mo = {i: _q(f.name) for i, f in enumerate(fields) if rows and not is_num[i] and rows - s[f"nn{i}"] > 0}
+    s.update({f"mo{i}": v for i, v in _modes(df, need_mo).items()})
     exprs: dict[str, Column] = {}
     static, bounds, date_cands = [], [], []
     for i, f in enumerate(df.schema.fields):
@@ -81,12 +110,12 @@ def auto_prepare(df: DataFrame, accuracy: int | None = None) -> tuple[DataFrame,
         exprs[name] = c
         if rows == 0:
             continue
-        if _is_numeric(t) or (_is_string(t) and s[f"nx{i}"] > s[f"nn{i}"] * 0.5):
+        if is_num[i]:
             raw = c.try_cast("double") if _is_string(t) else c
             x = raw
             after = rows - s[f"nx{i}"]
             if after > 0:
-                fill = 0.0 if s[f"md{i}"] is None else float(s[f"md{i}"])
+                fill = 0.0 if s.get(f"md{i}") is None else float(s[f"md{i}"])
                 x = F.coalesce(raw.cast("double"), F.lit(fill))
                 static.append((name, "impute_median", int(after), int(after - nulls), str(round(fill, 4)),
                                None, None, None))

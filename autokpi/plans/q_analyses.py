@@ -265,3 +265,15 @@ def q_f7(spark, sf):
 def q_f8(spark, sf):
     """F8: all insights of the event frame as one table (as of 2024-02-12)."""
     return insights.insights(fixture(spark, sf, "fx_frame"), "2024-02-12 00:00:00")
+
+
+@register("f1_value_outliers_events", """
+WITH s AS (SELECT avg(value) AS m, CASE WHEN coalesce(stddev_samp(value), 0) = 0 THEN 1.0 ELSE stddev_samp(value) END AS sd
+           FROM events),
+o AS (SELECT event_id, value, (value - s.m) / s.sd AS z FROM events, s WHERE abs((value - s.m) / s.sd) > 2.5)
+SELECT event_id, value, round(z, 4) AS _z, (SELECT count(*) FROM o) AS outlier_count FROM o""")
+def q_f1_events(spark, sf):
+    """F1 on event values (a long right tail: several hundred outliers)."""
+    ev = table(spark, sf, "events").select("event_id", "value")
+    out = analyses.value_outliers(ev, "value", 2.5)
+    return out.select("event_id", "value", round_half_up("_z", 4).alias("_z"), "outlier_count")

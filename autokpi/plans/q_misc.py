@@ -324,3 +324,57 @@ LEFT JOIN customer c ON c.c_custkey = d.customer_id"""))
 def q_t6_search(spark, sf):
     """T6 with text search: detractors mentioning 'urgent' or 'high' since 1998."""
     return nps.detractors(_fb(spark, sf), _cust(spark, sf), 10, contains=["urgent", "high"], since="1998-01-01")
+
+
+# ------------------------------------------------------------ P3, P5, P10, U3
+
+_RENAMED = """CASE WHEN kpi_name = '5-LOW' THEN 'net_revenue' WHEN kpi_name = '4-NOT SPECIFIED' THEN 'Inventory Value'
+  WHEN kpi_name = '3-MEDIUM' THEN 'support_tickets' WHEN kpi_name = '2-HIGH' AND user_id % 2 = 0 THEN NULL
+  ELSE kpi_name END"""
+
+
+@register("p3_hide_retired", with_fixtures(f"""
+SELECT department_id, user_id, recorded_at, name AS kpi_name FROM (
+  SELECT department_id, user_id, recorded_at, {_RENAMED} AS name FROM fx_kpi_results)
+WHERE NOT coalesce(name IN ('net_revenue', 'inventory_value', 'support_tickets', 'Total Revenue', 'Inventory Value',
+  'Support Tickets') OR {_py_title('name')} IN ('net_revenue', 'inventory_value', 'support_tickets', 'Total Revenue',
+  'Inventory Value', 'Support Tickets'), false)"""))
+def q_p3(spark, sf):
+    """Retired KPI names (exact or title-cased) are hidden; null names stay.
+    Three priorities are renamed to retired names first."""
+    from autokpi.operators.frame import hide_retired
+    kr = fixture(spark, sf, "fx_kpi_results").select("department_id", "user_id", "recorded_at",
+                                                     F.expr(_RENAMED).alias("kpi_name"))
+    return hide_retired(kr)
+
+
+@register("p5_json_safe_orders", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,
+       o_orderpriority FROM orders""")
+def q_p5(spark, sf):
+    """P5: JSON-safe projection of orders (timestamps as ISO text)."""
+    from autokpi.operators.frame import json_safe
+    return json_safe(table(spark, sf, "orders"))
+
+
+@register("p10_due_departments", with_fixtures("""
+SELECT id AS department_id, '02:00' AS sync_time, heartbeat_schedule AS sync_frequency,
+       TIMESTAMP '2024-01-01 02:00:00' AS due_at FROM fx_departments WHERE heartbeat_schedule IN ('daily', 'weekly')
+UNION ALL
+SELECT id, '02:00', heartbeat_schedule, TIMESTAMP '2024-01-02 02:00:00' FROM fx_departments
+WHERE heartbeat_schedule = 'daily'"""))
+def q_p10_depts(spark, sf):
+    """P10 department variant (no yearly rule): heartbeats due on a Monday and on a Tuesday."""
+    d = fixture(spark, sf, "fx_departments").select(F.col("id").alias("department_id"), F.lit("02:00").alias("sync_time"),
+                                                    F.col("heartbeat_schedule").alias("sync_frequency"))
+    return report.due(d, "2024-01-01 02:00:00", yearly=False).unionByName(
+        report.due(d, "2024-01-02 02:00:00", yearly=False))
+
+
+@register("u3_distinct_report_keys", with_fixtures("""
+SELECT DISTINCT coalesce(CAST(report_date AS STRING), '') AS report_date,
+       coalesce(customer_id, 'ACCOUNT-PRIMARY') AS customer_id FROM fx_frame"""))
+def q_u3(spark, sf):
+    """A frame without KPI names gives the distinct (report_date, customer_id) keys."""
+    from autokpi.operators import quality
+    return quality.validation_frame(fixture(spark, sf, "fx_frame").drop("kpi_name"))
