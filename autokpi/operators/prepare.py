@@ -171,9 +171,11 @@ def auto_model(df: DataFrame, distinct_cap: int = 20) -> tuple[DataFrame, DataFr
         if _is_numeric(f.dataType) and not isinstance(f.dataType, T.BooleanType):
             aggs += [F.avg(c.cast("double")).alias(f"mu{i}"), F.stddev_samp(c.cast("double")).alias(f"sd{i}")]
         elif _is_string(f.dataType):
-            aggs.append(F.approx_count_distinct(c, 0.01).alias(f"ad{i}"))
+            aggs.append(F.approx_count_distinct(c, 0.05).alias(f"ad{i}"))
     s = df.agg(*aggs).first().asDict()
-    near = [i for i, f in enumerate(fields) if _is_string(f.dataType) and s[f"ad{i}"] <= distinct_cap * 1.5 + 5]
+    # the sketch (5 % error, near-exact at small cardinalities) only rules out
+    # columns far above the cap; the exact count decides the rest
+    near = [i for i, f in enumerate(fields) if _is_string(f.dataType) and s[f"ad{i}"] <= distinct_cap * 2 + 10]
     exact = {}
     if near:
         e = df.agg(*[F.count_distinct(_q(fields[i].name)).alias(f"cd{i}") for i in near]).first().asDict()

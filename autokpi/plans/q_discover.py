@@ -107,9 +107,7 @@ def _keys_sql(tabs: list[str]) -> str:
 @register("s6_candidate_keys", _keys_sql(list(SCHEMAS)))
 def q_s6(spark, sf):
     """Non-null unique columns of region, nation, customer, supplier and orders."""
-    from functools import reduce
-    parts = [cat.candidate_keys(table(spark, sf, t), t) for t in SCHEMAS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return cat.candidate_keys_many({t: table(spark, sf, t) for t in SCHEMAS})
 
 
 def _fk_sql() -> str:
@@ -129,10 +127,8 @@ def _fk_sql() -> str:
 @register("s7_foreign_keys", with_fixtures(_fk_sql(), ("keys", _keys_sql(list(SCHEMAS)))))
 def q_s7(spark, sf):
     """Inclusion dependencies into candidate keys among the five tables (one job)."""
-    from functools import reduce
     tabs = {t: table(spark, sf, t) for t in SCHEMAS}
-    keys = reduce(lambda a, b: a.unionByName(b), [cat.candidate_keys(df, t) for t, df in tabs.items()])
-    return cat.foreign_keys(tabs, keys)
+    return cat.foreign_keys(tabs, cat.candidate_keys_many(tabs))
 
 
 @register("s9_list_tables", with_fixtures("""

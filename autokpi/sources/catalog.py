@@ -74,28 +74,66 @@ def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> Da
     return sample_rows(df, n, order_by)
 
 
-def candidate_keys(df: DataFrame, table_name: str = "", exact: bool = True) -> DataFrame:
-    """Columns that are non-null and unique (count_distinct = count).
+# HyperLogLog++ relative error of the pruning sketch; a column is ruled out
+# only when its estimate is 6 standard errors below the row count.
+_RSD = 0.05
 
-    One aggregate: ``count``, ``count(col)`` and ``approx_count_distinct`` for
-    every column; the exact ``count_distinct`` (one more aggregate) is only
-    computed for columns the sketch cannot rule out (within 5 %).
-    """
-    cols = [f.name for f in df.schema.fields
+
+def _keyable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields
             if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    if not cols:
-        return df.sparkSession.createDataFrame([], "table_name string, column_name string")
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"nn{i}"), F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"ad{i}")]
-    stats = df.agg(*aggs).collect()[0]
-    n = stats["__n"]
-    maybe = [c for i, c in enumerate(cols) if n > 0 and stats[f"nn{i}"] == n and stats[f"ad{i}"] >= n * 0.95]
-    keys = []
-    if maybe:
-        ex = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"cd{i}") for i, c in enumerate(maybe)]).collect()[0]
-        keys = [c for i, c in enumerate(maybe) if ex[f"cd{i}"] == n or not exact]
-    return df.sparkSession.createDataFrame([(table_name, c) for c in keys], "table_name string, column_name string")
+
+
+def candidate_keys_many(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
+    """S6 for many tables in two jobs.
+
+    Job 1: per table one aggregate (``count``, ``count(col)``,
+    ``approx_count_distinct`` of every column), each unpivoted to long rows and
+    unioned, so all tables' statistics arrive in one collect (bounded by the
+    column count).  Job 2: exact ``count_distinct`` only for the columns the
+    sketch cannot rule out (estimate within 6 standard errors of the row
+    count), again unioned.  A key is non-null and unique.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    empty = spark.createDataFrame([], "table_name string, column_name string")
+    parts = []
+    for t, df in tables.items():
+        cols = _keyable(df)
+        if not cols:
+            continue
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        for i, c in enumerate(cols):
+            aggs += [F.count(F.col(f"`{c}`")).alias(f"nn{i}"),
+                     F.approx_count_distinct(F.col(f"`{c}`"), _RSD).alias(f"ad{i}")]
+        stack = "stack({}, {}) AS (column_name, nn, ad)".format(
+            len(cols), ", ".join(f"'{c}', nn{i}, ad{i}" for i, c in enumerate(cols)))
+        parts.append(df.agg(*aggs).selectExpr(f"'{t}' AS table_name", "__n AS n", stack))
+    if not parts:
+        return empty
+    stats = reduce(DataFrame.unionByName, parts).collect()
+    maybe: dict[str, list[str]] = {}
+    for r in stats:
+        if r["n"] > 0 and r["nn"] == r["n"] and r["ad"] >= r["n"] * (1 - 6 * _RSD):
+            maybe.setdefault(r["table_name"], []).append(r["column_name"])
+    if not maybe:
+        return empty
+    if not exact:
+        return spark.createDataFrame([(t, c) for t, cs in maybe.items() for c in cs], "table_name string, column_name string")
+    n_rows = {r["table_name"]: r["n"] for r in stats}
+    parts = []
+    for t, cs in maybe.items():
+        stack = "stack({}, {}) AS (column_name, cd)".format(
+            len(cs), ", ".join(f"'{c}', cd{i}" for i, c in enumerate(cs)))
+        parts.append(tables[t].agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"cd{i}") for i, c in enumerate(cs)])
+                     .selectExpr(f"'{t}' AS table_name", stack))
+    keys = [(r["table_name"], r["column_name"]) for r in reduce(DataFrame.unionByName, parts).collect()
+            if r["cd"] == n_rows[r["table_name"]]]
+    return spark.createDataFrame(keys, "table_name string, column_name string")
+
+
+def candidate_keys(df: DataFrame, table_name: str = "", exact: bool = True) -> DataFrame:
+    """S6 for one table: columns that are non-null and unique."""
+    return candidate_keys_many({table_name: df}, exact)
 
 
 def foreign_keys(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:

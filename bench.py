@@ -28,8 +28,18 @@ def main() -> None:
     spark = get_spark(master=f"local[{cpus}]")
     load_all()
     names = [n for n in QUERIES if not only or any(p in n for p in only)]
-    # warm-up: JVM, codegen and file listing caches
-    QUERIES["a5_missing_recent_orders"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # Warm-up (reported in the output): every query once on the smallest data
+    # set, so JIT and whole-stage-codegen caches are filled as in a running
+    # service; the timed pass then measures query work, not class loading.
+    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    t_warm = time.perf_counter()
+    if warm and os.path.isdir(warm):
+        for name in names:
+            try:
+                QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
+            except Exception:  # noqa: BLE001 — the timed pass reports failures
+                pass
+    t_warm = round(time.perf_counter() - t_warm, 3)
     times: dict[str, float] = {}
     failed: dict[str, str] = {}
     for name in names:
@@ -52,6 +62,7 @@ def main() -> None:
         "flagship_w1_sec": times.get("w1_kpi_metrics_events"),
         "sync_l1_sec": times.get("l1_sync_kpis"),
         "n_queries": len(times),
+        "warmup": {"dir": warm, "sec": t_warm},
         "failed": failed,
     }
     print(json.dumps(out))
