@@ -10,13 +10,13 @@ last date, KPIs with >= 10 rows) — the numbers are not Prophet's:
 * band = ± z·std of the residuals left after the weekday effect
   (z = 1.2816 for 80 %).
 
-Everything is grouped aggregates over the daily frame (KPIs × days) and an
-``explode(sequence(1, 7))``; no Python in executors.
+Everything is window / grouped aggregates over the daily frame (KPIs × days)
+and an ``explode(sequence(1, 7))``; no Python in executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from autokpi.functions.core import round_half_up
@@ -26,30 +26,38 @@ Z80 = 1.2816
 
 
 def forecast(frame: DataFrame, horizon: int = 7, min_rows: int = 10, z: float = Z80, daily: bool = True) -> DataFrame:
-    """columns kpi_name, forecast_date, predicted_value, lower_bound, upper_bound."""
+    """columns kpi_name, forecast_date, predicted_value, lower_bound, upper_bound.
+
+    Plan: the daily frame is shuffled once by ``kpi_name``; the fit
+    (``regr_slope``, means), residuals, weekday effects (window on
+    (kpi_name, weekday) — same partitioning, Sort only) and the residual std
+    are window / grouped aggregates on that partitioning; the per-KPI weekday
+    effects travel as a 7-entry map, so the 7 forecast rows need no join.
+    """
     d = daily_frame(frame) if daily else frame.select("kpi_name", F.to_date("date").alias("date"), "value")
-    first = d.groupBy("kpi_name").agg(F.min("date").alias("__d0"), F.max("date").alias("__last"),
-                                      F.count(F.lit(1)).alias("__n"))
-    d = d.join(first.filter(F.col("__n") >= min_rows), "kpi_name")
-    d = d.withColumn("__t", F.datediff("date", "__d0").cast("double")).withColumn("__wd", F.weekday("date"))
+    w = Window.partitionBy("kpi_name")
+    d = (d.withColumn("__n", F.count(F.lit(1)).over(w))
+         .withColumn("__d0", F.min("date").over(w))
+         .withColumn("__last", F.max("date").over(w))
+         .filter(F.col("__n") >= min_rows)
+         .withColumn("__t", F.datediff("date", "__d0").cast("double"))
+         .withColumn("__wd", F.weekday("date")))
+    # a null slope (a constant day number cannot occur with >= 2 days, but
+    # keep the rule) counts as 0; the intercept then is the mean
+    d = (d.withColumn("__b", F.coalesce(F.regr_slope("value", "__t").over(w), F.lit(0.0)))
+         .withColumn("__a", F.avg("value").over(w) - F.col("__b") * F.avg("__t").over(w))
+         .withColumn("__res", F.col("value") - (F.col("__a") + F.col("__b") * F.col("__t")))
+         .withColumn("__eff", F.avg("__res").over(Window.partitionBy("kpi_name", "__wd"))))
     fit = d.groupBy("kpi_name").agg(
-        F.coalesce(F.regr_slope("value", "__t"), F.lit(0.0)).alias("__b"),
-        F.regr_intercept("value", "__t").alias("__a0"),
-        F.avg("value").alias("__ybar"), F.avg("__t").alias("__tbar"))
-    # intercept consistent with a zero slope when regr_slope is null
-    fit = fit.withColumn("__a", F.col("__ybar") - F.col("__b") * F.col("__tbar"))
-    r = d.join(fit, "kpi_name").withColumn("__res", F.col("value") - (F.col("__a") + F.col("__b") * F.col("__t")))
-    wd = r.groupBy("kpi_name", "__wd").agg(F.avg("__res").alias("__eff"))
-    r2 = r.join(wd, ["kpi_name", "__wd"]).withColumn("__res2", F.col("__res") - F.col("__eff"))
-    band = r2.groupBy("kpi_name").agg(F.coalesce(F.stddev_samp("__res2"), F.lit(0.0)).alias("__sd"))
-    steps = (first.join(fit, "kpi_name").join(band, "kpi_name")
-             .select("kpi_name", "__d0", "__last", "__a", "__b", "__sd",
-                     F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("__h")))
-    steps = steps.withColumn("forecast_date", F.date_add("__last", F.col("__h"))) \
-        .withColumn("__wd", F.weekday("forecast_date"))
-    steps = steps.join(wd, ["kpi_name", "__wd"], "left")
+        F.first("__d0").alias("__d0"), F.first("__last").alias("__last"), F.first("__a").alias("__a"),
+        F.first("__b").alias("__b"),
+        F.coalesce(F.stddev_samp(F.col("__res") - F.col("__eff")), F.lit(0.0)).alias("__sd"),
+        F.map_from_entries(F.collect_set(F.struct("__wd", "__eff"))).alias("__effs"))
+    steps = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("__h")) \
+        .withColumn("forecast_date", F.date_add("__last", F.col("__h")))
     t = F.datediff("forecast_date", "__d0").cast("double")
-    yhat = F.col("__a") + F.col("__b") * t + F.coalesce(F.col("__eff"), F.lit(0.0))
+    eff = F.coalesce(F.element_at(F.col("__effs"), F.weekday("forecast_date")), F.lit(0.0))
+    yhat = F.col("__a") + F.col("__b") * t + eff
     return steps.select("kpi_name", "forecast_date",
                         round_half_up(yhat, 2).alias("predicted_value"),
                         round_half_up(yhat - z * F.col("__sd"), 2).alias("lower_bound"),
