@@ -1,9 +1,8 @@
 """Deterministic row identifiers.
 
 * ``content_ids``: ``sha256`` of the row's text content plus an occurrence
-  number among byte-identical rows.  Shuffle key: the content hash; the largest
-  group is the largest set of identical rows (``row_number`` streams it after a
-  sort, no buffering).
+  number among byte-identical rows, derived from the positional index (below)
+  so a large set of identical rows is spread over many tasks.
 * ``positional_index``: 1-based position in a total order without a global
   single-partition window: range-partition + sort within partitions, cut lineage
   with a reliable checkpoint, count rows per partition (one tiny aggregate),
@@ -32,23 +31,38 @@ def content_ids(df: DataFrame, name: str, cols: list[str] | None = None,
     """Add ``name`` = ``sha2(content) || '-' || occurrence``.
 
     ``content_col`` names a precomputed content string (e.g. taken before a
-    coercion), else the content of ``cols`` is used.
+    coercion), else the content of ``cols`` is used.  A partially aggregated
+    count per hash separates unique rows (occurrence 1) from repeated ones;
+    only the repeated ones are numbered, by the positional index in hash
+    order (contiguous per hash) minus the hash's first position — no window
+    or task holds a hot hash.
     """
     h = "__content_sha"
     content = F.col(content_col) if content_col else row_content(df, cols)
-    out = df.withColumn(h, F.sha2(content, 256))
-    occ = F.row_number().over(Window.partitionBy(h).orderBy(h))
-    return out.withColumn(name, F.concat(F.col(h), F.lit("-"), occ.cast("string"))).drop(h)
+    hashed = df.withColumn(h, F.sha2(content, 256))
+    counts = hashed.groupBy(h).agg(F.count(F.lit(1)).alias("__k"))
+    j = hashed.join(counts, h)
+    uniq = j.filter(F.col("__k") == 1).withColumn(name, F.concat(F.col(h), F.lit("-1")))
+    dup = positional_index(j.filter(F.col("__k") > 1), [h], "__pos", tie=False)
+    first = dup.groupBy(h).agg(F.min("__pos").alias("__first"))
+    dup = dup.join(first, h).withColumn(
+        name, F.concat(F.col(h), F.lit("-"), (F.col("__pos") - F.col("__first") + 1).cast("string")))
+    return uniq.drop(h, "__k").unionByName(dup.drop(h, "__k", "__pos", "__first"))
 
 
 def positional_index(df: DataFrame, order_cols: list[str], name: str = "position",
-                     num_partitions: int | None = None) -> DataFrame:
-    """Add a 1-based ``name`` following ``order_cols`` (ties: full row content)."""
+                     num_partitions: int | None = None, tie: bool = True) -> DataFrame:
+    """Add a 1-based ``name`` following ``order_cols`` (ties: full row content,
+    then a seeded random number).  The random last key only orders
+    byte-identical rows, which cannot be told apart, so the result is the
+    same; it lets the range partitioner split a run of identical rows instead
+    of sending all of them to one task."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    tie = "__tie"
-    keyed = df.withColumn(tie, F.sha2(row_content(df), 256))
-    keys = [F.col(c).asc_nulls_first() for c in order_cols] + [F.col(tie)]
+    tcol = "__tie"
+    keyed = df.withColumn(tcol, F.sha2(row_content(df), 256) if tie else F.lit(""))
+    keyed = keyed.withColumn("__salt", F.rand(17))
+    keys = [F.col(c).asc_nulls_first() for c in order_cols] + [F.col(tcol), F.col("__salt")]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
     mid = "__mid"
@@ -59,4 +73,4 @@ def positional_index(df: DataFrame, order_cols: list[str], name: str = "position
     out = (local.withColumn("__pid", pid)
            .join(F.broadcast(counts.select("__pid", "__off")), "__pid")
            .withColumn(name, F.col("__off") + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1)) + 1))
-    return out.drop(mid, "__pid", "__off", tie)
+    return out.drop(mid, "__pid", "__off", tcol, "__salt")
