@@ -243,10 +243,11 @@ def trend(frame: DataFrame, days: int = 14) -> DataFrame:
     mx = d.agg(F.max("date")).scalar()
     recent = d.filter(F.col("date") >= F.date_sub(mx, days))
     daily = recent.groupBy("kpi_name", "date").agg(F.sum("value").alias("value"))
-    dates = recent.select("date").distinct()
+    # every KPI x every recent day that has data: days come from a sequence
+    # (no join to build the grid), then a semi-join keeps days present in data
     names = recent.select("kpi_name").distinct()
-    # every KPI x every recent day; the day side is bounded by ``days + 1`` rows
-    grid = names.withColumn("__k", F.lit(1)).join(F.broadcast(dates.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    grid = names.select("kpi_name", F.explode(F.sequence(F.date_sub(mx, days), mx)).alias("date"))
+    grid = grid.join(recent.select("date").distinct(), "date", "left_semi")
     out = grid.join(daily, ["kpi_name", "date"], "left")
     return out.select("kpi_name", display_label("kpi_name").alias("label"), "date",
                       F.date_format("date", "MMM dd").alias("day_label"), round_half_up("value", 2).alias("value"))

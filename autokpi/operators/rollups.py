@@ -196,10 +196,12 @@ def report_kpis(reports: DataFrame, kpis: DataFrame, fallback: int = 20) -> Data
     k = kpis.withColumnRenamed("recorded_at", "report_date")
     matched = reports.join(k, "report_date", "inner").withColumn("fallback", F.lit(False))
     missing = reports.join(k.select("report_date").distinct(), "report_date", "left_anti")
-    newest = kpis.orderBy(F.col("recorded_at").desc(), "department_id", "user_id", "kpi_name").limit(fallback) \
-        .withColumn("__k", F.lit(1))
-    fb = (missing.withColumn("__k", F.lit(1)).join(F.broadcast(newest), "__k").drop("__k")
-          .drop("recorded_at").withColumn("fallback", F.lit(True)))
+    order = [F.col("recorded_at").desc(), "department_id", "user_id", "kpi_name"]
+    newest = kpis.orderBy(*order).limit(fallback).withColumn("__rank", F.row_number().over(Window.orderBy(*order)))
+    # each unmatched report fans out to ranks 1..n and meets the n newest rows
+    # on an equi-join (the n-row side is broadcast: its size is the parameter)
+    fb = (missing.withColumn("__rank", F.explode(F.sequence(F.lit(1), F.lit(fallback))))
+          .join(F.broadcast(newest), "__rank").drop("__rank", "recorded_at").withColumn("fallback", F.lit(True)))
     return matched.unionByName(fb)
 
 

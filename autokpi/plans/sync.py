@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autokpi.operators import forecast as fc
@@ -97,7 +97,7 @@ def analyst(frame: DataFrame, logs: DataFrame, days_since_sync, mapped: bool, as
     cleaned, actions = prepare.auto_prepare(frame)
     roles, suggestions = prepare.auto_model(cleaned)
     ins = insights.insights(frame, as_of, account)
-    days = F.lit(days_since_sync) if not hasattr(days_since_sync, "_jc") else days_since_sync
+    days = days_since_sync if isinstance(days_since_sync, Column) else F.lit(days_since_sync)
     gov = quality.governance(frame, logs, days, F.lit(bool(mapped)))
     metrics = kpi.kpi_metrics(frame)
     expl = report.explain_kpi(metrics).orderBy(F.col("z_score").desc(), "kpi_name").limit(top)
