@@ -143,9 +143,9 @@ def suggest_analyses(catalog: DataFrame, profile: DataFrame, n_overview: int = 5
                         F.col("amt")).alias("amount_column"),
                  F.when(F.col("kind") != "demographic", F.col("dt")).alias("date_column"),
                  F.concat(F.col("title_prefix"), F.lit(" ("), F.col("table_name"), F.lit(")")).alias("title"))
-    big = cat.largest(profile, n_overview)
+    big = cat.largest(profile, n_overview).join(t.select("table_name", "table_ordinal"), "table_name")
     wo = Window.orderBy(F.col("row_count").desc(), "table_ordinal")
-    big = big.join(t.select("table_name", "table_ordinal"), "table_name").withColumn("label_rank", F.row_number().over(wo))
+    big = big.withColumn("label_rank", F.row_number().over(wo))
     ov = big.select(F.lit(6).alias("rule_order"), "label_rank", F.lit(1).alias("sub"), F.lit("overview").alias("kind"),
                     "table_name", F.lit(None).cast("string").alias("amount_column"),
                     F.lit(None).cast("string").alias("date_column"),

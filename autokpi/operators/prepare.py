@@ -214,7 +214,7 @@ def auto_model(df: DataFrame, distinct_cap: int = 20) -> tuple[DataFrame, DataFr
         roles.append((i + 1, name, role, hint))
     spark = df.sparkSession
     roles_df = spark.createDataFrame(roles, "ordinal int, column_name string, role string, likely_references string") \
-        .withColumn("row_count", F.lit(s["__rows"])).withColumn("column_count", F.lit(len(fields)))
+        .withColumn("row_count", F.lit(s["__rows"]).cast("bigint")).withColumn("column_count", F.lit(len(fields)))
     metrics = [r[1] for r in roles if r[2] == "metric"]
     dates = [r[1] for r in roles if r[2] == "date"]
     cats = [r[1] for r in roles if r[2] == "category"]

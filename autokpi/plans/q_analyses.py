@@ -36,7 +36,8 @@ def _demo_sql(tab: str, cols: list[str]) -> str:
 WITH long AS ({unp}),
 counts AS (SELECT o, c, v, count(*) AS total FROM long GROUP BY o, c, v),
 nv AS (SELECT o FROM counts GROUP BY o HAVING count(*) >= 2 ORDER BY o LIMIT 4),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY total DESC, v ASC NULLS LAST) AS rank FROM counts)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY o ORDER BY total DESC, v ASC NULLS LAST) AS INT) AS rank
+           FROM counts)
 SELECT c AS column_name, o + 1 AS col_ordinal, v AS bucket, total, rank
 FROM ranked WHERE rank <= 12 AND o IN (SELECT o FROM nv)"""
 

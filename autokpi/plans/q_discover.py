@@ -64,7 +64,8 @@ def q_s4(spark, sf):
         .select("table_name", "table_ordinal", "ordinal", "column_name", "is_view")
 
 
-PROFILE_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ALL_TABLES)
+PROFILE_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {i + 1} AS table_ordinal, count(*) AS row_count FROM {t}"
+                                 for i, t in enumerate(ALL_TABLES))
 
 
 @register("s5_table_profile", with_fixtures("SELECT * FROM prof", ("prof", PROFILE_SQL)))
@@ -80,8 +81,8 @@ def q_s8(spark, sf):
 
 
 @register("t2_largest_tables", with_fixtures("""
-SELECT p.table_name, p.row_count FROM prof p JOIN tord o USING (table_name)
-WHERE row_count > 0 ORDER BY row_count DESC, table_name LIMIT 5""", ("prof", PROFILE_SQL), TORD))
+SELECT p.table_name, p.row_count FROM prof p
+WHERE row_count > 0 ORDER BY row_count DESC, p.table_ordinal LIMIT 5""", ("prof", PROFILE_SQL), TORD))
 def q_t2(spark, sf):
     """The 5 largest non-empty tables."""
     return cat.largest(cat.table_profile(_tables(spark, sf)), 5)
@@ -89,7 +90,7 @@ def q_t2(spark, sf):
 
 @register("a19_overview_kpis", with_fixtures("""
 SELECT 'Table rows: ' || table_name AS kpi_name, CAST(row_count AS DOUBLE) AS value
-FROM prof ORDER BY row_count DESC, table_name LIMIT 10""", ("prof", PROFILE_SQL)))
+FROM prof ORDER BY row_count DESC, table_ordinal LIMIT 10""", ("prof", PROFILE_SQL)))
 def q_a19(spark, sf):
     """The 10 largest tables as KPI rows (overview fallback)."""
     return cat.overview_kpis(cat.table_profile(_tables(spark, sf)), 10)
@@ -209,7 +210,7 @@ V10_CTES = (
     ("ov", """SELECT 6 AS rule_order, row_number() OVER (ORDER BY p.row_count DESC, o.table_ordinal) AS label_rank, 1 AS sub,
        'overview' AS kind, p.table_name, NULL AS amount_column, NULL AS date_column,
        'Table overview: ' || p.table_name AS title
-       FROM (SELECT * FROM prof WHERE row_count > 0 ORDER BY row_count DESC, table_name LIMIT 5) p
+       FROM (SELECT table_name, row_count FROM prof WHERE row_count > 0 ORDER BY row_count DESC, table_ordinal LIMIT 5) p
        JOIN tord o USING (table_name)"""),
 )
 
@@ -288,7 +289,7 @@ def _roles_sql(tab: str, cols: list[tuple[str, str]]) -> str:
             ident = any(k in low for k in prepare.TEXT_ID_HINTS)
             role = ("CASE WHEN count({c}) = 0 THEN 'empty' WHEN count(DISTINCT {c}) <= 20 THEN 'category' " +
                     ("ELSE 'identifier' END" if ident else "ELSE 'text' END"))
-        hint = "NULL"
+        hint = "CAST(NULL AS VARCHAR)"
         if kind == "str" and (low.endswith("_id") or low.endswith("_code")):
             hint = f"'{low.replace('_id', '').replace('_code', '')}'"
         parts.append(f"SELECT {i + 1} AS ordinal, '{c}' AS column_name, {role.format(c=c)} AS role, "

@@ -206,7 +206,7 @@ def q_t1(spark, sf):
 
 
 @register("t3_newest_logs_per_department", with_fixtures("""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY department_id ORDER BY created_at DESC, id DESC) AS rank
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY department_id ORDER BY created_at DESC, id DESC) AS INT) AS rank
                FROM fx_validation_logs) WHERE rank <= 50"""))
 def q_t3(spark, sf):
     """Newest 50 validation logs per department."""
@@ -248,8 +248,9 @@ def _cust(spark, sf):
                                                F.col("c_mktsegment").alias("segment"))
 
 
-NPS_SQL = """count(score) AS responses, sum(CASE WHEN score >= 9 THEN 1 ELSE 0 END) AS promoters,
-  sum(CASE WHEN score BETWEEN 7 AND 8 THEN 1 ELSE 0 END) AS passives, sum(CASE WHEN score <= 6 THEN 1 ELSE 0 END) AS detractors,
+NPS_SQL = """count(score) AS responses, CAST(sum(CASE WHEN score >= 9 THEN 1 ELSE 0 END) AS BIGINT) AS promoters,
+  CAST(sum(CASE WHEN score BETWEEN 7 AND 8 THEN 1 ELSE 0 END) AS BIGINT) AS passives,
+  CAST(sum(CASE WHEN score <= 6 THEN 1 ELSE 0 END) AS BIGINT) AS detractors,
   round(sum(CASE WHEN score >= 9 THEN 1 ELSE 0 END) * 100.0 / count(score)
         - sum(CASE WHEN score <= 6 THEN 1 ELSE 0 END) * 100.0 / count(score), 1) AS nps_score"""
 
@@ -290,7 +291,7 @@ def q_a17(spark, sf):
 
 
 @register("w5_ranked_daily_channel", with_fixtures(f"""
-SELECT *, row_number() OVER (PARTITION BY channel ORDER BY day DESC) AS day_rank
+SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY day DESC) AS INT) AS day_rank
 FROM (SELECT channel, submitted_at AS day, {NPS_SQL} FROM fx_feedback GROUP BY 1, 2)"""))
 def q_w5(spark, sf):
     """Daily NPS per channel ranked newest first."""

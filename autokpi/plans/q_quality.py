@@ -202,7 +202,8 @@ F9_S = """
 
 
 @register("f9_governance_dirty", with_fixtures("""
-SELECT *, round((completeness + freshness + validity + traceability) / 4, 1) AS overall,
+SELECT completeness, CAST(freshness AS DOUBLE) AS freshness, validity, CAST(traceability AS DOUBLE) AS traceability,
+  round((completeness + freshness + validity + traceability) / 4, 1) AS overall,
   CASE WHEN round((completeness + freshness + validity + traceability) / 4, 1) >= 90 THEN 'A'
        WHEN round((completeness + freshness + validity + traceability) / 4, 1) >= 75 THEN 'B'
        WHEN round((completeness + freshness + validity + traceability) / 4, 1) >= 60 THEN 'C'
@@ -264,7 +265,7 @@ def q_j6_users(spark, sf):
 
 @register("v14_mapping_status", with_fixtures("""
 SELECT f.template_id, count(*) AS total_fields, count(m.id) AS mapped_fields,
-  sum(CASE WHEN f.required THEN 1 ELSE 0 END) AS required_fields,
+  CAST(sum(CASE WHEN f.required THEN 1 ELSE 0 END) AS BIGINT) AS required_fields,
   coalesce(string_agg(CASE WHEN f.required AND m.id IS NULL THEN f.global_field_name END, ',' ORDER BY f.global_field_name), '') AS missing_required,
   coalesce(string_agg(CASE WHEN NOT f.required AND m.id IS NULL THEN f.global_field_name END, ',' ORDER BY f.global_field_name), '') AS missing_optional,
   coalesce(string_agg(CASE WHEN f.required AND m.id IS NULL THEN f.global_field_name END, ','), '') = '' AS valid
@@ -306,7 +307,7 @@ TABLE_ORDER = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i + 1})" for i, t
 
 
 @register("j9_match_fields", with_fixtures("""
-SELECT semantic_field, semantic_field_id, table_name, column_name, score, rank,
+SELECT semantic_field, semantic_field_id, table_name, column_name, CAST(score AS BIGINT) AS score, CAST(rank AS INT) AS rank,
        CAST(round(least(1.0, 0.4 + score * 0.2), 2) AS DOUBLE) AS confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY semantic_field_id ORDER BY score DESC, table_ordinal, ordinal) AS rank FROM (
     SELECT f.global_field_name AS semantic_field, f.id AS semantic_field_id, c.table_name, c.column_name,

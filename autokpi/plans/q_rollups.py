@@ -77,7 +77,7 @@ FROM fx_departments d
 LEFT JOIN (SELECT department_id, count(*) AS n FROM fx_kpi_results WHERE status <> 'NORMAL' GROUP BY 1) a
   ON a.department_id = d.id
 LEFT JOIN (SELECT * FROM (SELECT department_id, kpi_name, recorded_at, value, status,
-             row_number() OVER (PARTITION BY department_id ORDER BY recorded_at DESC, kpi_name, user_id) AS rank
+             CAST(row_number() OVER (PARTITION BY department_id ORDER BY recorded_at DESC, kpi_name, user_id) AS INT) AS rank
            FROM fx_kpi_results) WHERE rank <= 6) t ON t.department_id = d.id"""))
 def q_w4(spark, sf):
     """Newest 6 KPIs and anomaly count per department."""
@@ -167,7 +167,8 @@ def q_j7(spark, sf):
 SELECT department_id, recorded_at, kpi_name, user_id, related_kpi_name, related_user_id, related_value, related_rank
 FROM (SELECT m.department_id, m.recorded_at, m.kpi_name, m.user_id, h.kpi_name AS related_kpi_name,
         h.user_id AS related_user_id, h.value AS related_value,
-        row_number() OVER (PARTITION BY m.department_id, m.recorded_at, m.kpi_name, m.user_id ORDER BY h.rn) AS related_rank
+        CAST(row_number() OVER (PARTITION BY m.department_id, m.recorded_at, m.kpi_name, m.user_id ORDER BY h.rn) AS INT)
+          AS related_rank
       FROM fx_kpi_results m JOIN (SELECT *, row_number() OVER (PARTITION BY department_id, recorded_at
                                                                ORDER BY kpi_name, user_id) AS rn FROM fx_kpi_results) h
         ON h.department_id = m.department_id AND h.recorded_at = m.recorded_at AND h.rn <= 21

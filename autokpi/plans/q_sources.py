@@ -138,14 +138,14 @@ def q_l4(spark, sf):
 
 @register("l2_overview_kpis", """
 SELECT 'Table rows: ' || t AS kpi_name, CAST(n AS DOUBLE) AS value, 'NORMAL' AS status FROM (
-  SELECT 'region' AS t, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation
-  UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier
-  UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders
-  UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events
-  UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings
-  UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark
-  UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'conversations', count(*) FROM conversations)
-ORDER BY n DESC, t LIMIT 10""")
+  SELECT 'region' AS t, 1 AS o, count(*) AS n FROM region UNION ALL SELECT 'nation', 2, count(*) FROM nation
+  UNION ALL SELECT 'customer', 3, count(*) FROM customer UNION ALL SELECT 'supplier', 4, count(*) FROM supplier
+  UNION ALL SELECT 'part', 5, count(*) FROM part UNION ALL SELECT 'orders', 6, count(*) FROM orders
+  UNION ALL SELECT 'lineitem', 7, count(*) FROM lineitem UNION ALL SELECT 'events', 8, count(*) FROM events
+  UNION ALL SELECT 'documents', 9, count(*) FROM documents UNION ALL SELECT 'embeddings', 10, count(*) FROM embeddings
+  UNION ALL SELECT 'pages', 11, count(*) FROM pages UNION ALL SELECT 'benchmark', 12, count(*) FROM benchmark
+  UNION ALL SELECT 'labels', 13, count(*) FROM labels UNION ALL SELECT 'conversations', 14, count(*) FROM conversations)
+ORDER BY n DESC, o LIMIT 10""")
 def q_l2(spark, sf):
     """L2: overview fallback KPIs (10 largest driver tables) when nothing is extractable."""
     from autokpi.plans.fixtures import BASE_TABLES

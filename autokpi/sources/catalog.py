@@ -54,11 +54,11 @@ def catalog_from_spark(spark: SparkSession, database: str | None = None, max_tab
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Exact row count per table, all tables in one job (union of
-    per-table global counts; Parquet answers each from footers when aggregate
-    push-down is on)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-             for name, df in tables.items()]
+    """Exact row count per table (with its catalog position), all tables
+    in one job (union of per-table global counts)."""
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(name).alias("table_name"), F.lit(i + 1).alias("table_ordinal"), "row_count")
+             for i, (name, df) in enumerate(tables.items())]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -170,13 +170,14 @@ def foreign_keys(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
 
 
 def largest(profile: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` largest tables with rows > 0 (ties by name)."""
-    return profile.filter(F.col("row_count") > 0).orderBy(F.col("row_count").desc(), "table_name").limit(n)
+    """The ``n`` largest tables with rows > 0 (ties: catalog order)."""
+    return (profile.filter(F.col("row_count") > 0).orderBy(F.col("row_count").desc(), "table_ordinal").limit(n)
+            .select("table_name", "row_count"))
 
 
 def overview_kpis(profile: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` largest tables as KPI rows ``Table rows: <name>``."""
-    top = profile.orderBy(F.col("row_count").desc_nulls_last(), "table_name").limit(n)
+    top = profile.orderBy(F.col("row_count").desc_nulls_last(), "table_ordinal").limit(n)
     return top.select(F.concat(F.lit("Table rows: "), F.col("table_name")).alias("kpi_name"),
                       F.col("row_count").cast("double").alias("value"))
 
