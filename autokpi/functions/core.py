@@ -5,6 +5,8 @@ ANSI mode stays on; every coercion that may fail is an explicit ``try_*``.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
@@ -27,6 +29,17 @@ def lenient_timestamp(col, dtype: DataType | None = None) -> Column:
     return c.cast("string").try_cast("timestamp_ntz")
 
 
+def ntz_literal(value) -> Column:
+    """A time-zone-free TIMESTAMP_NTZ literal from a date, datetime or ISO
+    text (a naive Python datetime would otherwise become a session-time-zone
+    TIMESTAMP)."""
+    if isinstance(value, _dt.datetime):
+        value = value.isoformat(sep=" ")
+    elif isinstance(value, _dt.date):
+        value = value.isoformat()
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def lenient_date(col, dtype: DataType | None = None) -> Column:
     return F.to_date(lenient_timestamp(col, dtype))
 

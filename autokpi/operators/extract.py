@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from autokpi.functions.core import ntz_literal
+
 
 def as_of_column(df: DataFrame, ts: str, as_of=None) -> Column:
     """The reference instant as a column.
@@ -26,7 +28,7 @@ def as_of_column(df: DataFrame, ts: str, as_of=None) -> Column:
         return df.agg(F.max(ts)).scalar()
     if isinstance(as_of, str):
         as_of = _dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of)
+    return ntz_literal(as_of)
 
 
 def daily_totals(df: DataFrame, amount: str, date: str, label: str,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autokpi.functions.core import lenient_double, lenient_timestamp, title_label
+from autokpi.functions.core import lenient_double, lenient_timestamp, ntz_literal, title_label
 from autokpi.functions.ids import content_ids, positional_index, row_content
 
 KPI_COLUMNS = ["date", "kpi_name", "value", "source_row_id", "record_label", "customer_id", "report_date"]
@@ -87,7 +87,7 @@ def trailing(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     elif isinstance(as_of, _dt.date) and not isinstance(as_of, _dt.datetime):
         as_of = _dt.datetime.combine(as_of, _dt.time())
     bound = as_of - _dt.timedelta(days=days)
-    return df.filter(F.col(ts) > F.lit(bound))
+    return df.filter(F.col(ts) > ntz_literal(bound))
 
 
 def is_retired(name: Column) -> Column:

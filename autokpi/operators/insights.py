@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autokpi.functions.core import round_half_up, title_label
+from autokpi.functions.core import ntz_literal, round_half_up, title_label
 from autokpi.operators.kpi import daily_frame
 
 INSIGHT_COLUMNS = ["type", "kpi", "severity", "title", "explanation", "value"]
@@ -120,8 +120,9 @@ def concentration(frame: DataFrame, account: str = "customer_id", top: int = 5,
 def freshness(frame: DataFrame, as_of, info_days: int = 3, warn_days: int = 7, report_only: bool = True) -> DataFrame:
     """whole days from the newest ``date`` to ``as_of``; > 3 info, > 7 warning."""
     latest = frame.agg(F.max("date").alias("__latest"))
-    ref = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
-    secs = F.unix_timestamp(ref.cast("timestamp")) - F.unix_timestamp(F.col("__latest").cast("timestamp"))
+    ref = as_of if isinstance(as_of, Column) else ntz_literal(as_of)
+    # wall-clock seconds between two zone-free timestamps, floored to days
+    secs = F.timestamp_diff("SECOND", F.col("__latest").cast("timestamp_ntz"), ref.cast("timestamp_ntz"))
     s = latest.withColumn("__days", F.floor(secs / 86400).cast("bigint"))
     if report_only:
         s = s.filter(F.col("__days") > info_days)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from autokpi.functions.core import display_label, round_half_up, title_label
+from autokpi.functions.core import display_label, ntz_literal, round_half_up, title_label
 
 # Name hints used by the chart column picker.
 X_HINTS = ("date", "time", "at", "day", "month", "year")
@@ -140,7 +140,7 @@ def due(prefs: DataFrame, at, yearly: bool = True) -> DataFrame:
     sync time and (daily, or weekly on Monday, or monthly on day 1, or yearly
     on MM-DD; defaults daily and 01-01).  ``yearly=False`` is the department
     variant (no yearly rule)."""
-    t = F.lit(at).cast("timestamp_ntz")
+    t = ntz_literal(at)
     freq = F.coalesce(F.col("sync_frequency"), F.lit("daily"))
     ok = (freq == "daily") | ((freq == "weekly") & (F.weekday(t) == 0)) | \
          ((freq == "monthly") & (F.dayofmonth(t) == 1))
