@@ -96,6 +96,27 @@ def read_source(spark: SparkSession, spec: dict) -> DataFrame:
     return reader.options(**opts).load()
 
 
+def jdbc_catalog(spark: SparkSession, name: str, url: str, type: str | None = None, user: str | None = None,
+                 password: str | None = None, options: dict | None = None) -> None:
+    """S1 with full push-down: register a JDBC source as a DataSource V2
+    catalog, so ``spark.table(f"{name}.<schema>.<table>")`` pushes filters,
+    column pruning, aggregates (``SUM ... GROUP BY``), limits and top-N into the
+    source database — the in-source daily aggregation of the extraction step,
+    without writing dialect SQL.  Session configuration only; read-only use."""
+    dialect = detect_dialect(url, type)
+    prefix = f"spark.sql.catalog.{name}"
+    spark.conf.set(prefix, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    spark.conf.set(f"{prefix}.url", jdbc_url(url, dialect))
+    if dialect in JDBC_DRIVERS:
+        spark.conf.set(f"{prefix}.driver", JDBC_DRIVERS[dialect])
+    for k, v in (("user", user), ("password", password)):
+        if v:
+            spark.conf.set(f"{prefix}.{k}", v)
+    opts = {"pushDownAggregate": "true", "pushDownLimit": "true", "pushDownOffset": "true", **(options or {})}
+    for k, v in opts.items():
+        spark.conf.set(f"{prefix}.{k}", str(v))
+
+
 # Fixed value: the date-like name hints of document collections.
 DOC_DATE_HINTS = ("date", "time", "at")
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from autokpi.operators import kpi
 
@@ -98,3 +99,32 @@ def test_partition_count_independence(spark):
         assert res[0] == res[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_non_utc_session_gives_same_results(spark):
+    from conftest import SF_SMALL
+    from autokpi.plans.registry import QUERIES, load_all
+    load_all()
+    names = ["w1_kpi_metrics_events", "a1_daily_totals_orders", "p4_trailing_30d_events", "f7_freshness_events",
+             "p10_due_schedules"]
+    base = {n: sorted(map(str, QUERIES[n](spark, SF_SMALL).collect())) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for n in names:
+            assert sorted(map(str, QUERIES[n](spark, SF_SMALL).collect())) == base[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_identical_rows_are_numbered_and_spread(spark):
+    from autokpi.functions.ids import content_ids, positional_index
+    df = spark.createDataFrame([("hot", 1)] * 300 + [(f"k{i}", i) for i in range(50)], "x string, y int")
+    ids = content_ids(df, "rid").select("x", "rid").collect()
+    hot = sorted(int(r.rid.rsplit("-", 1)[1]) for r in ids if r.x == "hot")
+    assert hot == list(range(1, 301))
+    assert all(r.rid.endswith("-1") for r in ids if r.x != "hot")
+    pos = positional_index(df, ["x"], "pos", num_partitions=8)
+    parts = pos.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in parts) < 300  # the run of identical rows is split across tasks
+    assert sorted(r.pos for r in pos.collect()) == list(range(1, 351))
