@@ -19,7 +19,7 @@ def mapping_rules(mappings: DataFrame, fields: DataFrame) -> DataFrame:
     ``factor`` (default 1), ``offset`` (default 0)."""
     rule = F.col("transformation_rule")
     f = fields.select(F.col("id").alias("template_field_id"), "global_field_name", "data_type")
-    return (mappings.join(F.broadcast(f), "template_field_id", "inner")
+    return (mappings.join(f, "template_field_id", "inner")
             .select("template_field_id", "local_column_name", "global_field_name", "data_type",
                     F.get_json_object(rule, "$.type").alias("rule_type"),
                     F.coalesce(F.get_json_object(rule, "$.factor").try_cast("double"), F.lit(1.0)).alias("factor"),
@@ -100,7 +100,7 @@ def runtime_config(departments: DataFrame, templates: DataFrame) -> DataFrame:
     config JSON; defaults null 0.10, anomaly 0.50, critical z 3.0."""
     t = templates.select(F.col("id").alias("template_id"), "config")
     vr = "$.validation_rules"
-    j = departments.join(F.broadcast(t), "template_id", "left")
+    j = departments.join(t, "template_id", "left")
     return j.select(
         F.col("id").alias("department_id"), F.col("name").alias("company_name"),
         F.coalesce(F.get_json_object("config", f"{vr}.null_threshold").try_cast("double"), F.lit(0.10))

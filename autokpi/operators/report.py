@@ -130,9 +130,11 @@ def report_rows(kpis: DataFrame, scope: str = "all", department_ids: list | None
 def alert_rows(anomalies: DataFrame, recipients: DataFrame, on: str | list[str] = "department_id",
                min_deviation: float = 3.0) -> DataFrame:
     """CRITICAL anomalies with deviation > 3.0, one row per recipient of
-    the anomaly's tenant (equi-join on ``on``; recipients are a dimension)."""
+    the anomaly's tenant (equi-join on ``on``).  No broadcast hint: the
+    recipient list has no proven bound, so the planner / AQE broadcasts it only
+    when its measured size is small and shuffles otherwise."""
     crit = anomalies.filter((F.col("severity") == "CRITICAL") & (F.col("deviation") > min_deviation))
-    return crit.join(F.broadcast(recipients), on)
+    return crit.join(recipients, on)
 
 
 def due(prefs: DataFrame, at, yearly: bool = True) -> DataFrame:

@@ -18,9 +18,10 @@ UNASSIGNED = "Unassigned"
 
 def with_department(kpis: DataFrame, depts: DataFrame) -> DataFrame:
     """KPI rows with their department name; missing -> 'Unassigned'.
-    Departments are a dimension of a few rows: broadcast left join."""
+    Left equi-join; the department dimension is broadcast by the planner /
+    AQE when its measured size is small (no unchecked hint)."""
     d = depts.select(F.col("id").alias("department_id"), F.col("name").alias("department_name"))
-    return (kpis.join(F.broadcast(d), "department_id", "left")
+    return (kpis.join(d, "department_id", "left")
             .withColumn("department_name", F.coalesce(F.col("department_name"), F.lit(UNASSIGNED))))
 
 
@@ -115,26 +116,25 @@ def department_directory(depts: DataFrame, roles: DataFrame, kpis: DataFrame, te
     t = templates.select(F.col("id").alias("template_id"), F.col("config").alias("template_config"))
     d = depts.select(F.col("id").alias("department_id"), "name", "template_id", "heartbeat_schedule")
     return (d.join(users, "department_id", "left").join(last, "department_id", "left")
-            .join(F.broadcast(t), "template_id", "left")
+            .join(t, "template_id", "left")
             .withColumn("user_count", F.coalesce("user_count", F.lit(0))))
 
 
 def user_directory(users: DataFrame, roles: DataFrame, depts: DataFrame) -> DataFrame:
     """Users ⟕ role ⟕ department name."""
     d = depts.select(F.col("id").alias("department_id"), F.col("name").alias("department_name"))
-    return users.join(roles, "user_id", "left").join(F.broadcast(d), "department_id", "left")
+    return users.join(roles, "user_id", "left").join(d, "department_id", "left")
 
 
 def tenant_scope(df: DataFrame, roles: DataFrame, user_id) -> DataFrame:
     """J5 for one viewer: admins see every row; others see rows of their
     departments or rows they own.  The admin test is an uncorrelated scalar
-    subquery; the department test a broadcast semi-join on the viewer's
-    (few) role rows."""
+    subquery; the department test a left join on the viewer's role rows."""
     mine = roles.filter(F.col("user_id") == F.lit(user_id))
     is_admin = mine.agg(F.max(F.when(F.col("role") == "admin", 1).otherwise(0))).scalar()
     depts = mine.filter(F.col("department_id").isNotNull()).select("department_id").distinct() \
         .withColumn("__hit", F.lit(True))
-    j = df.join(F.broadcast(depts), "department_id", "left")
+    j = df.join(depts, "department_id", "left")
     return j.filter((F.coalesce(is_admin, F.lit(0)) == 1) | F.col("__hit").isNotNull() |
                     (F.col("user_id") == F.lit(user_id))).drop("__hit")
 
