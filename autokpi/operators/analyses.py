@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 def time_series_sum(df: DataFrame, amount: str, date: str, n: int | None = 24) -> DataFrame:
     """A2: monthly ``SUM(amount)``; the newest ``n`` months (a top-n, not a
-    sort of everything); null dates dropped (D4).  Columns bucket DATE, total."""
+    sort of everything); null dates dropped (D4).  Columns bucket DATE, total.
+    Scale: shuffle key = month; partial aggregation leaves one row per month
+    per task; one job."""
     g = (df.filter(F.col(date).isNotNull())
          .groupBy(F.to_date(F.date_trunc("month", F.col(date))).alias("bucket"))
          .agg(F.sum(F.col(amount).try_cast("double")).alias("total")))
@@ -25,7 +27,8 @@ def time_series_sum(df: DataFrame, amount: str, date: str, n: int | None = 24) -
 
 
 def count_over_time(df: DataFrame, date: str, n: int | None = 26) -> DataFrame:
-    """A3: weekly row count (weeks start Monday), newest ``n`` weeks."""
+    """A3: weekly row count (weeks start Monday), newest ``n`` weeks.
+    Scale: shuffle key = week (partial counts per task); one job."""
     g = (df.filter(F.col(date).isNotNull())
          .groupBy(F.to_date(F.date_trunc("week", F.col(date))).alias("bucket"))
          .agg(F.count(F.lit(1)).alias("total")))
@@ -65,7 +68,8 @@ def demographic(df: DataFrame, top: int = 12, max_cols: int = 4) -> DataFrame:
 
 
 def missing_recent(df: DataFrame, date: str) -> DataFrame:
-    """A5: ``MAX(date)`` and ``COUNT(*)`` in one aggregate."""
+    """A5: ``MAX(date)`` and ``COUNT(*)`` in one aggregate (partial per task,
+    one row to the final stage); one job."""
     return df.agg(F.max(date).alias("last_seen"), F.count(F.lit(1)).alias("total_records"))
 
 

@@ -44,7 +44,9 @@ def canonicalise(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     ``source_row_id`` / ``record_label`` / ``customer_id`` are filled only when
     the column is absent: content hash + occurrence, ``kpi_name``, and
     ``CUST-0001..`` by position in ``order_by`` (default: date, kpi_name, value).
-    No shuffle unless an id has to be generated.
+    Scale: narrow (no shuffle) unless an id has to be generated; content ids
+    add one count by content hash, positional ids one range sort and a
+    reliable checkpoint (see ``functions.ids``).
     """
     missing = sorted({"date", "kpi_name", "value"} - set(df.columns))
     if missing:
@@ -112,7 +114,7 @@ def hide_retired_messages(df: DataFrame, col: str = "message") -> DataFrame:
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """P5: JSON-safe projection by type.
+    """P5: JSON-safe projection by type (narrow, no shuffle).
 
     Dates/timestamps -> ISO text, binary -> lower hex, decimal -> double,
     arrays/structs/maps -> JSON text; everything else unchanged.  One projection.

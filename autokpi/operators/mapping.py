@@ -16,7 +16,8 @@ from autokpi.functions.core import round_half_up
 def mapping_rules(mappings: DataFrame, fields: DataFrame) -> DataFrame:
     """Mapping ⋈ field definition on ``template_field_id = id``; mappings
     without a field are dropped.  Rule JSON is parsed into ``rule_type``,
-    ``factor`` (default 1), ``offset`` (default 0)."""
+    ``factor`` (default 1), ``offset`` (default 0).  Scale: configuration
+    tables; the planner broadcasts the field side by measured size."""
     rule = F.col("transformation_rule")
     f = fields.select(F.col("id").alias("template_field_id"), "global_field_name", "data_type")
     return (mappings.join(f, "template_field_id", "inner")
@@ -33,6 +34,8 @@ def apply_mappings(df: DataFrame, rules: DataFrame) -> DataFrame:
     Arithmetic uses ``try_cast`` so one bad mapping never discards the others,
     and upper/lower keep nulls null (D9).  Rules apply in
     ``template_field_id`` order (a later rule for the same name wins).
+    Scale: one job to read the (bounded) rule list; the mapping itself is a
+    narrow projection — no shuffle.
     """
     rows = rules.orderBy("template_field_id", "local_column_name").collect()
     out = df

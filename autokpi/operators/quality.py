@@ -37,7 +37,9 @@ def validation_frame(df: DataFrame, kpi_names: list[str] | None = None) -> DataF
     ``report_date`` '' and ``customer_id`` 'ACCOUNT-PRIMARY'; every extra column
     -> its first non-null value by ``source_row_id`` (D8).  No ``kpi_name`` ->
     distinct keys only.  The pivot value list is the distinct KPI names
-    (bounded metadata, collected once unless given).  One shuffle on the keys.
+    (bounded metadata, collected once unless given).  Scale: one shuffle on
+    (report_date, customer_id) with partial aggregation; largest group = the
+    rows of one account-day; one job (+1 to list the KPI names).
     """
     if "report_date" in df.columns:
         rd = F.coalesce(F.col("report_date").cast("string"), F.lit(""))
@@ -215,7 +217,9 @@ def magnitude_check(cur: DataFrame, hist: DataFrame, threshold: float = 0.50) ->
 
 def validate(vf: DataFrame, fields: DataFrame, null_threshold: float = 0.10,
              anomaly_threshold: float = 0.50, soften_schema: bool = False) -> DataFrame:
-    """V5: schema, null, magnitude checks in that order, as long rows with ``seq``."""
+    """V5: schema, null, magnitude checks in that order, as long rows with ``seq``.
+    Scale: each check is one aggregate over the validation frame (shared
+    exchange), the newest date one scalar subquery; one action."""
     cur, hist = split_latest(vf)
     parts = [schema_check(vf, fields, soften_schema), null_check(cur, null_threshold),
              magnitude_check(cur, hist, anomaly_threshold)]
@@ -271,7 +275,8 @@ def pass_rate(depts: DataFrame, logs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def rag_status(kpis: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Any CRITICAL -> RED, any WARNING -> AMBER, else GREEN (per group)."""
+    """Any CRITICAL -> RED, any WARNING -> AMBER, else GREEN (per group).
+    Scale: one aggregate by ``by`` (partial max per task); one job."""
     rank = F.max(F.when(F.col("status") == "CRITICAL", 2).when(F.col("status") == "WARNING", 1).otherwise(0))
     g = kpis.groupBy(*(by or [])).agg(rank.alias("__r"))
     return g.select(*(by or []), F.when(F.col("__r") == 2, "RED").when(F.col("__r") == 1, "AMBER")

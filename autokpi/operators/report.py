@@ -84,7 +84,8 @@ def custom_chart(df: DataFrame, kind: str, x: str | None, y: str | None, order_b
 
 
 def snapshot(kpis: DataFrame, n: int = 12) -> DataFrame:
-    """Top ``n`` KPIs by value (null -> 0) descending, with display label."""
+    """Top ``n`` KPIs by value (null -> 0) descending, with display label.
+    Scale: TakeOrderedAndProject — each task keeps n rows; one job."""
     v = F.coalesce(F.col("value").try_cast("double"), F.lit(0.0))
     keys = [c for c in ("recorded_at", "kpi_name", "department_id", "user_id") if c in kpis.columns]
     top = kpis.withColumn("__v", v).orderBy(F.col("__v").desc(), *keys).limit(n)
@@ -108,7 +109,8 @@ def report_rows(kpis: DataFrame, scope: str = "all", department_ids: list | None
     anomaly rows; ``departments`` -> the same caps within the chosen
     departments; ``own`` -> the user's newest 100 / 50.  The inclusive date
     range applies before the cap (whole last day, D24); the KPI-name filter
-    applies after it.  ``kind`` = 'kpi' or 'anomaly'."""
+    applies after it.  ``kind`` = 'kpi' or 'anomaly'.  Scale: pushed filters
+    plus a top-``cap`` (n rows per task); one job."""
     caps = {"all": (200, 100), "departments": (200, 100), "own": (100, 50)}
     cap = caps.get(scope, caps["own"])[0 if kind == "kpi" else 1]
     df = kpis
@@ -141,7 +143,7 @@ def due(prefs: DataFrame, at, yearly: bool = True) -> DataFrame:
     """P10: tenants whose schedule is due at instant ``at``: HH:MM equals the
     sync time and (daily, or weekly on Monday, or monthly on day 1, or yearly
     on MM-DD; defaults daily and 01-01).  ``yearly=False`` is the department
-    variant (no yearly rule)."""
+    variant (no yearly rule).  Narrow filter; no shuffle."""
     t = ntz_literal(at)
     freq = F.coalesce(F.col("sync_frequency"), F.lit("daily"))
     ok = (freq == "daily") | ((freq == "weekly") & (F.weekday(t) == 0)) | \
@@ -227,7 +229,8 @@ def briefing(kpis: DataFrame, anomalies: DataFrame, by: list[str] | None = None)
 
 def validation_logs(logs: DataFrame, check_type: str | None = None, department_id=None, limit: int = 100
                     ) -> DataFrame:
-    """Validation logs filtered by check type / department, newest first, top ``limit``."""
+    """Validation logs filtered by check type / department, newest first,
+    top ``limit`` (pushed filters + TakeOrdered)."""
     df = logs
     if check_type is not None:
         df = df.filter(F.col("check_type") == check_type)

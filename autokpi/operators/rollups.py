@@ -26,7 +26,8 @@ def with_department(kpis: DataFrame, depts: DataFrame) -> DataFrame:
 
 
 def department_breakdown(kpis: DataFrame, depts: DataFrame) -> DataFrame:
-    """A9 (long form): per report date, department -> KPI -> sum."""
+    """A9 (long form): per report date, department -> KPI -> sum.
+    Scale: shuffle key (date, department, kpi) with partial sums; one job."""
     k = with_department(kpis, depts)
     return (k.groupBy(F.col("recorded_at").alias("report_date"), "department_name", "kpi_name")
             .agg(F.sum("value").alias("value")))
@@ -71,7 +72,9 @@ def combined_kpis(kpis: DataFrame, newest: int | None = None) -> DataFrame:
 
 
 def timeline(kpis: DataFrame, depts: DataFrame) -> DataFrame:
-    """Per recorded_at, total value and department -> value map."""
+    """Per recorded_at, total value and department -> value map.
+    Scale: two aggregation levels (date, department) then date; the map holds
+    at most one entry per department."""
     k = with_department(kpis, depts)
     per = k.groupBy("recorded_at", "department_name").agg(F.sum("value").alias("value"))
     return per.groupBy(F.col("recorded_at").alias("period")).agg(
@@ -121,7 +124,7 @@ def department_directory(depts: DataFrame, roles: DataFrame, kpis: DataFrame, te
 
 
 def user_directory(users: DataFrame, roles: DataFrame, depts: DataFrame) -> DataFrame:
-    """Users ⟕ role ⟕ department name."""
+    """Users ⟕ role ⟕ department name (equi-joins on user and department)."""
     d = depts.select(F.col("id").alias("department_id"), F.col("name").alias("department_name"))
     return users.join(roles, "user_id", "left").join(d, "department_id", "left")
 
@@ -206,7 +209,8 @@ def report_kpis(reports: DataFrame, kpis: DataFrame, fallback: int = 20) -> Data
 
 
 def template_list(templates: DataFrame, fields: DataFrame, depts: DataFrame) -> DataFrame:
-    """Templates with their field count and department count."""
+    """Templates with their field count and department count (each side
+    pre-aggregated to one row per template before the joins)."""
     fc = fields.groupBy("template_id").agg(F.count(F.lit(1)).alias("field_count"))
     dc = depts.groupBy("template_id").agg(F.count(F.lit(1)).alias("department_count"))
     t = templates.withColumnRenamed("id", "template_id")
