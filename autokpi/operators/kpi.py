@@ -23,6 +23,18 @@ def daily_frame(frame: DataFrame, key: str = "kpi_name") -> DataFrame:
             .agg(F.sum("value").alias("value")))
 
 
+def _shifted_std(frame_window) -> Column:
+    """Sample std over a window frame from sums of ``__d`` = value minus the
+    series' first value.  Exact for integer-valued data (so a z-score that is
+    exactly on a threshold stays on it, as with a two-pass std) and free of
+    the cancellation of raw sums of squares otherwise.  Null below 2 rows."""
+    n = F.count(F.col("__d")).over(frame_window)
+    s1 = F.sum(F.col("__d")).over(frame_window)
+    s2 = F.sum(F.col("__d") * F.col("__d")).over(frame_window)
+    var = (s2 - s1 * s1 / n) / (n - 1)
+    return F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))
+
+
 def _z_status(z: Column, critical: float, warning: float) -> Column:
     return (F.when(z > critical, "CRITICAL").when(z > warning, "WARNING").otherwise("NORMAL"))
 
@@ -67,12 +79,13 @@ def kpi_metrics(frame: DataFrame, latest_only: bool = True, daily: bool = True,
          .withColumn("__prev", F.lag(v, 1).over(w))
          .withColumn("__lag7", F.lag(v, 7).over(w))
          .withColumn("__first", F.first(v).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+         .withColumn("__d", v - F.col("__first"))
          .withColumn("__avg7", F.avg(v).over(w.rowsBetween(-7, -1)))
          .withColumn("__mean_all", F.avg(v).over(hist))
-         .withColumn("__std_all", F.stddev_samp(v).over(hist))
+         .withColumn("__std_all", _shifted_std(hist))
          .withColumn("__cnt_wd", F.count(v).over(wd))
          .withColumn("__mean_wd", F.avg(v).over(wd))
-         .withColumn("__std_wd", F.stddev_samp(v).over(wd)))
+         .withColumn("__std_wd", _shifted_std(wd)))
     m = m.filter(F.col("__rn") >= 2)
     if latest_only:
         m = m.filter(F.col("__rn") == F.col("__n"))
