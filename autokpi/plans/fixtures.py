@@ -99,6 +99,24 @@ FROM orders WHERE o_orderstatus = 'F'""",
 }
 FIXTURE_SQL.update(DEMO_SQL)
 
+# Semantic configuration derived from the data: one field per event type
+# (template 2; click and view required) and a mapping of ``value`` to each
+# field except the error one, on top of the fixed fx_fields / fx_mappings rows.
+CONFIG_SQL: dict[str, str] = {
+    "fields_all": """
+SELECT id, template_id, global_field_name, data_type, required FROM fx_fields
+UNION ALL
+SELECT CAST(100 + row_number() OVER (ORDER BY event_type) AS INT), 2, event_type || '_value', 'float',
+       event_type IN ('click', 'view')
+FROM (SELECT DISTINCT event_type FROM events)""",
+    "mappings_all": """
+SELECT template_field_id, local_column_name, transformation_rule FROM fx_mappings
+UNION ALL
+SELECT id, 'value', '{"type":"multiply","factor":' || CAST(id - 100 AS STRING) || '}' FROM fields_all
+WHERE template_id = 2 AND global_field_name <> 'error_value'""",
+}
+FIXTURE_SQL.update(CONFIG_SQL)
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -118,15 +136,26 @@ def register_tables(spark: SparkSession, sf_dir: str, names) -> None:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build a derived fixture view as a lazy DataFrame."""
+    """Build a derived fixture view as a lazy DataFrame (fixture views it
+    names are registered first)."""
     sql = FIXTURE_SQL[name]
     register_tables(spark, sf_dir, _tables_in(sql))
+    for dep in FIXTURE_SQL:
+        if dep != name and re.search(rf"\b{dep}\b", sql):
+            fixture(spark, sf_dir, dep).createOrReplaceTempView(dep)
     return spark.sql(sql)
 
 
 def with_fixtures(body: str, *ctes: tuple[str, str]) -> str:
     """Prefix an oracle query with the fixture CTEs it names, plus extra CTEs."""
-    used = [n for n in FIXTURE_SQL if re.search(rf"\b{n}\b", body + " ".join(c for _, c in ctes))]
+    text = body + " ".join(c for _, c in ctes)
+    used = [n for n in FIXTURE_SQL if re.search(rf"\b{n}\b", text)]
+    # fixtures named by other fixtures come first (dict order already lists them earlier)
+    for n in list(used):
+        for dep in FIXTURE_SQL:
+            if dep not in used and re.search(rf"\b{dep}\b", FIXTURE_SQL[n]):
+                used.append(dep)
+    used = [n for n in FIXTURE_SQL if n in used]
     parts = [f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in used]
     parts += [f"{n} AS ({c.strip()})" for n, c in ctes]
     if not parts:

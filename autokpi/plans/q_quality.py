@@ -229,10 +229,11 @@ SELECT m.template_field_id, m.local_column_name, f.global_field_name, f.data_typ
   json_extract_string(m.transformation_rule, '$.type') AS rule_type,
   coalesce(TRY_CAST(json_extract_string(m.transformation_rule, '$.factor') AS DOUBLE), 1.0) AS factor,
   coalesce(TRY_CAST(json_extract_string(m.transformation_rule, '$.offset') AS DOUBLE), 0.0) AS offset
-FROM fx_mappings m JOIN fx_fields f ON f.id = m.template_field_id"""))
+FROM mappings_all m JOIN fields_all f ON f.id = m.template_field_id"""))
 def q_j1(spark, sf):
-    """Mappings joined to their semantic field (the mapping to field 9 has none)."""
-    return mapping.mapping_rules(fixture(spark, sf, "fx_mappings"), fixture(spark, sf, "fx_fields"))
+    """Mappings joined to their semantic field (the mapping to field 9 has
+    none); fields and mappings include those derived from the event types."""
+    return mapping.mapping_rules(fixture(spark, sf, "mappings_all"), fixture(spark, sf, "fields_all"))
 
 
 @register("p2_apply_mappings_events", with_fixtures("""
@@ -246,10 +247,10 @@ def q_p2(spark, sf):
 
 
 @register("j6_unmapped_fields", with_fixtures("""
-SELECT * FROM fx_fields WHERE id NOT IN (SELECT template_field_id FROM fx_mappings)"""))
+SELECT * FROM fields_all WHERE id NOT IN (SELECT template_field_id FROM mappings_all)"""))
 def q_j6_fields(spark, sf):
-    """Semantic fields with no mapping."""
-    return mapping.unmapped_fields(fixture(spark, sf, "fx_fields"), fixture(spark, sf, "fx_mappings"))
+    """Semantic fields with no mapping (fixture + event-type fields)."""
+    return mapping.unmapped_fields(fixture(spark, sf, "fields_all"), fixture(spark, sf, "mappings_all"))
 
 
 @register("j6_users_without_department", with_fixtures("""
@@ -269,21 +270,21 @@ SELECT f.template_id, count(*) AS total_fields, count(m.id) AS mapped_fields,
   coalesce(string_agg(CASE WHEN f.required AND m.id IS NULL THEN f.global_field_name END, ',' ORDER BY f.global_field_name), '') AS missing_required,
   coalesce(string_agg(CASE WHEN NOT f.required AND m.id IS NULL THEN f.global_field_name END, ',' ORDER BY f.global_field_name), '') AS missing_optional,
   coalesce(string_agg(CASE WHEN f.required AND m.id IS NULL THEN f.global_field_name END, ','), '') = '' AS valid
-FROM fx_fields f LEFT JOIN (SELECT DISTINCT template_field_id AS id FROM fx_mappings) m ON m.id = f.id
+FROM fields_all f LEFT JOIN (SELECT DISTINCT template_field_id AS id FROM mappings_all) m ON m.id = f.id
 GROUP BY f.template_id"""))
 def q_v14(spark, sf):
-    """Mapping completeness per template."""
-    return mapping.mapping_status(fixture(spark, sf, "fx_fields"), fixture(spark, sf, "fx_mappings"))
+    """Mapping completeness per template (fixture template 1, event-type template 2)."""
+    return mapping.mapping_status(fixture(spark, sf, "fields_all"), fixture(spark, sf, "mappings_all"))
 
 
 @register("v13_kpi_mode", with_fixtures("""
 SELECT f.template_id, CASE WHEN count(*) = 0 THEN 'auto' WHEN count(m.id) = count(*) THEN 'configured'
   ELSE 'configured-unmapped' END AS mode, count(*) AS total_fields, count(m.id) AS mapped_fields
-FROM fx_fields f LEFT JOIN (SELECT DISTINCT template_field_id AS id FROM fx_mappings) m ON m.id = f.id
+FROM fields_all f LEFT JOIN (SELECT DISTINCT template_field_id AS id FROM mappings_all) m ON m.id = f.id
 GROUP BY f.template_id"""))
 def q_v13(spark, sf):
-    """KPI mode per template."""
-    return mapping.kpi_mode(fixture(spark, sf, "fx_fields"), fixture(spark, sf, "fx_mappings"))
+    """KPI mode per template (fixture template 1, event-type template 2)."""
+    return mapping.kpi_mode(fixture(spark, sf, "fields_all"), fixture(spark, sf, "mappings_all"))
 
 
 @register("p13_runtime_config", with_fixtures("""
@@ -314,10 +315,11 @@ SELECT semantic_field, semantic_field_id, table_name, column_name, CAST(score AS
       c.table_ordinal, c.ordinal,
       list_sum(list_transform(regexp_extract_all(lower(f.global_field_name), '[a-z0-9]+'),
                lambda t: CASE WHEN contains(lower(c.column_name), t) THEN 1 ELSE 0 END)) AS score
-    FROM fx_fields f, cat c) WHERE score > 0) WHERE rank <= 3""",
+    FROM fields_all f, cat c) WHERE score > 0) WHERE rank <= 3""",
     ("tord", TABLE_ORDER),
     ("cat", "SELECT c.table_name, o.table_ordinal, c.ordinal_position AS ordinal, c.column_name "
             "FROM information_schema.columns c JOIN tord o ON o.table_name = c.table_name")))
 def q_j9(spark, sf):
-    """Top-3 column suggestions per semantic field across all 14 driver tables."""
-    return mapping.match_fields(fixture(spark, sf, "fx_fields"), _catalog(spark, sf))
+    """Top-3 column suggestions per semantic field (fixture fields and one
+    field per event type) across all 14 driver tables."""
+    return mapping.match_fields(fixture(spark, sf, "fields_all"), _catalog(spark, sf))
