@@ -20,20 +20,34 @@ LINE_HINTS = ("date", "time", "at")
 CHART_KINDS = ("bar", "line", "pie", "area")
 
 
-def _numeric(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.NumericType) and not isinstance(f.dataType, T.BooleanType)]
-
-
-def pick_columns(df: DataFrame) -> tuple[str | None, str | None]:
+def _looks_numeric(v) -> bool:
+    """The value test of the column picker: a number (booleans count, as
+    ``float(True)`` does), or text that parses as a float; null never."""
+    if v is None:
+        return False
+    if isinstance(v, (int, float)):
+        return True
+    try:
+        float(v)
+        return True
+    except (TypeError, ValueError):
+        return False
+
+
+def pick_columns(df: DataFrame, first_row=None) -> tuple[str | None, str | None]:
     """P6 column choice: x = first column whose name has a date-like hint,
-    else the first column (>= 2 columns); y = first numeric column, else the
-    second (or third when the second is x)."""
+    else the first column (>= 2 columns); y = first column whose value in the
+    first row is numeric, else the second (or third when the second is x).
+    ``first_row`` is that row as a dict (one bounded read); without it the
+    numeric-typed columns stand in."""
     cols = df.columns
     if not cols:
         return None, None
     x = next((c for c in cols if any(h in c.lower() for h in X_HINTS)), None)
-    nums = _numeric(df)
+    if first_row is not None:
+        nums = [c for c in cols if _looks_numeric(first_row.get(c))]
+    else:
+        nums = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     y = nums[0] if nums else None
     if x is None and len(cols) >= 2:
         x = cols[0]
@@ -47,13 +61,17 @@ def chart_series(df: DataFrame, x: str | None = None, y: str | None = None, limi
     """Ordered chart points ``(position, label, value)`` plus
     ``chart_type``, ``x_column``, ``y_column``.
 
-    Explicit ``x``/``y`` are used when both exist, else the P6 pick.  The
+    Explicit ``x``/``y`` are used when both exist, else the P6 pick (from the
+    first row of the same order: one bounded read).  The
     first ``limit`` rows by ``order_by`` (default: x) are taken, then rows whose
     y is not numeric are dropped (after the cut, as the reference does).  No
     y column -> one row with ``chart_type = 'table_only'``.
     """
     if not (x in df.columns and y in df.columns):
-        x, y = pick_columns(df)
+        hint_x, _ = pick_columns(df.limit(0))
+        probe = order_by or ([hint_x] if hint_x else df.columns)
+        first = df.orderBy(*probe).limit(1).collect()  # one row: the picker's value test
+        x, y = pick_columns(df, first[0].asDict() if first else {})
     spark = df.sparkSession
     if y is None:
         return spark.createDataFrame([(None, None, None, "table_only", x, None)],

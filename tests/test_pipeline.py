@@ -80,3 +80,11 @@ def test_chart_specs(spark):
     assert report.chart_series(spark.createDataFrame([("a", "b")], "x string, y string")).count() == 0
     # a single column has no y at all -> table only
     assert report.chart_series(spark.createDataFrame([("a",)], "x string")).first().chart_type == "table_only"
+
+
+def test_chart_picks_y_from_first_row_values(spark):
+    df = spark.createDataFrame([("2024-01", None, "12", 5), ("2024-02", 3.0, "x", 6)],
+                               "month string, maybe double, amount_text string, total int")
+    pts = report.chart_series(df).orderBy("position").collect()
+    # first row: maybe is null (not numeric), amount_text "12" parses -> y; "x" is dropped after the cut
+    assert pts[0].y_column == "amount_text" and [p.value for p in pts] == [12.0]
