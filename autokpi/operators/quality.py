@@ -274,6 +274,22 @@ def pass_rate(depts: DataFrame, logs: DataFrame, n: int = 10) -> DataFrame:
                     F.coalesce(F.col("n_logs"), F.lit(0)).alias("n_logs")))
 
 
+def department_heartbeat(depts: DataFrame, logs: DataFrame, kpis: DataFrame, roles: DataFrame) -> DataFrame:
+    """A13 (department status): schedule, last sync (newest KPI date),
+    ``active`` when the department has KPI rows else ``pending``, number of
+    role rows, and the validation score of its newest 10 logs (null when
+    none).  Each input is pre-aggregated to one row per department before
+    the left joins, so no department's rows meet in one place."""
+    last = kpis.groupBy("department_id").agg(F.max("recorded_at").alias("last_sync"))
+    users = roles.groupBy("department_id").agg(F.count(F.lit(1)).alias("user_count"))
+    score = pass_rate(depts, logs, 10).select("department_id", F.col("pass_rate").alias("validation_score"))
+    d = depts.select(F.col("id").alias("department_id"), F.col("name").alias("department_name"), "heartbeat_schedule")
+    out = d.join(last, "department_id", "left").join(users, "department_id", "left").join(score, "department_id", "left")
+    return out.select("department_id", "department_name", "heartbeat_schedule", "last_sync",
+                      F.when(F.col("last_sync").isNotNull(), "active").otherwise("pending").alias("status"),
+                      F.coalesce(F.col("user_count"), F.lit(0)).alias("user_count"), "validation_score")
+
+
 def rag_status(kpis: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Any CRITICAL -> RED, any WARNING -> AMBER, else GREEN (per group).
     Scale: one aggregate by ``by`` (partial max per task); one job."""

@@ -323,3 +323,19 @@ def q_j9(spark, sf):
     """Top-3 column suggestions per semantic field (fixture fields and one
     field per event type) across all 14 driver tables."""
     return mapping.match_fields(fixture(spark, sf, "fields_all"), _catalog(spark, sf))
+
+
+@register("a13_department_heartbeat", with_fixtures("""
+SELECT d.id AS department_id, d.name AS department_name, d.heartbeat_schedule, k.last_sync,
+  CASE WHEN k.last_sync IS NOT NULL THEN 'active' ELSE 'pending' END AS status, coalesce(u.n, 0) AS user_count,
+  v.validation_score
+FROM fx_departments d
+LEFT JOIN (SELECT department_id, max(recorded_at) AS last_sync FROM fx_kpi_results GROUP BY 1) k ON k.department_id = d.id
+LEFT JOIN (SELECT department_id, count(*) AS n FROM fx_user_roles GROUP BY 1) u ON u.department_id = d.id
+LEFT JOIN (SELECT department_id, round(avg(CASE WHEN status = 'pass' THEN 100.0 ELSE 0.0 END), 1) AS validation_score
+           FROM (SELECT *, row_number() OVER (PARTITION BY department_id ORDER BY created_at DESC, id DESC) AS rn
+                 FROM fx_validation_logs) WHERE rn <= 10 GROUP BY 1) v ON v.department_id = d.id"""))
+def q_a13_heartbeat(spark, sf):
+    """Department heartbeat: last sync, active/pending, users, validation score."""
+    return quality.department_heartbeat(fixture(spark, sf, "fx_departments"), fixture(spark, sf, "fx_validation_logs"),
+                                        fixture(spark, sf, "fx_kpi_results"), fixture(spark, sf, "fx_user_roles"))
