@@ -53,13 +53,13 @@ def trend_shift(frame: DataFrame, min_rows: int = 7, report: float = 0.15, warn:
 
 
 def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.75,
-                    kpi_names: list[str] | None = None, report_only: bool = True) -> DataFrame:
+                    kpi_names: list[str] | None = None, report_only: bool = True, chunk: int = 256) -> DataFrame:
     """Pearson r between every pair of KPIs over the dates where every KPI
     has a value (>= ``min_dates`` such dates); reported when |r| > 0.75.
 
     No pairs are materialised: the daily sums are pivoted to one column per
-    KPI (value list = the distinct KPI names, bounded metadata) and all pair
-    correlations are computed in one aggregate as
+    KPI (value list = the distinct KPI names, bounded metadata) and the pair
+    correlations are computed in aggregates of up to ``chunk`` pairs each as
     ``covar_samp / (stddev_samp · stddev_samp)`` with ``try_divide`` (a constant
     series gives null and is skipped, D15).  Rows: one per pair.
     """
@@ -75,13 +75,19 @@ def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.7
     complete = wide.dropna(subset=kpi_names)
     pairs = [(a, b) for i, a in enumerate(kpi_names) for b in kpi_names[i + 1:]]
     q = lambda c: F.col(f"`{c}`")
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.try_divide(F.covar_samp(q(a), q(b)), F.stddev_samp(q(a)) * F.stddev_samp(q(b))).alias(f"r{i}")
-             for i, (a, b) in enumerate(pairs)]
-    one = complete.agg(*aggs)
-    stack = "stack({}, {}) AS (k1, k2, r)".format(
-        len(pairs), ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs)))
-    long = one.selectExpr("__n", stack).filter((F.col("__n") >= min_dates) & F.col("r").isNotNull() & ~F.isnan("r"))
+    parts = []
+    # one aggregate per chunk of pairs keeps generated code small for many
+    # KPIs; each chunk reads the (dates x KPIs) pivot, never per-date pairs
+    for lo in range(0, len(pairs), chunk):
+        part = pairs[lo:lo + chunk]
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        aggs += [F.try_divide(F.covar_samp(q(a), q(b)), F.stddev_samp(q(a)) * F.stddev_samp(q(b))).alias(f"r{i}")
+                 for i, (a, b) in enumerate(part)]
+        stack = "stack({}, {}) AS (k1, k2, r)".format(
+            len(part), ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(part)))
+        parts.append(complete.agg(*aggs).selectExpr("__n", stack))
+    long = reduce(DataFrame.unionByName, parts)
+    long = long.filter((F.col("__n") >= min_dates) & F.col("r").isNotNull() & ~F.isnan("r"))
     if report_only:
         long = long.filter(F.abs("r") > threshold)
     expl = F.concat(F.lit("These two metrics move together with a correlation of "),

@@ -134,3 +134,12 @@ def test_auto_model_roles(spark):
     r = {x.column_name: x.role for x in roles.collect()}
     assert r == {"order_id": "identifier", "amount": "metric", "kind": "category", "label": "text"}
     assert [(s.type, s.dimension) for s in sugg.collect()] == [("group_by", "kind")]
+
+
+def test_correlation_chunks_give_the_same_pairs(spark):
+    from conftest import SF_SMALL
+    from autokpi.plans.fixtures import fixture
+    fr = fixture(spark, SF_SMALL, "fx_frame")
+    one = sorted(insights.kpi_correlation(fr, report_only=False).collect())
+    many = sorted(insights.kpi_correlation(fr, report_only=False, chunk=3).collect())
+    assert one == many and len(one) == 10
