@@ -56,8 +56,13 @@ def upsert(spark, path: str, changes: DataFrame, keys: list[str], order_col: str
         return
     if partition_by:
         touched = changes.select(partition_by).distinct()
-        base = base.join(F.broadcast(touched), partition_by, "left_semi") if _small(touched) else \
-            base.join(touched, partition_by, "left_semi")
+        if _small(touched):
+            # a checked, bounded list of partition values: a literal IN filter
+            # prunes the scan to the touched partitions
+            vals = [r[0] for r in touched.collect()]
+            base = base.filter(F.col(partition_by).isin(vals))
+        else:
+            base = base.join(touched, partition_by, "left_semi")
     merged = upsert_frame(base, changes, keys, order_col)
     stage = f"{path.rstrip('/')}/../_staging_{uuid.uuid4().hex}"
     _write_stage_and_swap(spark, merged, stage, path, partition_by)
