@@ -32,7 +32,7 @@ from autokpi.llm.frames import python_tasks, stored
 TREES = 96
 BITS = 24
 SHARD_ROWS = 8192
-CANDIDATE_SHARE = 0.6
+CANDIDATE_SHARE = 0.35
 QUERY_BLOCK = 4096
 _SEED = 20260
 
@@ -100,6 +100,26 @@ def shard_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
         yield n, ids[got[top]], dist[top]
 
 
+def _searcher(shipped, k: int, share: float):
+    """The Arrow task of one shard (table of id, v, dim, shard) for a broadcast block of queries."""
+    def search(shard):
+        ids = shard.column("id").to_numpy()
+        dim = shard.column("dim")[0].as_py()
+        got = [[], [], []]
+        if dim in shipped.value:
+            x = shard.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            asked_ids, asked_vecs = shipped.value[dim]
+            for n, found, dist in shard_search(ids, x, asked_ids, asked_vecs, k, share):
+                got[0].append(np.full(len(found), asked_ids[n]))
+                got[1].append(found)
+                got[2].append(dist)
+        cols = [np.concatenate(g) if g else np.zeros(0) for g in got]
+        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)),
+                         "score": pa.array(cols[2].astype(np.float64))})
+
+    return search
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, row_id: str = "vec_id", vec: str = "embedding",
             share: float = CANDIDATE_SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, nearest first."""
@@ -123,22 +143,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, row_id: str = "vec
             by_dim[dim] = (np.array([r.id for r in own], dtype=np.int64), np.array([r.v for r in own], dtype=np.float64))
         shipped = spark.sparkContext.broadcast(by_dim)
 
-        def search(table, shipped=shipped):
-            ids = table.column("id").to_numpy()
-            dim = table.column("dim")[0].as_py()
-            got = [[], [], []]
-            if dim in shipped.value:
-                x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                asked_ids, asked_vecs = shipped.value[dim]
-                for n, found, dist in shard_search(ids, x, asked_ids, asked_vecs, k, share):
-                    got[0].append(np.full(len(found), asked_ids[n]))
-                    got[1].append(found)
-                    got[2].append(dist)
-            cols = [np.concatenate(g) if g else np.zeros(0) for g in got]
-            return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)),
-                             "score": pa.array(cols[2].astype(np.float64))})
-
-        out = out.unionAll(dealt.groupBy("dim", "shard").applyInArrow(search, schema))
+        out = out.unionAll(dealt.groupBy("dim", "shard").applyInArrow(_searcher(shipped, k, share), schema))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = out.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -32,16 +32,19 @@ KEEP_AT = 0.5
 _WORD_SLOTS = 256
 _TRI_SLOTS = 640
 
-#: name, rate, votes bad beyond this rate, votes good within this (None: abstains), sign of "beyond", fewest words
+#: name, rate, votes bad beyond, votes good within (between: abstains), sign of "beyond", fewest words to vote at all
 LABELLERS = [
-    ("shouting", "upper", 0.30, None, 1, 1),
-    ("exclaiming", "bang", 0.03, None, 1, 1),
-    ("symbols", "symbol", 0.04, None, 1, 1),
-    ("bars", "bar", 0.06, None, 1, 1),
-    ("stutter", "repeat", 0.15, None, 1, 4),
+    ("shouting", "upper", 0.30, 0.15, 1, 1),
+    ("exclaiming", "bang", 0.03, 0.005, 1, 1),
+    ("symbols", "symbol", 0.04, 0.01, 1, 1),
+    ("bars", "bar", 0.06, 0.005, 1, 1),
+    ("stutter", "repeat", 0.15, 0.03, 1, 12),
     ("variety", "distinct", 0.18, 0.40, -1, 30),
     ("function_words", "short", 0.08, 0.20, -1, 20),
 ]
+#: Prior of the labellers: a bad vote on a good document is this rare, on a bad one this common, and the
+#: prior counts ``TRUST`` times as much as the documents do.
+FALSE_ALARM, TRUE_ALARM, TRUST = 0.0005, 0.15, 3.0
 RATES = ["upper", "bang", "symbol", "bar", "repeat", "distinct", "short"]
 
 #: character classes: 0 control, 1 space, 2 newline, 3 lower, 4 upper, 5 digit, 6 stop, 7 bang, 8 bar, 9 symbol, 10 other
@@ -89,7 +92,7 @@ def votes(rate: np.ndarray, words: np.ndarray) -> np.ndarray:
     out = np.zeros((len(rate), len(LABELLERS)), dtype=np.int64)
     for i, (_, name, bad, good, sign, fewest) in enumerate(LABELLERS):
         x = rate[:, RATES.index(name)]
-        within = np.zeros(len(x), dtype=bool) if good is None else sign * x <= sign * good
+        within = sign * x <= sign * good
         out[:, i] = np.where(words < fewest, 0, np.where(sign * x > sign * bad, -1, within.astype(np.int64)))
     out[words == 0] = -1
     return out
@@ -138,20 +141,22 @@ def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit_labellers(code: np.ndarray, n: np.ndarray, rounds: int = 200) -> dict[int, float]:
     """Posterior of good for each vote pattern, by expectation-maximisation.
 
-    Starts by doubting every document that some labeller calls bad, which also
-    tells the two classes apart: bad is the one with the bad votes.
+    A labeller that votes calls a document bad with one rate on good and one on
+    bad documents; an abstention says nothing.  The rates have Beta priors, as
+    without them a fault that only one labeller sees would pass for noise.
+    Starts by doubting every document that some labeller calls bad.
     """
-    k = len(LABELLERS)
-    v = code[:, None] // 3 ** np.arange(k) % 3
-    post = np.where((v == 0).any(axis=1), 0.1, 0.9)
+    v = code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
+    post = np.where((v == -1).any(axis=1), 0.1, 0.9)
     for _ in range(rounds):
         prior = np.clip((n * post).sum() / n.sum(), 1e-3, 1 - 1e-3)
         logs = []
-        for weight, p in ((n * post, prior), (n * (1 - post), 1 - prior)):
-            like = np.log(p) * np.ones(len(v))
-            for j in range(k):
-                share = np.bincount(v[:, j], weights=weight, minlength=3) + 1.0
-                like += np.log(share / share.sum())[v[:, j]]
+        for weight, p, alarm in ((n * post, prior, FALSE_ALARM), (n * (1 - post), 1 - prior, TRUE_ALARM)):
+            trust = TRUST * weight.sum() + 1.0
+            like = np.full(len(v), np.log(p))
+            for vote in v.T:
+                rate = (weight[vote == -1].sum() + trust * alarm) / (weight[vote != 0].sum() + trust)
+                like += np.log(np.where(vote == -1, rate, np.where(vote == 1, 1 - rate, 1.0)))
             logs.append(like)
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -60, 60)))
         if np.abs(new - post).max() < 1e-9:

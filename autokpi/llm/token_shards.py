@@ -62,11 +62,35 @@ class Words:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.uint16 if max(END_TOKEN, len(ranks)) < 1 << 16 else np.uint32
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.coder.encode_ordinary(text.decode("utf-8", "replace")), dtype=self.kind)
 
+    def learn(self, words: list[bytes]) -> None:
+        """Encode unseen words: those that start with a space in one text, split again by token lengths."""
+        new = [w for w in words if w not in self.known]
+        joined = [w for w in new if w.startswith(b" ")]
+        for w in new:
+            if not w.startswith(b" "):
+                self.known[w] = self.whole(w).tobytes()
+        text = b"".join(joined)
+        if not text:
+            return
+        tokens = self.whole(text)
+        stop = np.cumsum(self.lengths[tokens])
+        if stop[-1] != len(text):  # bytes that are no UTF-8 were replaced
+            self.known.update((w, self.whole(w).tobytes()) for w in joined)
+            return
+        ends = np.cumsum([len(w) for w in joined])
+        cuts = np.concatenate(([0], np.searchsorted(stop, ends) + 1))
+        packed, unit = tokens.tobytes(), tokens.itemsize
+        for w, a, b in zip(joined, (cuts[:-1] * unit).tolist(), (cuts[1:] * unit).tolist()):
+            self.known[w] = packed[a:b]
+
     def rows(self, raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Tokens of each row of a piece of text bytes."""
         n = len(raw)
@@ -88,17 +112,14 @@ class Words:
         _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
         if len(self.known) > _KNOWN_WORDS:
             self.known.clear()
-        words = []
         data = raw.tobytes()
-        for a, b in zip(cut[first].tolist(), end[first].tolist()):
-            word = data[a:b]
-            got = self.known.get(word)
-            if got is None:
-                got = self.known[word] = self.whole(word)
-            words.append(got)
-        size = np.array([len(w) for w in words], dtype=np.int64)
-        pool = np.concatenate(words) if words else np.zeros(0, dtype=self.kind)
-        at = np.concatenate(([0], np.cumsum(size)))[:-1]
+        words = [data[a:b] for a, b in zip(cut[first].tolist(), end[first].tolist())]
+        self.learn(words)
+        tokens = [self.known[w] for w in words]
+        unit = np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) // unit
+        pool = np.frombuffer(b"".join(tokens), dtype=self.kind)
+        at = np.cumsum(size) - size
         long = size[inverse]
         stop = np.cumsum(long)
         take = np.repeat(at[inverse] - (stop - long), long) + np.arange(stop[-1] if len(stop) else 0)
