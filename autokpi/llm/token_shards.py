@@ -18,8 +18,8 @@ again writes the same bytes, so lost executors and repeated attempts are safe.
 The two passes must see the same rows; the second one checks its counts.
 
 Tokenisation is exactly the tokenizer's: a text is cut only before single
-spaces that start a word, where its own pattern cuts too, and distinct words
-are encoded once per batch; texts with other white space are encoded whole.
+spaces that start a word, where its own pattern cuts too, and words seen before are
+looked up by a 64-bit hash; texts with other white space are encoded whole.
 
 Defined cases: a null or empty text adds just its end token; an empty table
 writes no shard; a null doc_id is stored as -1.
@@ -49,11 +49,18 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _HEADER = 16
-_KNOWN_WORDS = 400_000
+#: Slots for words seen before, and the tokens kept of them; both bound the memory of a worker.
+_SLOT_BITS, _POOL_TOKENS = 21, 1 << 24
+
+
+def _spans(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes at[0]..at[0]+size[0]-1, at[1].. and so on in one array."""
+    stop = np.cumsum(size)
+    return np.repeat(at - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
 
 
 class Words:
-    """Token ids of texts; distinct words are encoded once and kept, up to a bound."""
+    """Token ids of texts; words seen before are looked up by a 64-bit hash, up to a bound."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -62,34 +69,58 @@ class Words:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.uint16 if max(END_TOKEN, len(ranks)) < 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
         self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
+        self.pool = np.empty(_POOL_TOKENS, dtype=self.kind)
+        self.forget()
+
+    def forget(self) -> None:
+        self.filled = 0
+        self.name = np.zeros(1 << _SLOT_BITS, dtype=np.uint64)
+        self.at = np.zeros(1 << _SLOT_BITS, dtype=np.int64)
+        self.size = np.zeros(1 << _SLOT_BITS, dtype=np.int32)
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.coder.encode_ordinary(text.decode("utf-8", "replace")), dtype=self.kind)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode unseen words: those that start with a space in one text, split again by token lengths."""
-        new = [w for w in words if w not in self.known]
-        joined = [w for w in new if w.startswith(b" ")]
-        for w in new:
-            if not w.startswith(b" "):
-                self.known[w] = self.whole(w).tobytes()
-        text = b"".join(joined)
-        if not text:
-            return
-        tokens = self.whole(text)
-        stop = np.cumsum(self.lengths[tokens])
-        if stop[-1] != len(text):  # bytes that are no UTF-8 were replaced
-            self.known.update((w, self.whole(w).tobytes()) for w in joined)
-            return
-        ends = np.cumsum([len(w) for w in joined])
-        cuts = np.concatenate(([0], np.searchsorted(stop, ends) + 1))
-        packed, unit = tokens.tobytes(), tokens.itemsize
-        for w, a, b in zip(joined, (cuts[:-1] * unit).tolist(), (cuts[1:] * unit).tolist()):
-            self.known[w] = packed[a:b]
+    def encode(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens one after another, tokens per word) of distinct words of a piece."""
+        data = raw[_spans(begin, end - begin)]
+        stops = np.cumsum(end - begin)
+        if (raw[begin] == 32).all():  # each starts with a space, where the pattern cuts: one text holds them all
+            tokens = self.whole(data.tobytes())
+            reach = np.cumsum(self.lengths[tokens])
+            if len(reach) and reach[-1] == len(data):  # else bytes that are no UTF-8 were replaced
+                return tokens, np.diff(np.searchsorted(reach, stops) + 1, prepend=0)
+        each = [self.whole(data[a:b].tobytes()) for a, b in zip(stops - (end - begin), stops)]
+        return np.concatenate(each), np.array([len(t) for t in each], dtype=np.int64)
+
+    def look_up(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, tokens) of each word; unseen ones are encoded and take over their slot."""
+        n = len(raw)
+        if self.filled + n > len(self.pool):  # a word has no more tokens than bytes
+            self.pool = np.empty(max(_POOL_TOKENS, 2 * n), dtype=self.kind)
+            self.forget()
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * grams.powers(grams._P, n), out=sums[1:])
+        name = grams.mix((sums[end] - sums[begin]) * grams.powers(grams._P_INV, n + 1)[begin])
+        slot = (name >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        missing = np.flatnonzero(self.name[slot] != name)
+        spaced = raw[begin[missing]] == 32
+        for part in (missing[spaced], missing[~spaced]):
+            if not len(part):
+                continue
+            new, first, inverse = np.unique(name[part], return_index=True, return_inverse=True)
+            tokens, sizes = self.encode(raw, begin[part[first]], end[part[first]])
+            places = self.filled + np.cumsum(sizes) - sizes
+            self.pool[self.filled:self.filled + len(tokens)] = tokens
+            self.filled += len(tokens)
+            at[part], size[part] = places[inverse], sizes[inverse]
+            own = slot[part[first]]
+            self.name[own], self.at[own], self.size[own] = new, places, sizes
+        return at, size
 
     def rows(self, raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Tokens of each row of a piece of text bytes."""
@@ -100,32 +131,17 @@ class Words:
         double[1:] = space[1:] & space[:-1]
         strange = np.concatenate(([0], np.cumsum(odd | double)))
         plain = strange[bounds[1:]] == strange[bounds[:-1]]
-        cut = np.flatnonzero(space & (raw == 32))
-        cut = np.union1d(cut, bounds[:-1][bounds[:-1] < n])
+        head = raw == 32
+        head[bounds[:-1][bounds[:-1] < n]] = True
+        cut = np.flatnonzero(head)
         row = np.searchsorted(bounds, cut, side="right") - 1
-        own = plain[row]
         end = np.append(cut[1:], n)
+        own = plain[row]
         cut, end, row = cut[own], end[own], row[own]
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * grams.powers(grams._P, n), out=sums[1:])
-        name = grams.mix((sums[end] - sums[cut]) * grams.powers(grams._P_INV, n + 1)[cut])
-        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
-        if len(self.known) > _KNOWN_WORDS:
-            self.known.clear()
-        data = raw.tobytes()
-        words = [data[a:b] for a, b in zip(cut[first].tolist(), end[first].tolist())]
-        self.learn(words)
-        tokens = [self.known[w] for w in words]
-        unit = np.dtype(self.kind).itemsize
-        size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) // unit
-        pool = np.frombuffer(b"".join(tokens), dtype=self.kind)
-        at = np.cumsum(size) - size
-        long = size[inverse]
-        stop = np.cumsum(long)
-        take = np.repeat(at[inverse] - (stop - long), long) + np.arange(stop[-1] if len(stop) else 0)
-        stream = pool[take]
-        cuts = np.concatenate(([0], stop))[np.searchsorted(row, np.arange(len(bounds)))]
-        return [stream[cuts[i]:cuts[i + 1]] if plain[i] else self.whole(data[bounds[i]:bounds[i + 1]]) for i in range(len(bounds) - 1)]
+        at, size = self.look_up(raw, cut, end)
+        stream = self.pool[_spans(at, size)]
+        cuts = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(row, np.arange(len(bounds)))]
+        return [stream[cuts[i]:cuts[i + 1]] if plain[i] else self.whole(raw[bounds[i]:bounds[i + 1]].tobytes()) for i in range(len(bounds) - 1)]
 
 
 _coders: dict[str, Words] = {}
