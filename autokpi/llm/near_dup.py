@@ -15,13 +15,25 @@ register.  Two signatures agree in a register with probability J_P.
    sequence.  Texts with the same words are copies and form one class; the
    smallest id stands for it (grouped with partial aggregation).
 2. ``BANDS`` bands of ``ROWS`` registers give bucket keys.  Inside a bucket
-   every text is paired with the bucket's smallest id alone.  Pairs whose
-   one-bit sketches differ far too much for 0.8 are left out, the rest verified
-   by the exact J_P; links are joined to classes.
-3. Buckets that still hold several classes are settled exactly: every text
-   outside the bucket's largest class is compared with all texts of other
-   classes.  So no link between different texts of a bucket is lost, while a
-   group of thousands of copies costs links in proportion to its size.
+   every text is paired with the bucket's hub alone, the text that shares most
+   buckets with others (in a group of edited copies that is the original).
+   Pairs whose one-bit sketches differ far too much for 0.8 are left out, the
+   rest verified by the exact J_P; links are joined to classes.
+3. In buckets that still hold several classes, the texts are paired with the
+   next ``HUBS`` - 1 hubs of other classes.
+4. The texts of buckets that are then still open are settled exactly by prefix
+   filtering: J_P >= t needs shared shingles worth t of either text, so in any
+   one order of all shingles the two prefixes worth more than 1 - t have a
+   shingle in common.  Rare shingles come first (by a fixed-size table of
+   counts), so a passage that many texts share lies outside their prefixes and
+   makes no pairs.  If their first common shingle leaves shares f and g of the
+   two weights from there on, J_P is at most 1 / (1/f + 1/g - 1); pairs of
+   different classes that may still reach the threshold are verified.  Edited
+   copies of one text are told apart by their few shingles outside a hub they
+   share: they have no more in common than what either shares with the hub and
+   what those few have in common.
+   So no link between classes is lost, while a group of thousands of copies, or
+   of texts with a common passage, costs pairs in proportion to its size.
 
 A pair at exactly 0.8 shares no bucket with probability (1 - 0.8**4)**24, about
 3 in a million, and less above; the sketch filter loses fewer still.
@@ -29,14 +41,15 @@ A pair at exactly 0.8 shares no bucket with probability (1 - 0.8**4)**24, about
 Defined cases: a document of one to four words has no shingle and is only a
 copy of the same word sequence; a document without words, null or empty, is
 alone in its class; rows that repeat a doc_id belong to the same document, and
-a null doc_id gets a null class and is kept by ``drop_near_duplicates``.
+a null doc_id gets a null class and is kept by ``drop_near_duplicates``; if a
+doc_id has several texts, one of them is measured for all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from autokpi.llm import grams
 from autokpi.llm.frames import connected_components, stored, python_tasks
@@ -44,6 +57,12 @@ from autokpi.llm.frames import connected_components, stored, python_tasks
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+#: Texts of a bucket that its others are paired with, before what is left is settled by prefixes.
+HUBS = 4
+#: Most shingles outside its hub that a text is told apart by.
+OUTSIDE = 64
+#: The table that orders shingles by how often they occur has 2**COUNT_BITS counters.
+COUNT_BITS = 18
 #: Most differing sketch bits of a candidate: 0.8 gives 9.6 on average, standard deviation 2.9.
 MOST_BITS = 26
 
@@ -161,13 +180,15 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -
     return rows.mapInArrow(pack, "id long, hashes binary, times binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, doc_id: str, text: str) -> DataFrame:
-    """The (a, b, similarity) of the pairs that reach the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    packed = stored(_shingle_table(docs, ids, doc_id, text)).dropDuplicates(["id"])
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _measured(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs."""
     left = packed.select(F.col("id").alias("a"), F.col("hashes").alias("ha"), F.col("times").alias("ta"))
     right = packed.select(F.col("id").alias("b"), F.col("hashes").alias("hb"), F.col("times").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ta", "hb", "tb")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "ta", "hb", "tb")
 
     def measure(batches):
         for batch in batches:
@@ -175,12 +196,75 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, doc_id: str,
             sim = np.array([probability_jaccard(np.frombuffer(ha, np.uint64), np.frombuffer(ta, np.int32),
                                                 np.frombuffer(hb, np.uint64), np.frombuffer(tb, np.int32))
                             for ha, ta, hb, tb in zip(*packs)], dtype=np.float64)
-            ok = pa.array(sim >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(sim)], names=["a", "b", "similarity"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(sim)], names=["a", "b", "similarity"])
 
     return both.mapInArrow(measure, "a long, b long, similarity double")
 
 
+def _prefixes(packed: DataFrame, threshold: float) -> DataFrame:
+    """(id, key, rest): each text's rarest shingles that weigh more than 1 - threshold of it.
+
+    ``rest`` is the share of the text's weight from that shingle on.
+    """
+    spark = packed.sparkSession
+
+    def tally(batches):
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64)
+            total += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+    counts = packed.select("hashes").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << COUNT_BITS, dtype=np.int64)  # of fixed size, whatever the corpus
+    often[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    shipped = spark.sparkContext.broadcast(often)
+
+    def rarest(batches):
+        often = shipped.value
+        for batch in batches:
+            ids, keys, rest = [], [], []
+            for i, ha, ta in zip(*(c.to_pylist() for c in batch.columns)):
+                h, w = np.frombuffer(ha, dtype=np.uint64), 1.0 + np.log(np.frombuffer(ta, dtype=np.int32))
+                order = np.lexsort((h, often[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                before = np.cumsum(w[order]) - w[order]
+                near = before <= (1 - threshold) * w.sum() + 1e-9
+                ids.append(np.full(near.sum(), i, dtype=np.int64))
+                keys.append(h[order[near]].view(np.int64))
+                rest.append(1 - before[near] / w.sum())
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)),
+                                                  pa.array(np.concatenate(rest))], names=["id", "key", "rest"])
+
+    return packed.select("id", "hashes", "times").mapInArrow(rarest, "id long, key long, rest double")
+
+
+def _outside_hub(near: DataFrame, packed: DataFrame) -> DataFrame:
+    """(id, hub, total, inside, outside): how many shingles a text has, and has in its hub, and the others.
+
+    Only for texts without repeated shingles and with at most ``OUTSIDE`` others; the rest is not ruled out by them.
+    """
+    left = packed.select("id", "hashes", "times")
+    both = near.join(left, "id").join(packed.select(F.col("id").alias("hub"), F.col("hashes").alias("of_hub")), "hub")
+
+    def compare(batches):
+        for batch in batches:
+            got = []
+            for i, hub, ha, ta, hh in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(ha, dtype=np.uint64)
+                other = np.setdiff1d(h, np.frombuffer(hh, dtype=np.uint64), assume_unique=True)
+                if len(other) <= OUTSIDE and np.frombuffer(ta, dtype=np.int32).max(initial=1) == 1:
+                    got.append((i, hub, len(h), len(h) - len(other), other.view(np.int64).tolist()))
+            if got:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.list_(pa.int64()) if k == 4 else pa.int64()) for k, c in enumerate(zip(*got))],
+                    names=["id", "hub", "total", "inside", "outside"])
+
+    return both.select("id", "hub", "hashes", "times", "of_hub").mapInArrow(
+        compare, "id long, hub long, total long, inside long, outside array<long>")
+
+
 def _alike(x: str, y: str):
     return (F.bit_count(F.col(f"{x}.bit_a").bitwiseXOR(F.col(f"{y}.bit_a")))
             + F.bit_count(F.col(f"{x}.bit_b").bitwiseXOR(F.col(f"{y}.bit_b")))) <= MOST_BITS
@@ -199,38 +283,83 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id
     texts = (worded.where("size > 0").groupBy("copy_a", "copy_b")
              .agg(F.min("id").alias("id"), F.first("bit_a").alias("bit_a"), F.first("bit_b").alias("bit_b"),
                   F.first("bands").alias("bands")))
+    repeated = not signed.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+
+    def packed_for(ids: DataFrame) -> DataFrame:
+        got = _shingle_table(docs, ids, doc_id, text)
+        if repeated:
+            got = got.groupBy("id").agg(F.max(F.struct("hashes", "times")).alias("t")).select("id", "t.hashes", "t.times")
+        return stored(got)
+
     keys = stored(texts.select("id", "bit_a", "bit_b", F.explode("bands").alias("key")))
-    centre = keys.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(keys.join(centre.select("key", "b"), "key"))
-    star = shared.where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(
-        F.min("bit_a").alias("bit_a"), F.min("bit_b").alias("bit_b"))
-    own = texts.select(F.col("id").alias("b"), "bit_a", "bit_b")
-    pairs = star.alias("x").join(own.alias("y"), F.col("x.b") == F.col("y.b")).where(_alike("x", "y")).select(
-        F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    links = stored(_verified(docs, pairs, threshold, doc_id, text))
-    found = stored(connected_components(links, "a", "b"))
-
-    # buckets that still hold several classes: all texts outside the largest class, against the rest
-    placed = shared.join(found, "id", "left").select(
-        "key", "id", "bit_a", "bit_b", F.coalesce("class_id", "id").alias("c"))
-    counted = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("classes"))
-    open_keys = largest.where("classes > 1").select("key", F.col("top.c").alias("top"))
-    placed = stored(placed.join(open_keys, "key"))
-    rest = placed.where("c <> top")
-    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-    once = (F.col("y.c") == F.col("y.top")) | (F.col("x.id") > F.col("y.id"))
-    more = rest.alias("x").join(placed.alias("y"), cross & once & _alike("x", "y")).select(
-        F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    more = stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        final = found
-    else:
-        links = stored(links.unionAll(_verified(docs, more, threshold, doc_id, text)))
-        final = connected_components(links, "a", "b")
-    degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(
+    size = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(keys.join(size, "key"))
+    degree = shared.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
+    hubs = shared.select("key", F.col("id").alias("b"), F.col("bit_a").alias("bit_a"), "bit_b").join(
+        degree.withColumnRenamed("id", "b"), "b")
+    by_degree = Window.partitionBy("key").orderBy(F.desc("degree"), "b")
+    hubs = stored(hubs.withColumn("turn", F.row_number().over(by_degree)).where(F.col("turn") <= HUBS))
+
+    def pairs_with(hubs: DataFrame, members: DataFrame, apart) -> DataFrame:
+        """Distinct (a, b), a > b, of members and hubs of their buckets, as far as their sketches allow."""
+        both = members.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _alike("x", "y"))
+        return both.select(F.greatest("x.id", "y.b").alias("a"), F.least("x.id", "y.b").alias("b")).distinct()
+
+    pairs = stored(pairs_with(hubs.where("turn = 1"), shared, F.col("x.id") != F.col("y.b")))
+    packed = packed_for(_ids(pairs))
+    reached = F.col("similarity") >= threshold - 1e-12
+    measured = stored(_measured(pairs, packed))
+    links = measured.where(reached)
+    final = stored(connected_components(links, "a", "b"))
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.join(final, "id", "left").withColumn("c", F.coalesce("class_id", "id")).drop("class_id")
+
+    def still_open() -> DataFrame:
+        """Bucket rows with their class ``c``, where a bucket holds several."""
+        placed = classed(shared.select("key", "id", "bit_a", "bit_b"))
+        several = placed.groupBy("key").agg((F.min("c") < F.max("c")).alias("open")).where("open").select("key")
+        return stored(placed.join(several, "key"))
+
+    def add(more: DataFrame) -> bool:
+        """Verify pairs that are new and join their classes; False if there were none."""
+        nonlocal packed, links, pairs, final
+        more = stored(more.join(pairs, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            return False
+        unseen = stored(_ids(more).join(packed.select("id"), "id", "left_anti"))
+        if not unseen.isEmpty():
+            packed = packed.unionAll(packed_for(unseen))
+        links = stored(links.unionAll(_measured(more, packed).where(reached)))
+        pairs = pairs.unionAll(more)
+        final = stored(connected_components(links, "a", "b"))
+        return True
+
+    placed = still_open()
+    others = classed(hubs.where("turn > 1").withColumnRenamed("b", "id")).withColumnRenamed("id", "b")
+    if add(pairs_with(others, placed, F.col("x.c") != F.col("y.c"))):
+        placed = still_open()
+    texts_left = stored(placed.select("id", "bit_a", "bit_b", "c").distinct())
+    unseen = stored(texts_left.select("id").join(packed.select("id"), "id", "left_anti"))
+    if not unseen.isEmpty():
+        packed = packed.unionAll(packed_for(unseen))
+    ends = measured.select(F.col("a").alias("id"), F.col("b").alias("hub"), "similarity").unionAll(
+        measured.select(F.col("b").alias("id"), F.col("a").alias("hub"), "similarity"))
+    ends = ends.where("similarity >= 0.5").join(hubs.where("turn = 1").select(F.col("b").alias("hub"), "degree").distinct(), "hub")
+    near_hub = ends.groupBy("id").agg(F.max(F.struct("degree", "hub")).alias("near")).select("id", "near.hub")
+    prefix = _prefixes(packed.join(texts_left.select("id"), "id", "left_semi"), threshold).join(texts_left, "id")
+    several = prefix.groupBy("key").agg((F.min("c") < F.max("c")).alias("open")).where("open").select("key")
+    prefix = stored(prefix.join(several, "key"))
+    outside = _outside_hub(prefix.select("id").distinct().join(near_hub, "id"), packed)
+    prefix = prefix.join(outside, "id", "left")
+    may_reach = 1 / F.col("x.rest") + 1 / F.col("y.rest") <= 1 / threshold + 1 + 1e-9
+    most = F.least("x.inside", "y.inside") + F.size(F.array_intersect("x.outside", "y.outside"))
+    too_few = (F.col("x.hub") == F.col("y.hub")) & (most < threshold / (1 + threshold) * (F.col("x.total") + F.col("y.total")) - 1e-6)
+    add(pairs_with(prefix.withColumnRenamed("id", "b"), prefix, (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.b"))
+                   & may_reach & ~F.coalesce(too_few, F.lit(False))))
+    link_count = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(
         F.count(F.lit(1)).alias("links"))
-    classes = (first.join(final, first.rep == final.id, "left").drop("id").join(degree, "rep", "left")
+    classes = (first.join(final, first.rep == final.id, "left").drop("id").join(link_count, "rep", "left")
                .select("copy_a", "copy_b", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")))
     worded = signed.select("id", "words", "copy_a", "copy_b").join(classes, ["copy_a", "copy_b"], "left")
     return worded.select(F.col("id").alias("doc_id"),
