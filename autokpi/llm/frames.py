@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -53,6 +54,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles and checkpoints of finished steps.
+
+    Its cleaner removes what no DataFrame refers to any more, but only notices
+    when the driver's garbage is collected, which many small steps do not cause.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(id, class_id) for every id in ``links``: class_id is the smallest id reachable.
 
@@ -78,6 +89,8 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
         small = small.unionAll(low.select("u", F.col("m").alias("v")))
         e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                    .where("u <> v").distinct())
+        both = low = large = small = None
+        release(links.sparkSession)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

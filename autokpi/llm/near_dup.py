@@ -310,6 +310,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id
     reached = F.col("similarity") >= threshold - 1e-12
     measured = stored(_measured(pairs, packed))
     links = measured.where(reached)
+    release(docs.sparkSession)
     final = stored(connected_components(links, "a", "b"))
 
     def classed(rows: DataFrame) -> DataFrame:
@@ -322,7 +323,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id
         return stored(placed.join(several, "key"))
 
     def add(more: DataFrame) -> bool:
-        """Verify pairs that are new and join their classes; False if there were none."""
+        """Verify pairs that are new and join their classes; False if they link nothing."""
         nonlocal packed, links, pairs, final
         more = stored(more.join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
@@ -330,8 +331,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id
         unseen = stored(_ids(more).join(packed.select("id"), "id", "left_anti"))
         if not unseen.isEmpty():
             packed = packed.unionAll(packed_for(unseen))
-        links = stored(links.unionAll(_measured(more, packed).where(reached)))
+        new_links = stored(_measured(more, packed).where(reached))
         pairs = pairs.unionAll(more)
+        release(docs.sparkSession)
+        if new_links.isEmpty():
+            return False
+        links = links.unionAll(new_links)
         final = stored(connected_components(links, "a", "b"))
         return True
 
@@ -350,6 +355,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id
     prefix = _prefixes(packed.join(texts_left.select("id"), "id", "left_semi"), threshold).join(texts_left, "id")
     several = prefix.groupBy("key").agg((F.min("c") < F.max("c")).alias("open")).where("open").select("key")
     prefix = stored(prefix.join(several, "key"))
+    release(docs.sparkSession)
     outside = _outside_hub(prefix.select("id").distinct().join(near_hub, "id"), packed)
     prefix = prefix.join(outside, "id", "left")
     may_reach = 1 / F.col("x.rest") + 1 / F.col("y.rest") <= 1 / threshold + 1 + 1e-9
