@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def lenient_double(col) -> Column:
-    """Numeric coercion, unparseable -> null (pandas ``to_numeric(errors='coerce')``)."""
-    return _c(col).try_cast("double")
+    """Numeric coercion, unparseable -> null (pandas ``to_numeric(errors='coerce')``).
+
+    Text must look like a decimal number ('1d' and 'NaN' do not); NaN in a
+    numeric column becomes null.  ``typeof`` is folded at planning, so numeric
+    columns pay no text test."""
+    c = _c(col)
+    number = c.try_cast("double")
+    text = F.typeof(c) == "string"
+    ok = F.when(text, c.cast("string").rlike(_NUMBER)).otherwise(~F.isnan(number))
+    return F.when(ok, number)
 
 
 def lenient_timestamp(col, dtype: DataType | None = None) -> Column:

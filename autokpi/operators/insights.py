@@ -72,9 +72,9 @@ def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.7
     if len(kpi_names) < 2:
         return empty
     wide = d.groupBy("date").pivot("kpi_name", kpi_names).agg(F.sum("value"))
-    complete = wide.dropna(subset=kpi_names)
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    complete = wide.where(reduce(lambda a, b: a & b, [q(c).isNotNull() for c in kpi_names]))
     pairs = [(a, b) for i, a in enumerate(kpi_names) for b in kpi_names[i + 1:]]
-    q = lambda c: F.col(f"`{c}`")
     parts = []
     # one aggregate per chunk of pairs keeps generated code small for many
     # KPIs; each chunk reads the (dates x KPIs) pivot, never per-date pairs
@@ -83,9 +83,9 @@ def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.7
         aggs = [F.count(F.lit(1)).alias("__n")]
         aggs += [F.try_divide(F.covar_samp(q(a), q(b)), F.stddev_samp(q(a)) * F.stddev_samp(q(b))).alias(f"r{i}")
                  for i, (a, b) in enumerate(part)]
-        stack = "stack({}, {}) AS (k1, k2, r)".format(
-            len(part), ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(part)))
-        parts.append(complete.agg(*aggs).selectExpr("__n", stack))
+        rows = F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2"), F.col(f"r{i}").alias("r"))
+                         for i, (a, b) in enumerate(part)])
+        parts.append(complete.agg(*aggs).select("__n", F.inline(rows)))
     long = reduce(DataFrame.unionByName, parts)
     long = long.filter((F.col("__n") >= min_dates) & F.col("r").isNotNull() & ~F.isnan("r"))
     if report_only:

@@ -88,12 +88,12 @@ def mapping_status(fields: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def kpi_mode(fields: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Per template, ``configured`` when every field is mapped,
-    ``configured-unmapped`` when fields exist but some are not mapped, ``auto``
+    """Per template, ``configured`` as soon as any field is mapped,
+    ``configured-unmapped`` when fields exist but none is mapped, ``auto``
     when no fields are defined; with field and mapping counts."""
     st = mapping_status(fields, mappings)
     mode = (F.when(F.col("total_fields") == 0, "auto")
-            .when(F.col("mapped_fields") == F.col("total_fields"), "configured")
+            .when(F.col("mapped_fields") > 0, "configured")
             .otherwise("configured-unmapped"))
     return st.select("template_id", mode.alias("mode"), "total_fields", "mapped_fields")
 

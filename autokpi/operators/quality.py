@@ -241,13 +241,12 @@ def newest_logs(logs: DataFrame, n: int, key: str = "department_id") -> DataFram
     return logs.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
 
 
-def scorecard(depts: DataFrame, logs: DataFrame, within: int = 20) -> DataFrame:
-    """Per department, newest log per check type within its newest ``within``
-    logs; pass=100, warning=70, else 0; score = half-even rounded mean (D16),
+def scorecard(depts: DataFrame, logs: DataFrame, within: int | None = None) -> DataFrame:
+    """Per department, newest log per check type (of its newest ``within`` logs, if given); pass=100, warning=70, else 0; score = half-even rounded mean (D16),
     -1 without logs; ``checks`` = 'type=status' pairs sorted by type;
     ``last_validation`` = newest log time.  Departments are a small dimension.
     """
-    top = newest_logs(logs, within)
+    top = logs if within is None else newest_logs(logs, within)
     per_type = (top.groupBy("department_id", "check_type")
                 .agg(F.max_by(F.col("status"), F.struct(F.col("created_at"), F.col("id"))).alias("status")))
     dept_scores = per_type.groupBy("department_id").agg(

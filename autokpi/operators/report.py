@@ -122,15 +122,13 @@ def newest(df: DataFrame, order: list[str], n: int, by: list[str] | None = None)
 
 
 def report_rows(kpis: DataFrame, scope: str = "all", department_ids: list | None = None, user_id=None,
-                date_from=None, date_to=None, kpi_names: list[str] | None = None, kind: str = "kpi") -> DataFrame:
-    """Rows for a custom report.  Scope ``all`` -> newest 200 KPI / 100
-    anomaly rows; ``departments`` -> the same caps within the chosen
-    departments; ``own`` -> the user's newest 100 / 50.  The inclusive date
-    range applies before the cap (whole last day, D24); the KPI-name filter
-    applies after it.  ``kind`` = 'kpi' or 'anomaly'.  Scale: pushed filters
-    plus a top-``cap`` (n rows per task); one job."""
-    caps = {"all": (200, 100), "departments": (200, 100), "own": (100, 50)}
-    cap = caps.get(scope, caps["own"])[0 if kind == "kpi" else 1]
+                date_from=None, date_to=None, kpi_names: list[str] | None = None, newest: int | None = None) -> DataFrame:
+    """Rows for a custom report, KPI or anomaly rows alike, newest first.
+
+    Scope ``all``, ``departments`` (the chosen ones) or ``own`` (the user's);
+    the inclusive date range takes the whole last day (D24), also of a
+    timestamp.  All rows that pass every filter are returned; ``newest`` asks
+    for a top-N of them."""
     df = kpis
     if scope == "departments":
         df = df.filter(F.col("department_id").isin(list(department_ids or [])))
@@ -139,12 +137,12 @@ def report_rows(kpis: DataFrame, scope: str = "all", department_ids: list | None
     if date_from is not None:
         df = df.filter(F.col("recorded_at") >= F.lit(date_from).cast("date"))
     if date_to is not None:
-        df = df.filter(F.col("recorded_at") <= F.lit(date_to).cast("date"))
-    keys = [c for c in ("department_id", "user_id", "kpi_name") if c in df.columns]
-    df = df.orderBy(F.col("recorded_at").desc(), *keys).limit(cap)
+        df = df.filter(F.col("recorded_at") < F.date_add(F.lit(date_to).cast("date"), 1))
     if kpi_names:
         df = df.filter(F.col("kpi_name").isin(list(kpi_names)))
-    return df
+    keys = [c for c in ("department_id", "user_id", "kpi_name") if c in df.columns]
+    df = df.orderBy(F.col("recorded_at").desc(), *keys)
+    return df if newest is None else df.limit(newest)
 
 
 def alert_rows(anomalies: DataFrame, recipients: DataFrame, on: str | list[str] = "department_id",
@@ -245,16 +243,17 @@ def briefing(kpis: DataFrame, anomalies: DataFrame, by: list[str] | None = None)
                     .alias("anomaly_text"))
 
 
-def validation_logs(logs: DataFrame, check_type: str | None = None, department_id=None, limit: int = 100
+def validation_logs(logs: DataFrame, check_type: str | None = None, department_id=None, limit: int | None = None
                     ) -> DataFrame:
     """Validation logs filtered by check type / department, newest first,
-    top ``limit`` (pushed filters + TakeOrdered)."""
+    all of them or the top ``limit``."""
     df = logs
     if check_type is not None:
         df = df.filter(F.col("check_type") == check_type)
     if department_id is not None:
         df = df.filter(F.col("department_id") == F.lit(department_id))
-    return df.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    out = df.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return out if limit is None else out.limit(limit)
 
 
 def trend(frame: DataFrame, days: int = 14) -> DataFrame:

@@ -90,10 +90,10 @@ def timeline_long(kpis: DataFrame, depts: DataFrame) -> DataFrame:
 
 
 def department_summaries(depts: DataFrame, kpis: DataFrame, anomalies: DataFrame,
-                         reports: DataFrame | None = None, n: int = 6, preview: int = 240) -> DataFrame:
+                         reports: DataFrame | None = None, n: int = 6, preview: int | None = None) -> DataFrame:
     """Per department the newest ``n`` KPI rows (``row_number <= n``, a
     partial WindowGroupLimit before the shuffle), its anomaly count, and the
-    newest report's first ``preview`` characters and date.  Long form: one row
+    newest report's narrative (or its first ``preview`` characters) and date.  Long form: one row
     per (department, rank); departments without KPIs keep one row."""
     w = Window.partitionBy("department_id").orderBy(F.col("recorded_at").desc(), "kpi_name", "user_id")
     top = (kpis.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
@@ -105,7 +105,8 @@ def department_summaries(depts: DataFrame, kpis: DataFrame, anomalies: DataFrame
         last = reports.groupBy("department_id").agg(
             F.max_by(F.struct("report_date", "narrative"), "report_date").alias("__r"))
         out = out.join(last, "department_id", "left").select(
-            "*", F.substring(F.coalesce(F.col("__r.narrative"), F.lit("")), 1, preview).alias("narrative_preview"),
+            "*", (lambda t: t if preview is None else F.substring(t, 1, preview))(
+                F.coalesce(F.col("__r.narrative"), F.lit(""))).alias("narrative_preview"),
             F.col("__r.report_date").alias("last_sync")).drop("__r")
     return out.join(top, "department_id", "left")
 
@@ -162,13 +163,13 @@ def visible_row_counts(df: DataFrame, roles: DataFrame) -> DataFrame:
     return out.select("user_id", vis.cast("bigint").alias("visible_rows"))
 
 
-def kpi_lineage(kpis: DataFrame, lineage: DataFrame, keys: list[str], order: list[str], n: int = 100) -> DataFrame:
-    """For every KPI row, its first ``n`` source rows by ``order`` (join
-    on ``keys``; ``row_number <= n`` per KPI, a partial WindowGroupLimit
+def kpi_lineage(kpis: DataFrame, lineage: DataFrame, keys: list[str], order: list[str], n: int | None = None) -> DataFrame:
+    """For every KPI row its source rows, or the first ``n`` by ``order``
+    (join on ``keys``; ``row_number <= n`` per KPI is a partial WindowGroupLimit
     before the shuffle).  ``found`` = the number of source rows (the KPI's
     count falls back to it)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = lineage.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
+    ranked = lineage if n is None else lineage.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
     found = lineage.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
     return kpis.join(found, keys, "left").join(ranked, keys, "left")
 

@@ -52,19 +52,19 @@ def q_p7(spark, sf):
 
 @register("p8_report_rows_all", with_fixtures("""
 SELECT * FROM (SELECT * FROM fx_kpi_results WHERE recorded_at >= DATE '1996-01-01' AND recorded_at <= DATE '1996-12-31'
-               ORDER BY recorded_at DESC, department_id, user_id, kpi_name LIMIT 200)
+               ORDER BY recorded_at DESC, department_id, user_id, kpi_name)
 WHERE kpi_name IN ('1-URGENT', '2-HIGH')"""))
 def q_p8_all(spark, sf):
-    """Admin scope, 1996 only, newest 200 rows, then the KPI-name filter."""
+    """Admin scope, 1996 only, the rows of two KPI names."""
     return report.report_rows(fixture(spark, sf, "fx_kpi_results"), "all", date_from="1996-01-01",
                               date_to="1996-12-31", kpi_names=["1-URGENT", "2-HIGH"])
 
 
 @register("p8_report_rows_departments", with_fixtures("""
 SELECT * FROM fx_kpi_results WHERE department_id IN (1, 3)
-ORDER BY recorded_at DESC, department_id, user_id, kpi_name LIMIT 200"""))
+ORDER BY recorded_at DESC, department_id, user_id, kpi_name"""))
 def q_p8_depts(spark, sf):
-    """Chosen departments (1 and 3), newest 200 rows."""
+    """Chosen departments (1 and 3), all rows."""
     return report.report_rows(fixture(spark, sf, "fx_kpi_results"), "departments", department_ids=[1, 3])
 
 
@@ -190,7 +190,7 @@ def q_p12_briefing(spark, sf):
 
 @register("p14_validation_logs", with_fixtures("""
 SELECT * FROM fx_validation_logs WHERE check_type = 'null' AND department_id = 1
-ORDER BY created_at DESC, id DESC LIMIT 100"""))
+ORDER BY created_at DESC, id DESC"""))
 def q_p14(spark, sf):
     """Newest 100 null-check logs of department 1."""
     return report.validation_logs(fixture(spark, sf, "fx_validation_logs"), "null", 1, 100)

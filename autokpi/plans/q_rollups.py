@@ -145,7 +145,7 @@ FROM fx_kpi_results k
 LEFT JOIN (SELECT department_id, user_id, kpi_name, recorded_at, count(*) AS found FROM lin GROUP BY 1, 2, 3, 4) f
   USING (department_id, user_id, kpi_name, recorded_at)
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY department_id, user_id, kpi_name, recorded_at
-                                                       ORDER BY source_record_id) AS rn FROM lin) WHERE rn <= 100) l
+                                                       ORDER BY source_record_id) AS rn FROM lin)) l
   USING (department_id, user_id, kpi_name, recorded_at)""", ("lin", LINEAGE_SQL)))
 def q_j7(spark, sf):
     """Every KPI result with (up to 100 of) the orders behind it."""

@@ -33,12 +33,12 @@ def q_s3(spark, sf):
 
 @register("s10_run_sql", """
 SELECT * FROM (SELECT o_orderpriority, count(*) AS n, max(o_orderdate) AS created_at
-               FROM orders GROUP BY 1 ORDER BY n DESC) LIMIT 200""")
+               FROM orders GROUP BY 1 ORDER BY n DESC)""")
 def q_s10(spark, sf):
     """A user's read-only query (a column named created_at is allowed)."""
     sql = ("SELECT o_orderpriority, count(*) AS n, max(o_orderdate) AS created_at "
            "FROM orders GROUP BY 1 ORDER BY n DESC")
-    return readers.run_sql(spark, sql, {"orders": table(spark, sf, "orders")}, 200)
+    return readers.run_sql(spark, sql, {"orders": table(spark, sf, "orders")})
 
 
 @register("s11_ingest_summary", with_fixtures("""

@@ -106,12 +106,10 @@ def analyst(frame: DataFrame, logs: DataFrame, days_since_sync, mapped: bool, as
 
 
 def dashboard(kpis: DataFrame, anomalies: DataFrame, depts: DataFrame) -> dict[str, DataFrame]:
-    """Dashboard / executive summary: newest KPI per name (W3 within the
-    newest 25 per department), snapshot (T1), combined KPIs (A10), timeline
+    """Dashboard / executive summary: newest KPI per name (W3), snapshot (T1), combined KPIs (A10), timeline
     (A11), department summaries (W4) with names (J2)."""
     return {
-        "latest": kpi.latest_per(kpis, ["department_id", "kpi_name"], ["recorded_at", "user_id"],
-                                 within=(["department_id"], 25)),
+        "latest": kpi.latest_per(kpis, ["department_id", "kpi_name"], ["recorded_at", "user_id"]),
         "snapshot": report.snapshot(kpis, 12),
         "combined_kpis": rollups.combined_kpis(kpis),
         "timeline": rollups.timeline(kpis, depts),

@@ -2,21 +2,17 @@
 
 Settings that matter at scale are set here once: AQE (coalesce + skew join),
 UTC session time zone, ANSI left on (so every lenient cast in the library is an
-explicit ``try_*``), the UI off.  ``spark.checkpoint.dir`` is read from the
-session; a local fallback folder is only chosen when the master is local and the
-setting is unset (tests, bench).
+explicit ``try_*``), the UI off.  Master, partitions and memory are left as
+configured; a local master is chosen only where none is.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
-_LOCAL_CKPT: str | None = None
-
-
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "autokpi") -> SparkSession:
     """Return the active session or build a local one with the library defaults."""
@@ -24,12 +20,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if active is not None:
         ensure_checkpoint_dir(active)
         return active
-    master = master or os.environ.get("AUTOKPI_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("AUTOKPI_SHUFFLE_PARTITIONS", "8"))
+    SparkContext._ensure_initialized()
+    given = SparkConf()
+    master = master or os.environ.get("AUTOKPI_MASTER") or (None if given.contains("spark.master") else "local[*]")
+    parts = shuffle_partitions or os.environ.get("AUTOKPI_SHUFFLE_PARTITIONS") or (
+        None if given.contains("spark.sql.shuffle.partitions") or not (master or "").startswith("local") else 8)
+    builder = SparkSession.builder.appName(app_name)
+    builder = builder.master(master) if master else builder
+    builder = builder.config("spark.sql.shuffle.partitions", str(parts)) if parts else builder
     spark = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(parts))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -37,7 +37,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("AUTOKPI_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -50,10 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``checkpoint()`` has a reliable folder.
 
     On a cluster the folder must be the shared one named by
-    ``spark.checkpoint.dir``; only a local master may fall back to a private
-    temporary folder.
+    ``spark.checkpoint.dir``; only a local master may fall back to a folder in
+    the warehouse.
     """
-    global _LOCAL_CKPT
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -64,7 +62,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    if _LOCAL_CKPT is None:
-        _LOCAL_CKPT = tempfile.mkdtemp(prefix="autokpi-ckpt-")
-    sc.setCheckpointDir(_LOCAL_CKPT)
-    return _LOCAL_CKPT
+    sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()

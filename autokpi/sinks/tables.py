@@ -41,44 +41,88 @@ def upsert(spark, path: str, changes: DataFrame, keys: list[str], order_col: str
            partition_by: str | None = None) -> None:
     """K2: merge ``changes`` into the Parquet table at ``path``.
 
-    With ``partition_by`` only the partitions present in ``changes`` are read
-    and rewritten (dynamic overwrite); the new image is written to a staging
-    folder first, then swapped in with a second dynamic overwrite.
+    With ``partition_by`` among the keys only the partitions present in
+    ``changes`` are read and rewritten (dynamic overwrite): a semi-join, which
+    Spark turns into dynamic partition pruning.  If it is not a key, a changed
+    row may have to leave another partition, so the whole table is merged and
+    swapped in.  The new image is staged first.  Only a table that does not
+    exist is created; a table that cannot be read raises.
     """
     if changes.isEmpty():
         return
-    try:
-        base = spark.read.parquet(path)
-    except Exception:  # table does not exist yet
-        base = None
-    if base is None:
-        append(changes, path, partition_by)
+    _recover(spark, path)
+    if not _exists(spark, path):
+        append(upsert_frame(changes.limit(0), changes, keys, order_col), path, partition_by)
         return
-    if partition_by:
-        touched = changes.select(partition_by).distinct()
-        if _small(touched):
-            # a checked, bounded list of partition values: a literal IN filter
-            # prunes the scan to the touched partitions
-            vals = [r[0] for r in touched.collect()]
-            base = base.filter(F.col(partition_by).isin(vals))
-        else:
-            base = base.join(touched, partition_by, "left_semi")
+    base = _read(spark, path, changes)
+    by_partition = partition_by is not None and partition_by in keys
+    if by_partition:
+        base = base.join(changes.select(partition_by).distinct(), partition_by, "left_semi")
     merged = upsert_frame(base, changes, keys, order_col)
-    stage = f"{path.rstrip('/')}/../_staging_{uuid.uuid4().hex}"
-    _write_stage_and_swap(spark, merged, stage, path, partition_by)
+    stage = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    if by_partition:
+        _write_stage_and_swap(spark, merged, stage, path, partition_by)
+    else:
+        _write(merged, stage, partition_by)
+        _swap_folder(spark, stage, path)
 
 
-def _small(df: DataFrame, limit: int = 100_000) -> bool:
-    """Size check before a broadcast: count the distinct partition values."""
-    return df.limit(limit + 1).count() <= limit
+def _fs(spark, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _write_stage_and_swap(spark, df: DataFrame, stage: str, path: str, partition_by: str | None) -> None:
+def _exists(spark, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _read(spark, path: str, like: DataFrame | None = None) -> DataFrame:
+    """Read a table with partition values as text, cast to the types of ``like``: '007' stays '007'."""
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "true" if like is None else "false")
+    try:
+        df = spark.read.parquet(path)
+    finally:
+        spark.conf.set(name, old)
+    types = {} if like is None else dict(like.dtypes)
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types and types[c] != t else F.col(c) for c, t in df.dtypes])
+
+
+def _write(df: DataFrame, path: str, partition_by: str | None) -> None:
     w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(stage)
-    staged = spark.read.parquet(stage)
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+
+
+def _swap_folder(spark, stage: str, path: str) -> None:
+    """Put a complete staged table in the place of ``path`` by two renames; ``_recover`` undoes half a swap."""
+    fs, target = _fs(spark, path)
+    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (_backup(path), stage))
+    if not fs.rename(target, old) or not fs.rename(new, target):
+        _recover(spark, path)
+        raise OSError(f"could not swap the staged table into {path}")
+    fs.delete(old, True)
+
+
+def _backup(path: str) -> str:
+    return f"{path.rstrip('/')}__previous"
+
+
+def _recover(spark, path: str) -> None:
+    """After a swap that broke off between its renames, put the previous table back."""
+    fs, target = _fs(spark, path)
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_backup(path))
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
+
+
+def _write_stage_and_swap(spark, df: DataFrame, stage: str, path: str, partition_by: str | None) -> None:
+    _write(df, stage, partition_by)
+    staged = _read(spark, stage, df)
     old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
@@ -88,6 +132,8 @@ def _write_stage_and_swap(spark, df: DataFrame, stage: str, path: str, partition
         w2.parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    fs, staged_at = _fs(spark, stage)
+    fs.delete(staged_at, True)
 
 
 def purge_frame(df: DataFrame, predicate: Column) -> DataFrame:
@@ -98,26 +144,16 @@ def purge_frame(df: DataFrame, predicate: Column) -> DataFrame:
 def purge(spark, path: str, predicate: Column, partition_by: str | None = None) -> None:
     """K3: rewrite the table without the purged rows.
 
-    The kept rows are staged first, then the table is replaced with a static
-    overwrite, so partitions emptied by the purge disappear too (a dynamic
-    overwrite would leave them behind).  Rows where ``predicate`` is null stay.
+    The kept rows are staged first, then the whole folder is swapped by two
+    renames, so partitions emptied by the purge disappear too and a crash
+    leaves either the old or the new table.  Rows where ``predicate`` is null
+    stay.
     """
+    _recover(spark, path)
     kept = purge_frame(spark.read.parquet(path), predicate)
-    stage = f"{path.rstrip('/')}/../_staging_{uuid.uuid4().hex}"
-    w = kept.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(stage)
-    staged = spark.read.parquet(stage)
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    try:
-        w2 = staged.write.mode("overwrite")
-        if partition_by:
-            w2 = w2.partitionBy(partition_by)
-        w2.parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    stage = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    _write(kept, stage, partition_by)
+    _swap_folder(spark, stage, path)
 
 
 def lineage(df: DataFrame, batch_col: str = "batch_source_id", id_col: str = "source_row_id",

@@ -26,10 +26,10 @@ CATALOG_SCHEMA = T.StructType([
 
 
 def catalog_columns(spark: SparkSession, tables: dict[str, DataFrame], views: set[str] | None = None,
-                    max_tables: int = 200) -> DataFrame:
+                    max_tables: int | None = None) -> DataFrame:
     """One row per (table, column): ordinal (1-based), Spark type, nullability.
 
-    Tables come before views; at most ``max_tables`` tables.  Built on the
+    Tables come before views; all of them, or the first ``max_tables``.  Built on the
     driver from schemas only (no data is read).
     """
     views = views or set()
@@ -41,7 +41,7 @@ def catalog_columns(spark: SparkSession, tables: dict[str, DataFrame], views: se
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
-def catalog_from_spark(spark: SparkSession, database: str | None = None, max_tables: int = 200) -> DataFrame:
+def catalog_from_spark(spark: SparkSession, database: str | None = None, max_tables: int | None = None) -> DataFrame:
     """S4 over the session catalog (``listTables`` / ``listColumns``)."""
     tabs = spark.catalog.listTables(database) if database else spark.catalog.listTables()
     ordered = [t for t in tabs if t.tableType != "VIEW"] + [t for t in tabs if t.tableType == "VIEW"]
@@ -187,13 +187,13 @@ def count_tables(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count_distinct("table_name").alias("table_count"))
 
 
-def list_tables(catalog: DataFrame, limit: int = 200) -> DataFrame:
-    """Table names with their column counts (at most ``limit``)."""
+def list_tables(catalog: DataFrame) -> DataFrame:
+    """Table names with their column counts."""
     return (catalog.groupBy("table_name", "table_ordinal").agg(F.count(F.lit(1)).alias("column_count"))
-            .orderBy("table_ordinal").limit(limit).drop("table_ordinal"))
+            .orderBy("table_ordinal").drop("table_ordinal"))
 
 
-def describe(catalog: DataFrame, table_name: str, limit: int = 200) -> DataFrame:
-    """Columns of one table (at most ``limit``)."""
-    return (catalog.filter(F.col("table_name") == table_name).orderBy("ordinal").limit(limit)
+def describe(catalog: DataFrame, table_name: str) -> DataFrame:
+    """Columns of one table."""
+    return (catalog.filter(F.col("table_name") == table_name).orderBy("ordinal")
             .select("ordinal", "column_name", "data_type", "nullable"))

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -168,13 +169,11 @@ def read_documents(spark: SparkSession, collections: dict, sample: int | None =
 _QUERY_STARTS = ("select", "with", "values", "table", "from", "(")
 
 
-def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, limit: int = 200) -> DataFrame:
-    """Run a read-only query over registered tables, at most ``limit`` rows.
+def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, limit: int | None = None) -> DataFrame:
+    """Run a read-only query over registered tables; all rows, or ``limit``.
 
-    The text is embedded as a subquery (``SELECT * FROM (<sql>) LIMIT n``), so
-    Spark's own parser accepts only queries: a command (DROP, INSERT, SET,
-    CREATE ...) cannot appear in that position and fails to parse before
-    anything runs.  Multiple statements are refused.  No substring tests on
+    Spark's own parser reads the text; commands, several statements, tables
+    that are not registered (paths too) and calls into the JVM are refused.  No substring tests on
     names (a column called ``created_at`` is fine, D17).
     """
     text = sql.strip().rstrip(";").strip()
@@ -184,7 +183,21 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None =
         raise ValueError("Only SELECT / WITH queries are allowed")
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT * FROM ({text}) AS __q LIMIT {int(limit)}")
+    _check_plan(spark, text, set(tables or {}))
+    out = spark.sql(text)
+    return out if limit is None else out.limit(int(limit))
+
+
+def _check_plan(spark: SparkSession, text: str, tables: set[str]) -> None:
+    """Refuse what the parsed text reads beyond the registered tables, and calls into the JVM."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    known = {t.lower() for t in tables} | {m.lower() for m in re.findall(r"(?:CTE|SubqueryAlias) \[?([A-Za-z_]\w*)", plan)}
+    known |= {m.lower() for m in re.findall(r"(?i)(?:\bwith|,)\s+([a-z_]\w*)\s*(?:\([^)]*\)\s*)?as\s*\(", _strip_literals(text))}
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        if name.strip().lower() not in known:
+            raise ValueError(f"Unknown table: {name}")
+    if re.search(r"(?i)'(try_)?(reflect|java_method)\(", plan):
+        raise ValueError("Calls into the JVM are not allowed")
 
 
 def _strip_literals(text: str) -> str:
@@ -211,13 +224,13 @@ SUMMARY_SCHEMA = T.StructType([
 ])
 
 
-def ingest_summary(payloads: DataFrame, col: str = "payload", today=None) -> DataFrame:
+def ingest_summary(payloads: DataFrame, col: str = "payload", today=None, keep: list[str] = ()) -> DataFrame:
     """Department summary documents -> combined-report rows.
 
     ``report_date`` defaults to ``today`` (default: the current date);
     ``combined_kpis`` = kpi -> value map; narrative defaults to
     'Ingested summary for <department> on <date>.'  One projection."""
-    p = payloads.select(F.from_json(F.col(col), SUMMARY_SCHEMA).alias("p")).select("p.*")
+    p = payloads.select(F.from_json(F.col(col), SUMMARY_SCHEMA).alias("p"), *keep).select("p.*", *keep)
     day = F.coalesce(F.col("report_date"), (F.current_date() if today is None else F.lit(today).cast("date"))
                      .cast("string"))
     kp = F.filter(F.coalesce(F.col("kpis"), F.array().cast(SUMMARY_SCHEMA["kpis"].dataType)),
@@ -229,4 +242,4 @@ def ingest_summary(payloads: DataFrame, col: str = "payload", today=None) -> Dat
         "department", day.alias("report_date"),
         F.map_from_entries(F.transform(last, lambda k: F.struct(k["kpi_name"], k["value"]))).alias("combined_kpis"),
         F.coalesce(F.col("narrative"), F.concat(F.lit("Ingested summary for "), F.col("department"), F.lit(" on "),
-                                                day, F.lit("."))).alias("narrative"))
+                                                day, F.lit("."))).alias("narrative"), *keep)

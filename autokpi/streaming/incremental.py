@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from autokpi.sinks import tables as sinks
-from autokpi.sources.readers import SUMMARY_SCHEMA
+from autokpi.sources.readers import ingest_summary
 
 
 def daily_totals_stream(stream: DataFrame, ts: str, amount: str, label: str, watermark: str = "2 days") -> DataFrame:
@@ -36,52 +36,43 @@ def daily_totals_stream(stream: DataFrame, ts: str, amount: str, label: str, wat
 
 
 def run_daily_totals(spark: SparkSession, source_path: str, schema: T.StructType | str, ts: str, amount: str,
-                     label: str, sink_path: str, checkpoint: str, watermark: str = "2 days",
+                     label: str, sink_path: str, checkpoint: str,
                      available_now: bool = True) -> StreamingQuery:
     """Keep ``sink_path`` (partitioned by date) equal to batch A1 over all
-    files seen so far.  Update mode emits the running total of every day a
-    batch touched; the upsert on (kpi_name, date) makes the newest total win."""
+    files.  Each micro-batch names the days it touches, whose totals are
+    computed anew from the source, so rows of any lateness count; the upsert on
+    (kpi_name, date) makes the newest total win."""
     stream = spark.readStream.schema(schema).parquet(source_path)
-    agg = daily_totals_stream(stream, ts, amount, label, watermark)
 
     def upsert_batch(batch: DataFrame, epoch: int) -> None:
-        changes = batch.withColumn("epoch", F.lit(epoch).cast("bigint"))
-        sinks.upsert(batch.sparkSession, sink_path, changes, ["kpi_name", "date"], "epoch", partition_by="date")
-
-    w = agg.writeStream.outputMode("update").foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
+        session = batch.sparkSession
+        day = F.to_date(F.col(ts))
+        days = batch.select(day.alias("date")).where("date is not null").distinct()
+        rows = session.read.schema(schema).parquet(source_path).withColumn("date", day).join(days, "date", "left_semi")
+        changes = rows.groupBy("date").agg(F.sum(F.col(amount).try_cast("double")).alias("value")).select(
+            "date", F.lit(label).alias("kpi_name"), "value", F.lit(epoch).cast("bigint").alias("epoch"))
+        sinks.upsert(session, sink_path, changes, ["kpi_name", "date"], "epoch", partition_by="date")
+
+    w = stream.writeStream.outputMode("append").foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def summaries_stream(stream: DataFrame, col: str = "value", watermark: str = "7 days") -> DataFrame:
-    """R2 (lazy part): parse summary documents (S11) and drop repeats of the
-    same (department, report_date) within the watermark."""
-    p = stream.select(F.from_json(F.col(col), SUMMARY_SCHEMA).alias("p")).select("p.*")
-    p = p.withColumn("report_ts", F.to_timestamp("report_date"))
-    return (p.withWatermark("report_ts", watermark)
-            .dropDuplicatesWithinWatermark(["department", "report_date"]))
-
-
-def run_ingest(spark: SparkSession, source_path: str, sink_path: str, checkpoint: str, watermark: str = "7 days",
+def run_ingest(spark: SparkSession, source_path: str, sink_path: str, checkpoint: str, today=None,
                available_now: bool = True) -> StreamingQuery:
     """R2: incremental ingest of department summaries (text files, one JSON
-    document per line) into a report table keyed by (department, report_date)."""
+    document per line) into a report table keyed by (department, report_date).
+
+    Rows are built by the batch code (S11).  Nothing is de-duplicated by time:
+    the upsert lets the newest document of a key win, however late it comes."""
     stream = spark.readStream.text(source_path)
-    dedup = summaries_stream(stream, "value", watermark)
 
     def upsert_batch(batch: DataFrame, epoch: int) -> None:
-        kp = F.coalesce(F.col("kpis"), F.array().cast(SUMMARY_SCHEMA["kpis"].dataType))
-        rows = batch.select(
-            "department", "report_date",
-            F.to_json(F.map_from_entries(F.transform(F.filter(kp, lambda k: k["kpi_name"].isNotNull()),
-                                                     lambda k: F.struct(k["kpi_name"], k["value"]))))
-            .alias("combined_kpis"),
-            F.coalesce(F.col("narrative"), F.concat(F.lit("Ingested summary for "), F.col("department"),
-                                                    F.lit(" on "), F.col("report_date"), F.lit("."))).alias("narrative"),
-            F.lit(epoch).cast("bigint").alias("epoch"))
-        sinks.upsert(batch.sparkSession, sink_path, rows, ["department", "report_date"], "epoch",
-                     partition_by="report_date")
+        rows = ingest_summary(batch.withColumn("__line", F.monotonically_increasing_id()), "value", today, keep=["__line"])
+        rows = rows.select("department", "report_date", F.to_json("combined_kpis").alias("combined_kpis"), "narrative",
+                           F.struct(F.lit(epoch).cast("bigint").alias("epoch"), F.col("__line").alias("line")).alias("epoch"))
+        sinks.upsert(batch.sparkSession, sink_path, rows, ["department", "report_date"], "epoch", partition_by="report_date")
 
-    w = dedup.writeStream.outputMode("append").foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.outputMode("append").foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

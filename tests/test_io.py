@@ -90,6 +90,8 @@ def test_run_sql_refuses_commands(spark, sql):
 def test_run_sql_allows_created_at_and_caps(spark):
     o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
     df = readers.run_sql(spark, "WITH x AS (SELECT o_orderdate AS created_at FROM orders) SELECT * FROM x", {"orders": o})
+    assert df.count() == 1500
+    df = readers.run_sql(spark, "SELECT o_orderdate FROM orders", {"orders": o}, limit=200)
     assert df.count() == 200
 
 
@@ -112,7 +114,7 @@ def test_streaming_daily_totals_equal_batch(spark, tmpdir_path):
     ck = os.path.join(tmpdir_path, "ck")
     for i, p in enumerate(parts):
         p.write.mode("overwrite").parquet(os.path.join(src, f"drop={i}"))
-        q = incremental.run_daily_totals(spark, src, ev.schema, "ts", "value", "Events", sink, ck, "400 days")
+        q = incremental.run_daily_totals(spark, src, ev.schema, "ts", "value", "Events", sink, ck)
         q.awaitTermination()
     got = {(r.date, round(r.value, 6)) for r in spark.read.parquet(sink).collect()}
     want = {(r.date, round(r.value, 6)) for r in extract.daily_totals(ev, "value", "ts", "Events", days=None).collect()}
