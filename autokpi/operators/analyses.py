@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 def time_series_sum(df: DataFrame, amount: str, date: str, n: int | None = 24) -> DataFrame:
     """A2: monthly ``SUM(amount)``; the newest ``n`` months (a top-n, not a
-    sort of everything); null dates dropped (D4).  Columns bucket DATE, total.
+    sort of everything), oldest first; null dates dropped (D4).  Columns bucket DATE, total.
     Scale: shuffle key = month; partial aggregation leaves one row per month
     per task; one job."""
     g = (df.filter(F.col(date).isNotNull())
@@ -23,18 +23,19 @@ def time_series_sum(df: DataFrame, amount: str, date: str, n: int | None = 24) -
          .agg(F.sum(F.col(amount).try_cast("double")).alias("total")))
     if n is not None:
         g = g.orderBy(F.col("bucket").desc()).limit(n)
-    return g
+    return g.orderBy("bucket")
 
 
 def count_over_time(df: DataFrame, date: str, n: int | None = 26) -> DataFrame:
-    """A3: weekly row count (weeks start Monday), newest ``n`` weeks.
+    """A3: weekly row count (weeks start Monday), newest ``n`` weeks,
+    oldest first.
     Scale: shuffle key = week (partial counts per task); one job."""
     g = (df.filter(F.col(date).isNotNull())
          .groupBy(F.to_date(F.date_trunc("week", F.col(date))).alias("bucket"))
          .agg(F.count(F.lit(1)).alias("total")))
     if n is not None:
         g = g.orderBy(F.col("bucket").desc()).limit(n)
-    return g
+    return g.orderBy("bucket")
 
 
 def demographic(df: DataFrame, top: int = 12, max_cols: int = 4) -> DataFrame:

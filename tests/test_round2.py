@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from autokpi.functions.core import lenient_double
-from autokpi.operators import insights, report
+from autokpi.operators import analyses, insights, report
 from autokpi.sinks import tables as sinks
 from autokpi.sources import readers
 from autokpi.streaming import incremental
@@ -93,3 +93,13 @@ def test_corrected_and_late_summaries_are_ingested(spark):
         incremental.run_ingest(spark, src, sink, ck).awaitTermination()
     got = {str(r.report_date): r.combined_kpis for r in spark.read.parquet(sink).collect()}
     assert set(got) == {"2024-02-20", "2024-01-31"} and "9" in got["2024-02-20"]
+
+
+def test_series_come_back_oldest_first(spark):
+    t = spark.sql("SELECT make_date(2023, 1, 1) + cast(id * 11 as int) AS d, 1.0D AS v FROM range(120)").orderBy("v")
+    months = [r.bucket for r in analyses.time_series_sum(t, "v", "d", 24).collect()]
+    weeks = [r.bucket for r in analyses.count_over_time(t, "d", 26).collect()]
+    assert len(months) == 24 and months == sorted(months)
+    assert len(weeks) == 26 and weeks == sorted(weeks)
+    newest = t.agg({"d": "max"}).first()[0]
+    assert months[-1] == newest.replace(day=1)
