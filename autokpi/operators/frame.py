@@ -113,24 +113,38 @@ def hide_retired_messages(df: DataFrame, col: str = "message") -> DataFrame:
     return df.filter(~F.coalesce(hit, F.lit(False)))
 
 
+def _json_value(c: Column, t: T.DataType) -> Column:
+    """``c`` with the leaves of its type in JSON-safe form, nested ones too."""
+    if isinstance(t, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        part = F.date_format(c, "SSSSSS")
+        return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == "000000", "").otherwise(F.concat(F.lit("."), part)))
+    if isinstance(t, T.BinaryType):
+        return F.lower(F.hex(c))
+    if isinstance(t, T.DecimalType):
+        return c.cast("double")
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _json_value(x, t.elementType))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_json_value(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]))
+    if isinstance(t, T.MapType):
+        keyed = F.transform_keys(c, lambda k, _: _json_value(k, t.keyType))
+        return F.transform_values(keyed, lambda _, v: _json_value(v, t.valueType))
+    return c
+
+
 def json_safe(df: DataFrame) -> DataFrame:
     """P5: JSON-safe projection by type (narrow, no shuffle).
 
-    Dates/timestamps -> ISO text, binary -> lower hex, decimal -> double,
-    arrays/structs/maps -> JSON text; everything else unchanged.  One projection.
+    Dates/timestamps -> ISO text (with six decimals where the second is not
+    whole), binary -> lower hex, decimal -> double, arrays/structs/maps -> JSON
+    text whose parts follow the same rules; everything else unchanged.
     """
     cols = []
     for f in df.schema.fields:
-        c, t = F.col(f"`{f.name}`"), f.dataType
-        if isinstance(t, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        elif isinstance(t, T.BinaryType):
-            c = F.lower(F.hex(c))
-        elif isinstance(t, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(t, (T.ArrayType, T.StructType, T.MapType)):
+        c = _json_value(F.col(f"`{f.name}`"), f.dataType)
+        if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
             c = F.to_json(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from autokpi.functions.core import lenient_double
-from autokpi.operators import analyses, insights, report
+from autokpi.operators import analyses, frame, insights, report
 from autokpi.sinks import tables as sinks
 from autokpi.sources import readers
 from autokpi.streaming import incremental
@@ -103,3 +103,13 @@ def test_series_come_back_oldest_first(spark):
     assert len(weeks) == 26 and weeks == sorted(weeks)
     newest = t.agg({"d": "max"}).first()[0]
     assert months[-1] == newest.replace(day=1)
+
+
+def test_json_safe_keeps_fractions_and_nested_binary(spark):
+    t = spark.sql("""SELECT TIMESTAMP '2024-01-02 03:04:05.123456' AS a, TIMESTAMP '2024-01-02 03:04:05' AS b, X'0AFF' AS c,
+        named_struct('x', X'0AFF', 'y', DATE '2024-01-02') AS d, array(X'01', NULL) AS e, map('k', TIMESTAMP '2024-01-02 03:04:05.5') AS f,
+        CAST(NULL AS struct<x: binary>) AS g, CAST(NULL AS timestamp) AS h""")
+    r = frame.json_safe(t).first()
+    assert (r.a, r.b, r.c) == ("2024-01-02T03:04:05.123456", "2024-01-02T03:04:05", "0aff")
+    assert (r.d, r.e) == ('{"x":"0aff","y":"2024-01-02"}', '["01",null]')
+    assert r.f == '{"k":"2024-01-02T03:04:05.500000"}' and r.g is None and r.h is None
