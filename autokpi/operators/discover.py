@@ -100,7 +100,7 @@ def tables_by_domain(catalog: DataFrame) -> DataFrame:
                                  F.size("tables").alias("table_count"))
 
 
-# Rule table of V10: (order, label, fallback label, max tables, kind, needs amount, needs date, title prefix)
+# Fixed values, rule table of V10: (order, label, fallback label, max tables, kind, needs amount, needs date, title prefix)
 _RULES = [
     (1, "contribution", None, 3, "time_series_sum", True, True, "Contribution trend over time"),
     (1, "contribution", None, 3, "missing_recent", True, True, "Late / missing contribution detection"),
