@@ -68,33 +68,37 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
     """(id, class_id) for every id in ``links``: class_id is the smallest id reachable.
 
     Alternates two star contractions on the link table: every node hands its
-    larger neighbours, then its smaller ones, to the smallest node it knows.
-    All work is grouped or joined on node ids (a hub's rows are combined before
-    the shuffle and its join partition may be split); nothing is collected but
-    a count and a checksum.  Null ends and self-links are ignored.
+    larger neighbours, then its smaller ones, to the smallest node it knows,
+    until every node hangs on one root.  Links that are stars already need no
+    round.  All work is grouped or joined on node ids (a hub's rows are combined
+    before the shuffle and its join partition may be split); nothing is
+    collected but a count.  Null ends and self-links are ignored.
     """
-    e = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    e = e.where("u is not null and v is not null and u <> v")
-    e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    def ordered(rows: DataFrame) -> DataFrame:
+        rows = rows.where("u is not null and v is not null and u <> v")
+        return stored(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+    def settled(e: DataFrame) -> bool:
+        """No node has two smaller neighbours, or one besides larger neighbours."""
+        ends = e.select(F.inline(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+                                         F.struct(F.col("v").alias("n"), F.lit(0).alias("below"), F.lit(1).alias("above")))))
+        ends = ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        return ends.where("below + above > 1 and below > 0").agg(F.count(F.lit(1))).first()[0] == 0
+
+    e = ordered(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")))
     for _ in range(most_rounds):
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.withColumnRenamed("u", "n"), large.u == F.col("n")).where("v <> m").select(
-            F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionAll(low.select("u", F.col("m").alias("v")))
-        e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                   .where("u <> v").distinct())
-        both = low = large = small = None
-        release(links.sparkSession)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        if settled(e):
             break
-        mark = tuple(now)
+        ends = e.select(F.inline(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")),
+                                         F.struct(F.col("v").alias("n"), F.col("v").alias("m")))))
+        low = ends.groupBy("n").agg(F.min("m").alias("m"))  # the larger neighbours of a node cannot be its minimum
+        large = e.join(low, e.v == low.n).select("u", F.col("m").alias("v"))
+        low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+        small = large.join(low, large.u == low.n).select(F.inline(F.array(
+            F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        e = ordered(small)
+        ends = low = large = small = None
+        release(links.sparkSession)
     else:
         raise RuntimeError("components did not settle; the link table changes between reads")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("class_id")).distinct()

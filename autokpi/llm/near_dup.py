@@ -337,7 +337,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id
         if new_links.isEmpty():
             return False
         links = links.unionAll(new_links)
-        final = stored(connected_components(links, "a", "b"))
+        joined = final.select(F.col("id").alias("a"), F.col("class_id").alias("b")).unionAll(new_links.select("a", "b"))
+        final = stored(connected_components(joined, "a", "b"))
         return True
 
     placed = still_open()
