@@ -12,7 +12,7 @@ bin; items under ``EXACT_BELOW`` shingles are looked up by all their shingles.
 Every candidate is verified by exact shingle containment.
 
 The search keeps no document data: each task holds the signatures of one block
-of items (at most ``BLOCK_ITEMS``) and one megabyte of text.  More items make
+of items (at most ``BLOCK_ITEMS``) and one piece of text.  More items make
 more blocks, one scan each, so neither side is cut and nothing is shuffled; a
 passage that a third of all documents share costs each task only its own rows.
 

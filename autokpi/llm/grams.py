@@ -3,7 +3,7 @@
 A *word* is a maximal run of ASCII letters and digits and of non-ASCII
 characters, lower-cased; every other character separates words.  Hashes are
 64-bit and depend on the word's bytes alone, so they agree on every executor.
-A null text has no words.  Texts are handled in pieces of about one megabyte
+A null text has no words.  Texts are handled in pieces of about a quarter megabyte
 (a longer text is one piece), so memory does not follow the batch size.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
