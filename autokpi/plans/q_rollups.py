@@ -148,7 +148,7 @@ LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY department_i
                                                        ORDER BY source_record_id) AS rn FROM lin)) l
   USING (department_id, user_id, kpi_name, recorded_at)""", ("lin", LINEAGE_SQL)))
 def q_j7(spark, sf):
-    """Every KPI result with (up to 100 of) the orders behind it."""
+    """Every KPI result with all the orders behind it."""
     keys = ["department_id", "user_id", "kpi_name", "recorded_at"]
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer")
@@ -159,7 +159,7 @@ def q_j7(spark, sf):
                        F.col("o_orderpriority").alias("kpi_name"), F.to_date("o_orderdate").alias("recorded_at"),
                        F.col("o_orderkey").alias("source_record_id"), F.col("o_totalprice").alias("record_value")))
     kr = _kr(spark, sf).select(*keys, "value")
-    out = rollups.kpi_lineage(kr, lineage, keys, ["source_record_id"], 100)
+    out = rollups.kpi_lineage(kr, lineage, keys, ["source_record_id"])
     return out.select(*keys, "value", "found", "source_record_id", "record_value")
 
 
