@@ -103,7 +103,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_line_dedup")
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many fuzzy repeated lines each document loses, and the digest of what stays."""
-    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), most_bits=None)
     return out.select("doc_id", "lines_removed", F.length("text").cast("long").alias("chars_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
