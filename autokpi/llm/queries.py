@@ -121,18 +121,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_token_shards")
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the written shards, read back: slot, sequence, first doc_id, token digest."""
+    """Every record of the written shards, read back: slot, sequence, its documents and where they start, token digest."""
     folder = token_shards.shared_folder(spark, "op8")
     written = stored(token_shards.write_shards(table(spark, sf_dir, "documents"), folder))
     return shard_digests(spark, written, folder)
 
 
 def shard_digests(spark: SparkSession, written: DataFrame, folder: str) -> DataFrame:
-    """(slot, shard, seq, doc_id, bytes, crc32) of the records of written shards."""
+    """(slot, shard, seq, doc_id, bytes, crc32, doc_ids, starts) of the records of written shards."""
     if written.isEmpty():
-        return spark.createDataFrame([], "slot long, shard int, seq long, doc_id long, bytes int, crc32 long")
-    return token_shards.read_shards(spark, folder).select(
+        return spark.createDataFrame(
+            [], "slot long, shard int, seq long, doc_id long, bytes int, crc32 long, doc_ids array<long>, starts array<int>")
+    read = token_shards.read_shards(spark, folder).select(
         "slot", "shard", "seq", "doc_id", F.octet_length("tokens").alias("bytes"), F.crc32("tokens").alias("crc32"))
+    return read.join(written.select(F.inline("sequences")), "slot", "left")
 
 
 @register("op9_forest")

@@ -203,7 +203,11 @@ def partition_tokens(rows: DataFrame, path: str) -> list[int]:
 
 def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER,
                  sequence: int = SEQUENCE, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
-    """Write the shards into ``folder``; (shard, path, first_slot, records, bytes) of each."""
+    """Write the shards into ``folder``; (shard, path, first_slot, records, bytes, sequences) of each.
+
+    ``sequences`` names the documents of every record: (slot, doc_ids, starts), in token order; a start is the place of
+    the document's first token in the sequence, -1 for a document that began in an earlier one.
+    """
     spark = docs.sparkSession
     python_tasks(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("d"), F.col(text).cast("string").alias("t"))
@@ -212,7 +216,7 @@ def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
     sequences = -(-total // sequence)
     start = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     shards = -(-sequences // shard_slots)
-    result = "shard int, path string, first_slot long, records int, bytes long"
+    result = "shard int, path string, first_slot long, records int, bytes long, sequences array<struct<slot: long, doc_ids: array<long>, starts: array<int>>>"
     if not sequences:
         return spark.createDataFrame([], result)
     kind = coder(tokenizer).kind
@@ -220,45 +224,57 @@ def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
 
     def cut(batches):
         part = TaskContext.get().partitionId()
-        at, held, held_ids = int(start[part]) if part < len(counts) else 0, [], []
+        at, held, held_ids, held_heads = int(start[part]) if part < len(counts) else 0, [], [], []
         done = 0
 
-        def emit(tokens, owner, first, last):
+        def emit(tokens, owner, head, first, last):
             seqs = np.arange(first // sequence, -(-last // sequence))
             slots = feistel(seqs, sequences, key)
             a = np.maximum(seqs * sequence, first)
             b = np.minimum((seqs + 1) * sequence, last)
+            named = head.copy()  # a document is named where it starts and again in each sequence that it goes on in
+            named[a - first] = True
+            named = np.flatnonzero(named)
+            bounds = pa.array(np.searchsorted(named, np.append(a, last) - first), pa.int32())
+            begun = np.where(head[named], (named + first) % sequence, -1)
             return pa.RecordBatch.from_arrays(
                 [pa.array((slots // shard_slots).astype(np.int32)), pa.array((slots % shard_slots).astype(np.int32)),
                  pa.array((a - seqs * sequence).astype(np.int32)), pa.array(seqs),
-                 pa.array(owner[a - first]), pa.array([tokens[i - first:j - first].tobytes() for i, j in zip(a, b)], pa.binary())],
-                names=["shard", "place", "at", "seq", "doc", "tokens"])
+                 pa.array(owner[a - first]), pa.ListArray.from_arrays(bounds, pa.array(owner[named])),
+                 pa.ListArray.from_arrays(bounds, pa.array(begun, pa.int32())), pa.array([tokens[i - first:j - first].tobytes() for i, j in zip(a, b)], pa.binary())],
+                names=["shard", "place", "at", "seq", "doc", "doc_ids", "starts", "tokens"])
 
         for ids, texts in _streams(batches, tokenizer):
             held.extend(texts)
-            held_ids.append(np.repeat(ids.to_numpy(), [len(t) for t in texts]))
+            sizes = [len(t) for t in texts]
+            held_ids.append(np.repeat(ids.to_numpy(), sizes))
+            head = np.zeros(sum(sizes), dtype=bool)
+            head[np.cumsum([0] + sizes[:-1])] = True  # every text has its end token at least
+            held_heads.append(head)
             size = sum(map(len, held))
             last = (at + size) // sequence * sequence
             if last > at:  # whole sequences leave, the rest waits for the next texts
-                tokens, owner = np.concatenate(held), np.concatenate(held_ids)
-                yield emit(tokens[:last - at], owner[:last - at], at, last)
-                held, held_ids = [tokens[last - at:]], [owner[last - at:]]
+                tokens, owner, head = np.concatenate(held), np.concatenate(held_ids), np.concatenate(held_heads)
+                yield emit(tokens[:last - at], owner[:last - at], head[:last - at], at, last)
+                held, held_ids, held_heads = [tokens[last - at:]], [owner[last - at:]], [head[last - at:]]
                 done += last - at
                 at = last
         size = sum(map(len, held))
         if size:
-            yield emit(np.concatenate(held), np.concatenate(held_ids), at, at + size)
+            yield emit(np.concatenate(held), np.concatenate(held_ids), np.concatenate(held_heads), at, at + size)
         if part >= len(counts) or done + size != counts[part]:
             raise RuntimeError("the documents changed between the two passes; store them as a table first")
 
-    pieces = rows.mapInArrow(cut, "shard int, place int, at int, seq long, doc long, tokens binary")
+    pieces = rows.mapInArrow(cut, "shard int, place int, at int, seq long, doc long, doc_ids array<long>, starts array<int>, tokens binary")
     deal = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = pieces.repartitionById(deal, (F.col("shard").cast("long") * deal / F.lit(shards)).cast("int"))
 
+    sequences_type = pa.list_(pa.struct([("slot", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))]))
+
     def write(batches):
         store, top = open_store(folder)
         store.create_dir(top, recursive=True)
-        shard, image, used = None, None, 0
+        shard, image, named = None, None, {}
         unit = np.dtype(kind).itemsize
 
         def close():
@@ -268,17 +284,23 @@ def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
             with store.open_output_stream(part) as out:
                 out.write(memoryview(image)[:size])
             store.move(part, path)
+            sequences_of = []
+            for place, parts in sorted(named.items()):
+                parts.sort()
+                sequences_of.append({"slot": shard * shard_slots + place, "doc_ids": [d for _, ids, _ in parts for d in ids],
+                                     "starts": [i for _, _, starts in parts for i in starts]})
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([path]), pa.array([shard * shard_slots], pa.int64()),
-                 pa.array([size // record], pa.int32()), pa.array([size], pa.int64())],
-                names=["shard", "path", "first_slot", "records", "bytes"])
+                 pa.array([size // record], pa.int32()), pa.array([size], pa.int64()), pa.array([sequences_of], sequences_type)],
+                names=["shard", "path", "first_slot", "records", "bytes", "sequences"])
 
         for batch in batches:
-            for s, place, at, seq, doc, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, place, at, seq, doc, doc_ids, starts, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if s != shard:
                     if shard is not None:
                         yield close()
-                    shard, image = s, bytearray(np.full(shard_slots * record // unit, END_TOKEN, dtype=kind).tobytes())
+                    shard, image, named = s, bytearray(np.full(shard_slots * record // unit, END_TOKEN, dtype=kind).tobytes()), {}
+                named.setdefault(place, []).append((at, doc_ids, starts))
                 begin = place * record
                 if at == 0:
                     image[begin:begin + _HEADER] = np.array([seq, doc], dtype="<i8").tobytes()
