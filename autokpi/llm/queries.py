@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from autokpi.llm import (decontaminate, forest, license_scan, line_dedup, mixing, near_dup, quality, token_shards,
-                         toxicity, url_rules)
+from autokpi.llm import (bpe_replay, decontaminate, forest, license_scan, line_dedup, mixing, near_dup, periodic_runs,
+                         pipelined_search, quality, token_shards, toxicity, url_rules)
 from autokpi.llm.frames import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +162,57 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.v, 'allow') AS verdict FR
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest fitting host and path rule of every page's url, and its verdict."""
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that the query on periodic runs searches: one document in ten, by a checksum of its id, gets a periodic tail.
+
+    A null id leaves the words as they are.
+    """
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    tail = words[a:a + p]
+    return words[:a] + (tail * (-(-(n - a) // len(tail))))[:n - a]
+
+
+@register("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document: how many, the longest, digests of all and of the collapsed words."""
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_tail))
+
+
+BPE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@register("op12_bpe_codec")
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE tokens of every whole document, and the text that they decode to."""
+    encoded = bpe_replay.encode(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
+    return bpe_replay.token_digests(bpe_replay.decode(encoded, BPE_VOCABULARY))
+
+
+def _search_oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    terms = f"unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '{pipelined_search.TERM}')) AS t"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+p AS (SELECT r, doc_id, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, {terms} FROM d) GROUP BY 1, 2, 3),
+ln AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY 1),
+s AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM ln),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY t, nn),
+i AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, {terms} FROM benchmark)),
+sc AS (SELECT item_id, r, doc_id, sum(w * ((1000000000::BIGINT * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score
+       FROM i JOIN w USING (t) JOIN p USING (t) JOIN ln USING (r), s GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank FROM sc WHERE score > 0)
+WHERE rank <= 50"""
+
+
+@register("op13_lexical_search", _search_oracle())
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item."""
+    return pipelined_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
