@@ -11,16 +11,29 @@ from autokpi.plans.fixtures import BASE_TABLES, DEMO_SQL, fixture, table, with_f
 from autokpi.plans.registry import register
 from autokpi.sources import catalog as cat
 
-# Column lists of the driver tables used by the key checks (FIXTURES.md §2):
-# (column, type family) — pairs only match within one family.
+# Column lists of the driver tables: (column, type) of all columns with comparable values;
+# values only match within one type.
 SCHEMAS = {
     "region": [("r_regionkey", "int"), ("r_name", "string")],
     "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
     "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
                  ("c_mktsegment", "string")],
     "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"),
+             ("p_retailprice", "double")],
     "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
                ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string")],
+    "lineitem": [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+                 ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+                 ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp"), ("user_id", "bigint"), ("event_type", "string"),
+               ("value", "double"), ("props", "string")],
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("label", "int")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "bigint"), ("text", "string")],
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
 DEMO_COLUMNS = {
     "contributions": ["id", "employer_id", "amount", "paid_at", "status"],
@@ -107,29 +120,25 @@ def _keys_sql(tabs: list[str]) -> str:
 
 @register("s6_candidate_keys", _keys_sql(list(SCHEMAS)))
 def q_s6(spark, sf):
-    """Non-null unique columns of region, nation, customer, supplier and orders."""
-    return cat.candidate_keys_many({t: table(spark, sf, t) for t in SCHEMAS})
+    """The non-null unique columns of all 14 tables."""
+    return cat.candidate_keys_many(_tables(spark, sf, BASE_TABLES))
 
 
-def _fk_sql() -> str:
-    pairs = []
-    for t, cols in SCHEMAS.items():
-        for c, ty in cols:
-            for rt, rcols in SCHEMAS.items():
-                for rc, rty in rcols:
-                    if rt != t and rty == ty:
-                        pairs.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, '{rt}' AS ref_table,
-  '{rc}' AS ref_column FROM (SELECT 1) x WHERE ('{rt}', '{rc}') IN (SELECT (table_name, column_name) FROM keys)
-  AND EXISTS (SELECT 1 FROM {t} WHERE {c} IS NOT NULL)
-  AND NOT EXISTS (SELECT 1 FROM {t} a WHERE a.{c} IS NOT NULL AND a.{c} NOT IN (SELECT {rc} FROM {rt} WHERE {rc} IS NOT NULL))""")
-    return "\nUNION ALL\n".join(pairs)
+VALUES_SQL = " UNION ALL ".join(
+    f"SELECT DISTINCT '{t}' AS tab, '{c}' AS col, '{ty}' AS ty, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+    for t, cols in SCHEMAS.items() for c, ty in cols)
 
 
-@register("s7_foreign_keys", with_fixtures(_fk_sql(), ("keys", _keys_sql(list(SCHEMAS)))))
+@register("s7_foreign_keys", with_fixtures("""
+SELECT m.table_name, m.column_name, m.ref_table, m.ref_column FROM (
+  SELECT a.tab AS table_name, a.col AS column_name, b.tab AS ref_table, b.col AS ref_column, count(*) AS hits
+  FROM vals a JOIN vals b ON a.ty = b.ty AND a.v = b.v AND a.tab <> b.tab
+  JOIN keys k ON k.table_name = b.tab AND k.column_name = b.col GROUP BY 1, 2, 3, 4) m
+JOIN (SELECT tab, col, count(*) AS n FROM vals GROUP BY 1, 2) c ON c.tab = m.table_name AND c.col = m.column_name
+WHERE m.hits = c.n""", ("keys", _keys_sql(list(SCHEMAS))), ("vals", VALUES_SQL)))
 def q_s7(spark, sf):
-    """Inclusion dependencies into candidate keys among the five tables (one job)."""
-    tabs = {t: table(spark, sf, t) for t in SCHEMAS}
-    return cat.foreign_keys(tabs, cat.candidate_keys_many(tabs))
+    """Inclusion dependencies into candidate keys among all 14 tables."""
+    return cat.foreign_keys(_tables(spark, sf, BASE_TABLES))
 
 
 @register("s9_list_tables", with_fixtures("""

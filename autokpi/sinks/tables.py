@@ -1,17 +1,22 @@
 """Result sinks and table maintenance (K1-K5).
 
 Tables are plain Parquet folders partitioned by a date column.  Upserts and
-purges rewrite only the partitions they touch (dynamic partition overwrite)
-and go through a staging folder, so a lost executor retries a task and never
-leaves a half-written partition behind.
+purges rewrite only the partitions they touch.  The new images are written to a
+staging folder first; renaming it to ``<path>__commit`` is the one step that
+decides.  Before it the table is as it was; after it the new partitions are
+moved in one by one, and if that breaks off, the next upsert, purge or
+``recover`` of the table finishes it.  So a lost executor retries a task, and a
+lost driver leaves the old or the new table, once recovered.
 """
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def append(df: DataFrame, path: str, partition_by: str | list[str] | None = None) -> None:
@@ -50,20 +55,24 @@ def upsert(spark, path: str, changes: DataFrame, keys: list[str], order_col: str
     """
     if changes.isEmpty():
         return
-    _recover(spark, path)
+    recover(spark, path)
     if not _exists(spark, path):
         append(upsert_frame(changes.limit(0), changes, keys, order_col), path, partition_by)
         return
     base = _read(spark, path, changes)
     by_partition = partition_by is not None and partition_by in keys
     if by_partition:
-        base = base.join(changes.select(partition_by).distinct(), partition_by, "left_semi")
+        touched = changes.select(partition_by).distinct()
+        undated = base.filter(F.col(partition_by).isNull())
+        base = base.join(touched, partition_by, "left_semi")  # never meets null
+        if not changes.filter(F.col(partition_by).isNull()).isEmpty():
+            base = base.unionByName(undated)
     merged = upsert_frame(base, changes, keys, order_col)
     stage = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    _write(merged, stage, partition_by)
     if by_partition:
-        _write_stage_and_swap(spark, merged, stage, path, partition_by)
+        _commit_partitions(spark, stage, path)
     else:
-        _write(merged, stage, partition_by)
         _swap_folder(spark, stage, path)
 
 
@@ -79,15 +88,22 @@ def _exists(spark, path: str) -> bool:
 
 def _read(spark, path: str, like: DataFrame | None = None) -> DataFrame:
     """Read a table with partition values as text, cast to the types of ``like``: '007' stays '007'."""
+    df = spark.read.parquet(path) if like is None else _read_as_text(spark, path)
+    types = {} if like is None else dict(like.dtypes)
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types and types[c] != t else F.col(c) for c, t in df.dtypes])
+
+
+def _read_as_text(spark, path: str, folders: list[str] | None = None) -> DataFrame:
+    """A table, or some of its partition folders, with partition values as the text they are named by."""
     name = "spark.sql.sources.partitionColumnTypeInference.enabled"
     old = spark.conf.get(name)
-    spark.conf.set(name, "true" if like is None else "false")
+    spark.conf.set(name, "false")
     try:
-        df = spark.read.parquet(path)
+        types = spark.read.option("basePath", path).parquet(*(folders or [path])).schema
+        types = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.NullType) else f.dataType) for f in types])
+        return spark.read.schema(types).option("basePath", path).parquet(*(folders or [path]))  # nulls alone have no type
     finally:
         spark.conf.set(name, old)
-    types = {} if like is None else dict(like.dtypes)
-    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types and types[c] != t else F.col(c) for c, t in df.dtypes])
 
 
 def _write(df: DataFrame, path: str, partition_by: str | None) -> None:
@@ -100,7 +116,7 @@ def _swap_folder(spark, stage: str, path: str) -> None:
     fs, target = _fs(spark, path)
     old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (_backup(path), stage))
     if not fs.rename(target, old) or not fs.rename(new, target):
-        _recover(spark, path)
+        recover(spark, path)
         raise OSError(f"could not swap the staged table into {path}")
     fs.delete(old, True)
 
@@ -109,31 +125,44 @@ def _backup(path: str) -> str:
     return f"{path.rstrip('/')}__previous"
 
 
-def _recover(spark, path: str) -> None:
-    """After a swap that broke off between its renames, put the previous table back."""
+def _commit_folder(path: str) -> str:
+    return f"{path.rstrip('/')}__commit"
+
+
+def _commit_partitions(spark, stage: str, path: str) -> None:
+    """Let the partitions staged in ``stage`` take the place of those in ``path``; an empty staged one removes its own."""
+    fs, _ = _fs(spark, path)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not fs.rename(Path(stage), Path(_commit_folder(path))):
+        raise OSError(f"could not commit the staged partitions of {path}")
+    recover(spark, path)
+
+
+def recover(spark, path: str) -> None:
+    """Finish what broke off: move committed partitions in, or put back a table whose swap stopped between its renames.
+
+    Every step may run again: a partition still in the commit folder replaces
+    the live one, one that is gone from it has replaced it already.
+    """
     fs, target = _fs(spark, path)
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_backup(path))
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old = Path(_backup(path))
     if fs.exists(old):
         if fs.exists(target):
             fs.delete(old, True)
         else:
             fs.rename(old, target)
-
-
-def _write_stage_and_swap(spark, df: DataFrame, stage: str, path: str, partition_by: str | None) -> None:
-    _write(df, stage, partition_by)
-    staged = _read(spark, stage, df)
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        w2 = staged.write.mode("overwrite")
-        if partition_by:
-            w2 = w2.partitionBy(partition_by)
-        w2.parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
-    fs, staged_at = _fs(spark, stage)
-    fs.delete(staged_at, True)
+    commit = Path(_commit_folder(path))
+    if fs.exists(commit):
+        for entry in fs.listStatus(commit):
+            if not entry.isDirectory():
+                continue
+            live = Path(target, entry.getPath().getName())
+            if fs.exists(live):
+                fs.delete(live, True)
+            if len(fs.listStatus(entry.getPath())) and not fs.rename(entry.getPath(), live):
+                raise OSError(f"could not move {entry.getPath()} into {path}")
+        fs.delete(commit, True)
 
 
 def purge_frame(df: DataFrame, predicate: Column) -> DataFrame:
@@ -144,16 +173,33 @@ def purge_frame(df: DataFrame, predicate: Column) -> DataFrame:
 def purge(spark, path: str, predicate: Column, partition_by: str | None = None) -> None:
     """K3: rewrite the table without the purged rows.
 
-    The kept rows are staged first, then the whole folder is swapped by two
-    renames, so partitions emptied by the purge disappear too and a crash
-    leaves either the old or the new table.  Rows where ``predicate`` is null
-    stay.
+    With ``partition_by`` only partitions that hold a match are rewritten; the
+    names of their folders, which a first pass over the predicate's columns
+    finds, are all that the driver sees.  Partitions that the purge empties
+    disappear.  Otherwise the kept rows are staged and the whole folder is
+    swapped by two renames.  Rows where ``predicate`` is null stay.
     """
-    _recover(spark, path)
-    kept = purge_frame(spark.read.parquet(path), predicate)
+    recover(spark, path)
+    df = spark.read.parquet(path)
     stage = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
+    if partition_by is None:
+        _write(purge_frame(df, predicate), stage, None)
+        _swap_folder(spark, stage, path)
+        return
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+    hit = df.filter(F.coalesce(predicate, F.lit(False))).select(folder.alias("folder")).distinct().collect()
+    names = [unquote(r["folder"]) for r in hit]  # the file path is a URI
+    if not names:
+        return
+    as_read, as_named = dict(df.dtypes)[partition_by], f"named_{uuid.uuid4().hex}"
+    part = _read_as_text(spark, path, [f"{path.rstrip('/')}/{name}" for name in names])
+    typed = part.withColumn(as_named, F.col(partition_by)).withColumn(partition_by, F.col(partition_by).cast(as_read))
+    kept = purge_frame(typed, predicate).drop(partition_by).withColumnRenamed(as_named, partition_by)
     _write(kept, stage, partition_by)
-    _swap_folder(spark, stage, path)
+    fs, staged = _fs(spark, stage)
+    for name in names:
+        fs.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged, name))
+    _commit_partitions(spark, stage, path)
 
 
 def lineage(df: DataFrame, batch_col: str = "batch_source_id", id_col: str = "source_row_id",

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autokpi.sources import value_index
+
 CATALOG_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
     T.StructField("table_ordinal", T.IntegerType()),
@@ -74,99 +76,24 @@ def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> Da
     return sample_rows(df, n, order_by)
 
 
-# HyperLogLog++ relative error of the pruning sketch; a column is ruled out
-# only when its estimate is 6 standard errors below the row count.
-_RSD = 0.05
-
-
-def _keyable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+def candidate_keys_many(tables: dict[str, DataFrame]) -> DataFrame:
+    """S6 for many tables: their non-null, unique columns, from one scan of each (see ``value_index``)."""
+    return value_index.candidate_keys(value_index.column_facts(tables))
 
 
-def candidate_keys_many(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
-    """S6 for many tables in two jobs.
-
-    Job 1: per table one aggregate (``count``, ``count(col)``,
-    ``approx_count_distinct`` of every column), each unpivoted to long rows and
-    unioned, so all tables' statistics arrive in one collect (bounded by the
-    column count).  Job 2: exact ``count_distinct`` only for the columns the
-    sketch cannot rule out (estimate within 6 standard errors of the row
-    count), again unioned.  A key is non-null and unique.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    empty = spark.createDataFrame([], "table_name string, column_name string")
-    parts = []
-    for t, df in tables.items():
-        cols = _keyable(df)
-        if not cols:
-            continue
-        aggs = [F.count(F.lit(1)).alias("__n")]
-        for i, c in enumerate(cols):
-            aggs += [F.count(F.col(f"`{c}`")).alias(f"nn{i}"),
-                     F.approx_count_distinct(F.col(f"`{c}`"), _RSD).alias(f"ad{i}")]
-        stack = "stack({}, {}) AS (column_name, nn, ad)".format(
-            len(cols), ", ".join(f"'{c}', nn{i}, ad{i}" for i, c in enumerate(cols)))
-        parts.append(df.agg(*aggs).selectExpr(f"'{t}' AS table_name", "__n AS n", stack))
-    if not parts:
-        return empty
-    stats = reduce(DataFrame.unionByName, parts).collect()
-    maybe: dict[str, list[str]] = {}
-    for r in stats:
-        if r["n"] > 0 and r["nn"] == r["n"] and r["ad"] >= r["n"] * (1 - 6 * _RSD):
-            maybe.setdefault(r["table_name"], []).append(r["column_name"])
-    if not maybe:
-        return empty
-    if not exact:
-        return spark.createDataFrame([(t, c) for t, cs in maybe.items() for c in cs], "table_name string, column_name string")
-    n_rows = {r["table_name"]: r["n"] for r in stats}
-    parts = []
-    for t, cs in maybe.items():
-        stack = "stack({}, {}) AS (column_name, cd)".format(
-            len(cs), ", ".join(f"'{c}', cd{i}" for i, c in enumerate(cs)))
-        parts.append(tables[t].agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"cd{i}") for i, c in enumerate(cs)])
-                     .selectExpr(f"'{t}' AS table_name", stack))
-    keys = [(r["table_name"], r["column_name"]) for r in reduce(DataFrame.unionByName, parts).collect()
-            if r["cd"] == n_rows[r["table_name"]]]
-    return spark.createDataFrame(keys, "table_name string, column_name string")
-
-
-def candidate_keys(df: DataFrame, table_name: str = "", exact: bool = True) -> DataFrame:
+def candidate_keys(df: DataFrame, table_name: str = "") -> DataFrame:
     """S6 for one table: columns that are non-null and unique."""
-    return candidate_keys_many({table_name: df}, exact)
+    return candidate_keys_many({table_name: df})
 
 
-def foreign_keys(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
+def foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column) -> (ref_table, ref_column) when every non-null value
     of the column appears in another table's candidate key of the same type.
 
-    Candidate pairs come from bounded metadata (same type, different table).
-    All pairs are tested in one job: the source columns are reduced to their
-    distinct values per pair (partial aggregation absorbs hot values), left
-    joined to the distinct key values on (key id, value), and counted per
-    pair; a pair is a foreign key when every distinct value found a match.
+    Keys and inclusions come from the same index, so each table is scanned
+    once, however many pairs of columns there are.
     """
-    spark = next(iter(tables.values())).sparkSession
-    key_rows = [(r["table_name"], r["column_name"]) for r in keys.collect()]
-    types = {(t, f.name): f.dataType for t, df in tables.items() for f in df.schema.fields}
-    pairs = [(t, c, rt, rc) for (rt, rc) in key_rows for (t, c), dt in types.items()
-             if t != rt and dt == types[(rt, rc)]]
-    schema = "table_name string, column_name string, ref_table string, ref_column string"
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    kid = {k: i for i, k in enumerate(key_rows)}
-    src = reduce(DataFrame.unionByName, [
-        tables[t].select(F.lit(pi).alias("pid"), F.lit(kid[(rt, rc)]).alias("kid"),
-                         F.col(f"`{c}`").cast("string").alias("v"))
-        for pi, (t, c, rt, rc) in enumerate(pairs)]).filter(F.col("v").isNotNull()).distinct()
-    ref = reduce(DataFrame.unionByName, [
-        tables[rt].select(F.lit(kid[(rt, rc)]).alias("kid"), F.col(f"`{rc}`").cast("string").alias("v"))
-        for (rt, rc) in key_rows]).distinct().withColumn("hit", F.lit(1))
-    per = (src.join(ref, ["kid", "v"], "left").groupBy("pid")
-           .agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")))
-    names = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pid int, " + schema)
-    return (per.filter((F.col("n") > 0) & (F.col("n") == F.col("hits")))
-            .join(F.broadcast(names), "pid").select("table_name", "column_name", "ref_table", "ref_column"))
+    return value_index.foreign_keys(value_index.column_facts(tables))
 
 
 def largest(profile: DataFrame, n: int = 5) -> DataFrame:
