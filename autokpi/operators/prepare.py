@@ -3,9 +3,9 @@
 Both operators read the table in one statistics pass: a single aggregate
 with a handful of expressions per column, whose one-row result (bounded by
 the column count) is read on the driver to decide the per-column rules.
-Medians and modes (only for columns that need imputing) are exact and
-sort-based over all those columns at once (``functions.stats``), never a
-per-group in-memory buffer.  The cleaned frame is then one projection; the
+Medians and modes (only for columns that need imputing) are exact and found
+for all those columns at once (``functions.stats``), never in a per-group
+buffer or a window over one column.  The cleaned frame is then one projection; the
 action log one more aggregate (outlier counts need the bounds).  No
 per-column jobs.
 """
@@ -41,7 +41,7 @@ def _is_numeric(t) -> bool:
     return isinstance(t, T.NumericType)
 
 
-def prepare_stats(df: DataFrame, accuracy: int | None = None) -> dict:
+def prepare_stats(df: DataFrame) -> dict:
     """Pass 1: one aggregate over all columns (driver reads one row):
     counts, coercible counts, mean and sample std.  Medians and modes are
     computed afterwards, only for the columns that need imputing."""
@@ -52,13 +52,11 @@ def prepare_stats(df: DataFrame, accuracy: int | None = None) -> dict:
         if _is_string(t) or _is_numeric(t):
             x = c.try_cast("double") if _is_string(t) else c.cast("double")
             aggs += [F.count(x).alias(f"nx{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}")]
-            if accuracy is not None:
-                aggs.append(F.percentile_approx(x, 0.5, accuracy).alias(f"md{i}"))
     return df.agg(*aggs).first().asDict()
 
 
 def _medians(df: DataFrame, cols: dict[int, Column]) -> dict[int, float | None]:
-    """Exact medians of several columns in one job (unpivoted, sort-based)."""
+    """Exact medians of several columns at once (unpivoted, by rank selection)."""
     if not cols:
         return {}
     arr = F.array(*[F.struct(F.lit(i).alias("i"), x.cast("double").alias("x")) for i, x in cols.items()])
@@ -75,7 +73,7 @@ def _modes(df: DataFrame, cols: dict[int, Column]) -> dict[int, str | None]:
     return {r["i"]: r["mode"] for r in mode_by(long, ["i"], "x").collect()}
 
 
-def auto_prepare(df: DataFrame, accuracy: int | None = None) -> tuple[DataFrame, DataFrame]:
+def auto_prepare(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """V6: (cleaned frame, action log).
 
     Per column: a string column becomes numeric when more than half of its
@@ -84,22 +82,20 @@ def auto_prepare(df: DataFrame, accuracy: int | None = None) -> tuple[DataFrame,
     are capped at mean ± 3·std of the un-imputed values when any lies outside
     (D10).  Other columns: nulls -> mode (ties: smallest; 'UNKNOWN' when
     none); a string column whose name hints a date is parsed when more than
-    half of all rows parse.  ``accuracy`` switches the median to
-    ``percentile_approx`` for very large tables.
+    half of all rows parse.
 
     Jobs: pass 1 (statistics), pass 2 (outlier and parse counts, which need
     pass 1's bounds and fills); the cleaned frame stays lazy.
     """
-    s = prepare_stats(df, accuracy)
+    s = prepare_stats(df)
     rows = s["__rows"]
     spark = df.sparkSession
     fields = df.schema.fields
     is_num = {i: _is_numeric(f.dataType) or (_is_string(f.dataType) and s[f"nx{i}"] > s[f"nn{i}"] * 0.5)
               for i, f in enumerate(fields)}
-    if accuracy is None:
-        need_md = {i: (_q(f.name).try_cast("double") if _is_string(f.dataType) else _q(f.name))
-                   for i, f in enumerate(fields) if rows and is_num[i] and rows - s[f"nx{i}"] > 0}
-        s.update({f"md{i}": v for i, v in _medians(df, need_md).items()})
+    need_md = {i: (_q(f.name).try_cast("double") if _is_string(f.dataType) else _q(f.name))
+               for i, f in enumerate(fields) if rows and is_num[i] and rows - s[f"nx{i}"] > 0}
+    s.update({f"md{i}": v for i, v in _medians(df, need_md).items()})
     need_mo = {i: _q(f.name) for i, f in enumerate(fields) if rows and not is_num[i] and rows - s[f"nn{i}"] > 0}
     s.update({f"mo{i}": v for i, v in _modes(df, need_mo).items()})
     exprs: dict[str, Column] = {}
