@@ -21,7 +21,8 @@ from autokpi.session import ensure_checkpoint_dir
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], out: str = "quantiles") -> DataFrame:
     """Per ``keys`` (null is a key): array of the exact quantiles of non-null ``value``, in the order given.
 
-    Groups without a value give no row.  The counted values are kept in a
+    Groups without a value give no row; without keys there is always one, null if
+    there is no value.  The counted values are kept in a
     checkpoint, so partition numbers mean the same in both readings.
     """
     spark = df.sparkSession

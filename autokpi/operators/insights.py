@@ -2,7 +2,7 @@
 
 All insight operators return rows ``(type, kpi, severity, title, explanation,
 value)``.  They run on the daily-aggregated frame (KPIs × days), so their
-windows and pivots are bounded by the number of days and KPIs, not rows.
+windows are bounded by the number of days and KPIs, not rows.
 """
 
 from __future__ import annotations
@@ -52,44 +52,95 @@ def trend_shift(frame: DataFrame, min_rows: int = 7, report: float = 0.15, warn:
                     expl.alias("explanation"), round_half_up("__c", 4).alias("value"))
 
 
-def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.75,
-                    kpi_names: list[str] | None = None, report_only: bool = True, chunk: int = 256) -> DataFrame:
+#: KPIs of a block, and days of a step after which pairs that cannot reach the threshold are left.
+BLOCK_KPIS, STEP_DAYS = 512, 64
+
+
+def _complete_days(frame: DataFrame) -> DataFrame:
+    """Daily sums on the days on which every KPI has a value."""
+    d = daily_frame(frame).filter(F.col("value").isNotNull())
+    kpis = daily_frame(frame).agg(F.count_distinct("kpi_name")).scalar()
+    full = d.groupBy("date").agg(F.count(F.lit(1)).alias("__k")).filter(F.col("__k") == kpis).select("date")
+    return d.join(full, "date", "left_semi").select("kpi_name", "date", "value")
+
+
+def _correlated_pairs(threshold: float | None, step: int):
+    """A function for one pair of blocks: the pairs of KPIs whose |r| exceeds the threshold (None: all of them).
+
+    A block is a matrix of unit rows (each KPI's values less their mean, divided by their norm), so r is a
+    product of rows.  The product is built ``step`` days at a time; by the Cauchy-Schwarz bound on what is
+    left of two rows, rows without a pair that may still pass are left out of the next step.
+    """
+    def pairs(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def block(table):
+            names = [n for part in table.column("names").to_pylist() for n in part]
+            rows = [np.frombuffer(x, dtype="<f8") for part in table.column("series").to_pylist() for x in part]
+            return np.array(names, dtype=object), np.vstack(rows) if rows else np.zeros((0, 0))
+
+        names_a, a = block(left)
+        names_b, b = block(right)
+        found = []
+        if len(a) and len(b):
+            live_a, live_b = np.arange(len(a)), np.arange(len(b))
+            r = np.zeros((len(a), len(b)))
+            rest_a, rest_b = (np.cumsum((m ** 2)[:, ::-1], axis=1)[:, ::-1] for m in (a, b))
+            for at in range(0, a.shape[1], step):
+                r += a[live_a, at:at + step] @ b[live_b, at:at + step].T
+                if threshold is not None and at + step < a.shape[1]:
+                    bound = np.abs(r) + np.sqrt(rest_a[live_a, at + step])[:, None] * np.sqrt(rest_b[live_b, at + step])[None, :]
+                    may = bound > threshold - 1e-9
+                    keep_a, keep_b = may.any(axis=1), may.any(axis=0)
+                    r = r[keep_a][:, keep_b]
+                    live_a, live_b = live_a[keep_a], live_b[keep_b]
+            hit = np.argwhere(np.abs(r) > threshold) if threshold is not None else np.argwhere(np.ones(r.shape, dtype=bool))
+            for i, j in hit.tolist():
+                x, y = names_a[live_a[i]], names_b[live_b[j]]
+                if left.column("block")[0].as_py() != right.column("block")[0].as_py() or x < y:
+                    found.append((*sorted((x, y)), float(r[i, j])))
+        columns = list(zip(*found)) or [[], [], []]
+        return pa.table({"k1": pa.array(columns[0], pa.string()), "k2": pa.array(columns[1], pa.string()), "r": pa.array(columns[2], pa.float64())})
+    return pairs
+
+
+def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.75, report_only: bool = True,
+                    block_kpis: int = BLOCK_KPIS, step_days: int = STEP_DAYS) -> DataFrame:
     """Pearson r between every pair of KPIs over the dates where every KPI
     has a value (>= ``min_dates`` such dates); reported when |r| > 0.75.
 
-    No pairs are materialised: the daily sums are pivoted to one column per
-    KPI (value list = the distinct KPI names, bounded metadata) and the pair
-    correlations are computed in aggregates of up to ``chunk`` pairs each as
-    ``covar_samp / (stddev_samp · stddev_samp)`` with ``try_divide`` (a constant
-    series gives null and is skipped, D15).  Rows: one per pair.
+    A blocked Gram matrix: each KPI's daily sums become one unit row (its days
+    in order), rows are dealt to blocks of about ``block_kpis`` by a hash of the
+    name, and each pair of blocks is multiplied in a task of its own, which
+    gives only the pairs above the threshold (all of them without
+    ``report_only``).  Names never meet on the driver and there is no column per
+    KPI; the number of KPIs, which fixes the number of blocks, is all that is
+    read.  A block row is sent to every pair of blocks that it is part of:
+    (KPIs / block_kpis) copies.  A constant series has no r and is skipped (D15).
     """
-    d = daily_frame(frame)
-    if kpi_names is None:
-        kpi_names = sorted(r[0] for r in d.select("kpi_name").distinct().collect())
-    spark = frame.sparkSession
-    empty = spark.createDataFrame([], "type string, kpi string, severity string, title string, explanation string, "
-                                      "value double")
-    if len(kpi_names) < 2:
-        return empty
-    wide = d.groupBy("date").pivot("kpi_name", kpi_names).agg(F.sum("value"))
-    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    complete = wide.where(reduce(lambda a, b: a & b, [q(c).isNotNull() for c in kpi_names]))
-    pairs = [(a, b) for i, a in enumerate(kpi_names) for b in kpi_names[i + 1:]]
-    parts = []
-    # one aggregate per chunk of pairs keeps generated code small for many
-    # KPIs; each chunk reads the (dates x KPIs) pivot, never per-date pairs
-    for lo in range(0, len(pairs), chunk):
-        part = pairs[lo:lo + chunk]
-        aggs = [F.count(F.lit(1)).alias("__n")]
-        aggs += [F.try_divide(F.covar_samp(q(a), q(b)), F.stddev_samp(q(a)) * F.stddev_samp(q(b))).alias(f"r{i}")
-                 for i, (a, b) in enumerate(part)]
-        rows = F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2"), F.col(f"r{i}").alias("r"))
-                         for i, (a, b) in enumerate(part)])
-        parts.append(complete.agg(*aggs).select("__n", F.inline(rows)))
-    long = reduce(DataFrame.unionByName, parts)
-    long = long.filter((F.col("__n") >= min_dates) & F.col("r").isNotNull() & ~F.isnan("r"))
-    if report_only:
-        long = long.filter(F.abs("r") > threshold)
+    d = _complete_days(frame)
+    stats = Window.partitionBy("kpi_name")
+    c = d.withColumn("__d", F.col("value") - F.avg("value").over(stats))
+    series = c.groupBy("kpi_name").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("date", F.col("__d").alias("x")))), lambda s: s["x"]).alias("x"),
+        (F.min("value") < F.max("value")).alias("varies"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    series = series.withColumn("n", norm).filter((F.size("x") >= min_dates) & F.col("varies") & (F.col("n") > 0))
+    names = daily_frame(frame).agg(F.count_distinct("kpi_name")).first()[0]
+    blocks = max(1, -(-names // block_kpis))
+    unit = series.select("kpi_name", F.expr(f"cast(pmod(xxhash64(kpi_name), {blocks}) as int)").alias("block"),
+                         F.transform("x", lambda v: v / F.col("n")).alias("unit"))
+    packed = unit.groupBy("block").applyInArrow(_packed_rows(), "block int, names array<string>, series array<binary>")
+
+    def sides(first: bool) -> DataFrame:
+        others = F.sequence(F.col("block"), F.lit(blocks - 1)) if first else F.sequence(F.lit(0), F.col("block"))
+        low, high = ("block", "other") if first else ("other", "block")
+        return packed.select("block", "names", "series", F.explode(others).alias("other")).select(
+            F.col(low).alias("low"), F.col(high).alias("high"), *[F.col(c).alias(c) for c in ("block", "names", "series")])
+
+    work = _correlated_pairs(threshold if report_only else None, step_days)
+    long = sides(True).groupBy("low", "high").cogroup(sides(False).groupBy("low", "high")).applyInArrow(work, "k1 string, k2 string, r double")
     expl = F.concat(F.lit("These two metrics move together with a correlation of "),
                     F.format_string("%.2f", round_half_up("r", 2)), F.lit(". "),
                     F.when(F.col("r") > 0, F.lit("They likely share a common driver."))
@@ -100,6 +151,19 @@ def kpi_correlation(frame: DataFrame, min_dates: int = 5, threshold: float = 0.7
                        .alias("title"), expl.alias("explanation"), round_half_up("r", 3).alias("value"))
 
 
+def _packed_rows():
+    """A function that packs the KPIs of a block: their names, and their unit rows as bytes."""
+    def pack(table):
+        import numpy as np
+        import pyarrow as pa
+
+        names = table.column("kpi_name").to_pylist()
+        rows = [np.array(x, dtype="<f8").tobytes() for x in table.column("unit").to_pylist()]
+        return pa.table({"block": table.column("block").slice(0, 1), "names": pa.array([names], pa.list_(pa.string())),
+                         "series": pa.array([rows], pa.list_(pa.binary()))})
+    return pack
+
+
 def concentration(frame: DataFrame, account: str = "customer_id", top: int = 5, threshold: float = 0.5,
                   report_only: bool = True) -> DataFrame:
     """share of total value held by the ``top`` accounts; reported when

@@ -221,7 +221,7 @@ CORR_CTES = (("d", DAILY_EVENTS),
 @register("f5_kpi_correlation_events", with_fixtures(_corr_sql(False), *CORR_CTES))
 def q_f5(spark, sf):
     """Pearson r of every pair of event types over complete days (unfiltered)."""
-    return insights.kpi_correlation(fixture(spark, sf, "fx_frame"), kpi_names=EVENT_KPIS, report_only=False)
+    return insights.kpi_correlation(fixture(spark, sf, "fx_frame"), report_only=False)
 
 
 def _conc_sql(report_only: bool) -> str:

@@ -141,5 +141,26 @@ def test_correlation_chunks_give_the_same_pairs(spark):
     from autokpi.plans.fixtures import fixture
     fr = fixture(spark, SF_SMALL, "fx_frame")
     one = sorted(insights.kpi_correlation(fr, report_only=False).collect())
-    many = sorted(insights.kpi_correlation(fr, report_only=False, chunk=3).collect())
+    many = sorted(insights.kpi_correlation(fr, report_only=False, block_kpis=2, step_days=3).collect())
     assert one == many and len(one) == 10
+
+
+def test_correlation_of_many_kpis_equals_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 50))
+    series = {f"k{i:03d}": base[i % 30] * (1 if i % 2 else -1) + rng.normal(size=50) * (0.2 + i % 5) for i in range(150)}
+    series["flat"] = np.full(50, 0.1)
+    rows = [(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", k, float(v)) for k, x in series.items() for d, v in enumerate(x)]
+    rows += [("2025-01-01", "k000", 5.0), ("2025-01-02", None, 5.0)]
+    df = spark.createDataFrame(rows, "date string, kpi_name string, value double").withColumn("date", F.col("date").cast("date"))
+    names = sorted(k for k in series if k != "flat")
+    r = np.corrcoef([series[k] for k in names])
+    want = {f"{a} ↔ {b}": r[i, j] for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    got = {x.kpi: x.value for x in insights.kpi_correlation(df, block_kpis=16, step_days=8).collect()}
+    assert set(got) == {k for k, v in want.items() if abs(v) > 0.75} and len(got) > 50
+    assert all(abs(got[k] - want[k]) < 6e-4 for k in got)
+    every = insights.kpi_correlation(df, report_only=False, block_kpis=40).collect()
+    assert {x.kpi for x in every} == set(want)
+    plan = insights.kpi_correlation(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Pivot" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
