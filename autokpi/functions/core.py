@@ -78,3 +78,14 @@ def display_label(col) -> Column:
 def fmt2(col) -> Column:
     """``{x:.2f}`` text.  Rounded first so Java and C formatters agree on ties."""
     return F.format_string("%.2f", round_half_up(col, 2))
+
+
+def quoted(name: str) -> Column:
+    """A top-level column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def event_time(df, name: str) -> Column:
+    """The time in a column: dates and timestamps as they are, text parsed, unparsable text null."""
+    kind = df.schema[name].dataType
+    return quoted(name).try_cast("timestamp") if isinstance(kind, StringType) else quoted(name)

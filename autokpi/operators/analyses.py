@@ -9,18 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from autokpi.functions.core import round_half_up
+from autokpi.functions.core import event_time, quoted, round_half_up
 from pyspark.sql import types as T
 
 
 def time_series_sum(df: DataFrame, amount: str, date: str, n: int | None = 24) -> DataFrame:
     """A2: monthly ``SUM(amount)``; the newest ``n`` months (a top-n, not a
-    sort of everything), oldest first; null dates dropped (D4).  Columns bucket DATE, total.
+    sort of everything), oldest first; null and unparsable dates dropped (D4).  Columns bucket DATE, total.
     Scale: shuffle key = month; partial aggregation leaves one row per month
     per task; one job."""
-    g = (df.filter(F.col(date).isNotNull())
-         .groupBy(F.to_date(F.date_trunc("month", F.col(date))).alias("bucket"))
-         .agg(F.sum(F.col(amount).try_cast("double")).alias("total")))
+    when = event_time(df, date)
+    g = (df.filter(when.isNotNull())
+         .groupBy(F.to_date(F.date_trunc("month", when)).alias("bucket"))
+         .agg(F.sum(quoted(amount).try_cast("double")).alias("total")))
     if n is not None:
         g = g.orderBy(F.col("bucket").desc()).limit(n)
     return g.orderBy("bucket")
@@ -30,48 +31,48 @@ def count_over_time(df: DataFrame, date: str, n: int | None = 26) -> DataFrame:
     """A3: weekly row count (weeks start Monday), newest ``n`` weeks,
     oldest first.
     Scale: shuffle key = week (partial counts per task); one job."""
-    g = (df.filter(F.col(date).isNotNull())
-         .groupBy(F.to_date(F.date_trunc("week", F.col(date))).alias("bucket"))
+    when = event_time(df, date)
+    g = (df.filter(when.isNotNull())
+         .groupBy(F.to_date(F.date_trunc("week", when)).alias("bucket"))
          .agg(F.count(F.lit(1)).alias("total")))
     if n is not None:
         g = g.orderBy(F.col("bucket").desc()).limit(n)
     return g.orderBy("bucket")
 
 
-def demographic(df: DataFrame, top: int = 12, max_cols: int = 4) -> DataFrame:
+def demographic(df: DataFrame, top: int | None = None, max_cols: int | None = None) -> DataFrame:
     """A4: value counts of text columns.
 
-    For every string column: count by value (null is a value), keep the
-    ``top`` values by count (ties: value ascending, null last — D19); keep
-    columns with >= 2 distinct values; the first ``max_cols`` such columns in
-    schema order.  One scan: the string columns are unpivoted and counted in
-    one aggregate (partial aggregation absorbs hot values).  The per-column
-    top-``top`` is a ``row_number <= top`` filter, planned with a partial
-    WindowGroupLimit before its shuffle, so a high-cardinality column ships
-    at most ``top`` values per task; the distinct-value count per column is a
-    plain aggregate.
+    For every string column with >= 2 distinct values: the count of each value
+    (null is a value).  ``top`` keeps the ``top`` values of a column by count
+    (ties: value ascending, null last, D19) and adds their ``rank``;
+    ``max_cols`` keeps the first such columns in schema order.  One scan: the
+    string columns are unpivoted and counted in one aggregate (partial
+    aggregation absorbs hot values).  The cut is a ``row_number <= top``
+    filter, planned with a partial WindowGroupLimit before its shuffle.
     """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))]
-    spark = df.sparkSession
+    rank = "" if top is None else ", rank int"
     if not text:
-        return spark.createDataFrame([], "column_name string, col_ordinal int, bucket string, total bigint, rank int")
-    arr = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v"))
-                    for i, c in enumerate(text)])
-    long = df.select(F.inline(arr))
-    counts = long.groupBy("o", "c", "v").agg(F.count(F.lit(1)).alias("total"))
-    nvals = counts.groupBy("o").agg(F.count(F.lit(1)).alias("n_values")).filter(F.col("n_values") >= 2)
-    first_cols = nvals.orderBy("o").limit(max_cols).select("o")
-    w = Window.partitionBy("o").orderBy(F.col("total").desc(), F.col("v").asc_nulls_last())
-    ranked = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    out = ranked.join(F.broadcast(first_cols), "o")
-    return out.select(F.col("c").alias("column_name"), (F.col("o") + 1).alias("col_ordinal"),
-                      F.col("v").alias("bucket"), "total", "rank")
+        return df.sparkSession.createDataFrame([], "column_name string, col_ordinal int, bucket string, total bigint" + rank)
+    arr = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(c).alias("c"), quoted(c).cast("string").alias("v")) for i, c in enumerate(text)])
+    counts = df.select(F.inline(arr)).groupBy("o", "c", "v").agg(F.count(F.lit(1)).alias("total"))
+    kept = counts.groupBy("o").agg(F.count(F.lit(1)).alias("n_values")).filter(F.col("n_values") >= 2).select("o")
+    if max_cols is not None:
+        kept = kept.orderBy("o").limit(max_cols)
+    if top is not None:
+        w = Window.partitionBy("o").orderBy(F.col("total").desc(), F.col("v").asc_nulls_last())
+        counts = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    out = counts.join(F.broadcast(kept), "o")  # at most a row per text column
+    cols = [F.col("c").alias("column_name"), (F.col("o") + 1).alias("col_ordinal"), F.col("v").alias("bucket"), "total"]
+    return out.select(*cols, *(["rank"] if top is not None else []))
 
 
 def missing_recent(df: DataFrame, date: str) -> DataFrame:
-    """A5: ``MAX(date)`` and ``COUNT(*)`` in one aggregate (partial per task,
-    one row to the final stage); one job."""
-    return df.agg(F.max(date).alias("last_seen"), F.count(F.lit(1)).alias("total_records"))
+    """A5: the newest date (text is parsed, so an unparsable one never wins) and
+    ``COUNT(*)`` in one aggregate (partial per task, one row to the final
+    stage); one job."""
+    return df.agg(F.max(event_time(df, date)).alias("last_seen"), F.count(F.lit(1)).alias("total_records"))
 
 
 def late_accounts(df: DataFrame, key: str, date: str, days: int = 60, as_of=None) -> DataFrame:
@@ -83,9 +84,9 @@ def late_accounts(df: DataFrame, key: str, date: str, days: int = 60, as_of=None
     per active day — a hot account costs its number of days, not its rows.
     Columns: key, last_seen, active_days, median_gap_days, days_since.
     """
-    ref = F.to_date(df.agg(F.max(date)).scalar()) if as_of is None else F.lit(as_of).cast("date")
-    daysdf = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull()) \
-        .select(key, F.to_date(F.col(date)).alias("__d")).distinct()
+    when = event_time(df, date)
+    ref = F.to_date(df.agg(F.max(when)).scalar()) if as_of is None else F.lit(as_of).cast("date")
+    daysdf = df.filter(F.col(key).isNotNull() & when.isNotNull()).select(key, F.to_date(when).alias("__d")).distinct()
     w = Window.partitionBy(key).orderBy("__d")
     gaps = daysdf.withColumn("__gap", F.datediff("__d", F.lag("__d").over(w)))
     per = gaps.groupBy(key).agg(F.max("__d").alias("last_seen"), F.count(F.lit(1)).alias("active_days"),
@@ -107,7 +108,7 @@ def value_outliers(df: DataFrame, amount: str, z: float = 2.5, limit: int | None
     base = df
     if sample is not None:
         base = df.orderBy(F.col(order_col or df.columns[0]).desc()).limit(sample)
-    x = F.col(f"`{amount}`").try_cast("double")
+    x = quoted(amount).try_cast("double")
     stats = base.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
     mean = stats.select("m").scalar()
     sd = stats.select(F.when(F.coalesce(F.col("s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("s"))).scalar()
@@ -130,9 +131,10 @@ def liability_forecast(df: DataFrame, amount: str, date: str, by: list[str] | No
     monthly aggregate (one row per month and series).
     """
     by = by or []
-    m = (df.filter(F.col(date).isNotNull())
-         .groupBy(*by, F.to_date(F.date_trunc("month", F.col(date))).alias("bucket"))
-         .agg(F.coalesce(F.sum(F.col(amount).try_cast("double")), F.lit(0.0)).alias("total")))
+    when = event_time(df, date)
+    m = (df.filter(when.isNotNull())
+         .groupBy(*by, F.to_date(F.date_trunc("month", when)).alias("bucket"))
+         .agg(F.coalesce(F.sum(quoted(amount).try_cast("double")), F.lit(0.0)).alias("total")))
     w = Window.partitionBy(*by).orderBy(F.col("bucket").desc()) if by else Window.orderBy(F.col("bucket").desc())
     m = m.withColumn("__rn", F.row_number().over(w))
     g = m.groupBy(*by).agg(

@@ -12,11 +12,12 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from autokpi.functions.core import round_half_up
-from autokpi.operators import analyses
+from autokpi.functions.core import quoted, round_half_up
+from autokpi.operators import analyses, isolation
 from autokpi.sources import catalog as cat
 
 # Business-domain keywords (English and French), in label order.
@@ -182,7 +183,8 @@ def summarise(result: DataFrame, kind: str, as_of=None) -> DataFrame:
     time series / weekly count: the newest bucket's total; outliers: their
     count (>= 5 WARNING, > 0 WATCH); recency: days since the last date (> 30
     CRITICAL, > 7 WARNING; ``as_of`` default today); demographic: Σ totals;
-    liability: Σ forecast; overview: previewed rows.  Empty -> no row.
+    liability: Σ forecast; overview: rows of ``result``, which is the table
+    itself here and not its preview.  Empty -> no row.
     """
     if kind in ("time_series_sum", "count_over_time"):
         out = result.agg(F.count(F.lit(1)).alias("__n"), F.max_by("total", "bucket").alias("__v")) \
@@ -210,30 +212,102 @@ def summarise(result: DataFrame, kind: str, as_of=None) -> DataFrame:
     raise ValueError(f"Unknown analysis kind: {kind}")
 
 
+RESULT_SCHEMA = "seq int, kpi_name string, value double, status string, recorded_at date"
+STATUS_SCHEMA = ("seq int, kpi_name string, kind string, table_name string, outcome string, value double, status string, "
+                 "rows_read bigint, rows_rejected bigint, error string, recorded_at date")
+
+
+def suggested_specs(spark: SparkSession, tables: dict[str, DataFrame]) -> list[dict]:
+    """The suggested analyses in order: bounded metadata."""
+    found = suggest_analyses(cat.catalog_columns(spark, tables), cat.table_profile(tables)).orderBy("seq").collect()
+    return [r.asDict() | {"name": r["title"] or r["kind"]} for r in found]
+
+
+def _kpi(tables: dict[str, DataFrame], spec: dict, as_of) -> DataFrame:
+    """V11 and V12 of one spec: at most one row (value, status)."""
+    result = tables[spec["table_name"]] if spec["kind"] == "overview" else run_analysis(tables, spec)
+    return summarise(result, spec["kind"], as_of).select(round_half_up("value", 2).alias("value"), "status")
+
+
 def analyse_all(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, recorded_at=None) -> DataFrame:
     """L3: discover -> suggest -> run -> summarise every analysis into KPI rows
-    (kpi_name = title ≤ 100 chars, value rounded to 2, status, recorded_at).
-    The spec list is bounded metadata; each analysis is its own lazy plan and
-    all of them are unioned into one result, so one action runs everything.
-    A spec that fails to plan is reported with status 'FAILED' and does not
-    stop the others (D26)."""
-    catalog = cat.catalog_columns(spark, tables)
-    profile = cat.table_profile(tables)
-    specs = [r.asDict() for r in suggest_analyses(catalog, profile).orderBy("seq").collect()]
+    (kpi_name = title, value rounded to 2, status, recorded_at).  Each analysis
+    is its own lazy plan and all of them are unioned into one result, so one
+    action runs everything; a spec that cannot be planned gives a row with
+    status 'FAILED'.  ``sync_analyses`` also isolates what fails while running (D26)."""
     day = recorded_at or _dt.date.today().isoformat()
     parts = []
-    for sp in specs:
-        name = (sp["title"] or sp["kind"])[:100]
+    for sp in suggested_specs(spark, tables):
         try:
-            summ = summarise(run_analysis(tables, sp), sp["kind"], as_of)
-            parts.append(summ.select(F.lit(sp["seq"]).alias("seq"), F.lit(name).alias("kpi_name"),
-                                     round_half_up("value", 2).alias("value"), "status",
-                                     F.lit(day).cast("date").alias("recorded_at")))
-        except Exception as exc:  # noqa: BLE001 — reported per analysis, like the reference
-            parts.append(spark.createDataFrame([(sp["seq"], name, None, f"FAILED: {type(exc).__name__}", day)],
-                                               "seq int, kpi_name string, value double, status string, "
-                                               "recorded_at string").withColumn("recorded_at",
-                                                                                F.col("recorded_at").cast("date")))
-    if not parts:
-        return spark.createDataFrame([], "seq int, kpi_name string, value double, status string, recorded_at date")
-    return reduce(DataFrame.unionByName, parts)
+            kpi = _kpi(tables, sp, as_of)
+        except Exception as exc:  # noqa: BLE001 -- reported per analysis
+            kpi = spark.createDataFrame([(None, f"FAILED: {type(exc).__name__}")], "value double, status string")
+        parts.append(kpi.select(F.lit(sp["seq"]).alias("seq"), F.lit(sp["name"]).alias("kpi_name"), "value", "status",
+                                F.lit(day).cast("date").alias("recorded_at")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RESULT_SCHEMA)
+
+
+def read_columns(df: DataFrame, spec: dict) -> list[str]:
+    """The columns that an analysis reads."""
+    named = [c for c in (spec.get("amount_column"), spec.get("date_column")) if c]
+    if spec["kind"] == "demographic":
+        return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return [] if spec["kind"] == "overview" else named
+
+
+def unparsable(df: DataFrame, amount: str | None, date: str | None) -> list[tuple[str, Column]]:
+    """(column, condition) for the text columns among them: a value that is neither null nor readable."""
+    out = []
+    for name, kind in ((amount, "double"), (date, "timestamp")):
+        if name and isinstance(df.schema[name].dataType, T.StringType):
+            out.append((name, quoted(name).isNotNull() & quoted(name).try_cast(kind).isNull()))
+    return out
+
+
+def rejects(tables: dict[str, DataFrame], specs: list[dict]) -> DataFrame:
+    """(table_name, column_name, text, row): every row whose amount or date some analysis cannot read, as JSON, once per column."""
+    spark = next(iter(tables.values())).sparkSession
+    found = {}
+    for sp in specs:
+        df = tables[sp["table_name"]]
+        for name, bad in unparsable(df, sp.get("amount_column"), sp.get("date_column")):
+            found.setdefault((sp["table_name"], name), df.filter(bad).select(
+                F.lit(sp["table_name"]).alias("table_name"), F.lit(name).alias("column_name"), quoted(name).alias("text"),
+                F.to_json(F.struct(*[quoted(c) for c in df.columns])).alias("row")))
+    return reduce(DataFrame.unionByName, found.values()) if found else spark.createDataFrame(
+        [], "table_name string, column_name string, text string, row string")
+
+
+def sync_analyses(spark: SparkSession, tables: dict[str, DataFrame], as_of=None, recorded_at=None) -> dict[str, DataFrame]:
+    """L3 run to its end: ``kpis``, ``status`` (a row per analysis) and ``rejects``.
+
+    Every analysis is an action in its own try, so one that fails leaves the
+    others intact.  Outcomes: synced (a KPI row), skipped (nothing to report) or
+    failed (with the error's class).  ``rows_read`` and ``rows_rejected`` (an
+    amount or date that cannot be read) are observed while it runs.  What meets
+    on the driver is a row per analysis; the rejected rows stay a lazy frame.
+    """
+    specs = suggested_specs(spark, tables)
+    day = _dt.date.fromisoformat(recorded_at) if recorded_at else _dt.date.today()
+
+    def observe(spec: dict, seen: Observation) -> DataFrame:
+        df = tables[spec["table_name"]]
+        bad = [c for _, c in unparsable(df, spec.get("amount_column"), spec.get("date_column"))]
+        hit = reduce(lambda a, b: a | b, bad).cast("long") if bad else F.lit(0).cast("long")
+        return df.select(*[quoted(c) for c in read_columns(df, spec)]).observe(
+            seen, F.count(F.lit(1)).alias("rows_read"), F.coalesce(F.sum(hit), F.lit(0)).alias("rows_rejected"))
+
+    def run(spec: dict) -> list:
+        def plan(seen: Observation) -> DataFrame:
+            return _kpi({spec["table_name"]: observe(spec, seen)}, spec, as_of)
+        return isolation.collected(plan)
+
+    rows = []
+    for sp, got in zip(specs, isolation.in_turn(spark, run, specs)):
+        first = got.rows[0] if got.rows else None
+        outcome = "failed" if got.error else "synced" if first is not None else "skipped"
+        rows.append((sp["seq"], sp["name"], sp["kind"], sp["table_name"], outcome, first and first["value"], first and first["status"],
+                     got.seen.get("rows_read"), got.seen.get("rows_rejected"), got.error, day))
+    status = spark.createDataFrame(rows, STATUS_SCHEMA)
+    kpis = status.filter("outcome = 'synced'").select("seq", "kpi_name", "value", "status", "recorded_at")
+    return {"kpis": kpis, "status": status, "rejects": rejects(tables, specs)}

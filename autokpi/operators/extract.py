@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autokpi.functions.core import ntz_literal
+from autokpi.functions.core import event_time, ntz_literal, quoted
 
 
 def as_of_column(df: DataFrame, ts: str, as_of=None) -> Column:
@@ -37,7 +37,7 @@ def daily_totals(df: DataFrame, amount: str, date: str, label: str,
     ``as_of - days``); columns ``date`` DATE, ``kpi_name``, ``value`` DOUBLE.
     ``days=None`` keeps the whole history.  Null dates are dropped (D4).
     """
-    src = df.select(F.col(date).alias("__d"), F.col(amount).try_cast("double").alias("__v"))
+    src = df.select(event_time(df, date).alias("__d"), quoted(amount).try_cast("double").alias("__v"))
     src = src.filter(F.col("__d").isNotNull())
     if days is not None:
         ref = as_of_column(src, "__d", as_of)

@@ -10,6 +10,8 @@ group: the number of days of one KPI.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,21 +133,26 @@ def anomalies(metrics: DataFrame) -> DataFrame:
                     F.col("z_score").alias("deviation"), "baseline", reason.alias("reason")))
 
 
-def latest_per(df: DataFrame, keys: list[str], order: list[str], within: tuple[list[str], int] | None = None
-               ) -> DataFrame:
+def latest_per(df: DataFrame, keys: list[str], order: list[str], mark_within: tuple[list[str], int] | None = None) -> DataFrame:
     """Newest row per ``keys`` by ``order`` (descending).
 
-    ``within=(tenant_cols, n)`` first caps each tenant to its newest ``n`` rows
-    (per-tenant ``row_number``; no global window).  Then ``max_by`` over a
-    struct of the order columns: a plain hash aggregate with partial
-    aggregation, so a hot key is pre-reduced map-side.
+    ``max_by`` over a struct of the order columns with partial aggregation, so a
+    hot key is pre-reduced before the shuffle.  ``mark_within=(tenant_cols, n)``
+    adds ``within_newest``: whether the row is among its tenant's newest ``n``
+    rows (ties: the greatest key), found by a per-tenant ``row_number <= n`` that
+    is cut before its shuffle.  No key is left out.
     """
-    if within is not None:
-        tenant, n = within
-        w = Window.partitionBy(*tenant).orderBy(*[F.col(c).desc() for c in order])
-        df = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
     rest = [c for c in df.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in rest])
     ordkey = F.struct(*[F.col(c) for c in order])
     agg = df.groupBy(*keys).agg(F.max_by(packed, ordkey).alias("__row"))
-    return agg.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    latest = agg.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    if mark_within is None:
+        return latest
+    tenant, n = mark_within
+    by = list(dict.fromkeys([*order, *keys]))
+    w = Window.partitionBy(*tenant).orderBy(*[F.col(c).desc() for c in by])
+    newest = df.select(*dict.fromkeys([*tenant, *by])).withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
+    marks = newest.select(*[F.col(c).alias(f"__{c}") for c in by], F.lit(True).alias("within_newest")).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return latest.join(marks, same, "left").select(*latest.columns, F.coalesce("within_newest", F.lit(False)).alias("within_newest"))

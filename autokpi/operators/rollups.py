@@ -89,6 +89,44 @@ def timeline_long(kpis: DataFrame, depts: DataFrame) -> DataFrame:
     return k.groupBy(F.col("recorded_at").alias("period"), "department_name").agg(F.sum("value").alias("value"))
 
 
+#: Sections of the dashboard's roll-up: what each is grouped by (of period, department id, department name, KPI).
+ROLLUP_SECTIONS = {
+    "department_kpi_day": ["period", "department_name", "kpi_name"],
+    "kpi_day": ["period", "kpi_name"],
+    "department_day": ["period", "department_name"],
+    "day": ["period"],
+    "kpi": ["kpi_name"],
+    "department_kpi": ["department_id", "kpi_name"],
+    "department": ["department_id"],
+}
+_ROLLUP_KEYS = ["period", "department_id", "department_name", "kpi_name"]
+
+
+def dashboard_rollups(kpis: DataFrame, depts: DataFrame) -> DataFrame:
+    """A9, A10, A11 and the counts of W4 in one pass: ``GROUPING SETS`` over one scan.
+
+    Long form: ``section`` (a name of ``ROLLUP_SECTIONS``, told by its grouping
+    id), the section's keys (the others null), ``value`` (sum), ``row_count``,
+    ``anomaly_count`` (rows that are not NORMAL) and, for ``kpi`` rows,
+    ``department_count`` (distinct non-null departments).  Only sums and counts
+    are kept while grouping: hash aggregates, combined before each shuffle (by
+    section, keys and department first, for the distinct count, then by section
+    and keys), so a hot key costs a row per task.
+    """
+    k = with_department(kpis, depts).select(
+        F.col("recorded_at").alias("period"), "department_id", "department_name", "kpi_name", "value",
+        F.coalesce((F.col("status") != "NORMAL").cast("long"), F.lit(0)).alias("odd"))
+    sets = [[F.col(c) for c in keys] for keys in ROLLUP_SECTIONS.values()]
+    grouped = k.groupingSets(sets, *[F.col(c) for c in _ROLLUP_KEYS]).agg(
+        F.grouping_id().alias("gid"), F.sum("value").alias("value"), F.count(F.lit(1)).alias("row_count"), F.sum("odd").alias("anomaly_count"), F.count_distinct("department_id").alias("departments"))
+    number = {name: sum(0 if c in keys else 1 << (len(_ROLLUP_KEYS) - 1 - i) for i, c in enumerate(_ROLLUP_KEYS))
+              for name, keys in ROLLUP_SECTIONS.items()}
+    names = F.create_map(*[F.lit(x) for name, gid in number.items() for x in (gid, name)])
+    section = names[F.col("gid").cast("int")]
+    return grouped.select(section.alias("section"), *_ROLLUP_KEYS, "value", "row_count", "anomaly_count",
+                          F.when(section == "kpi", F.col("departments")).alias("department_count"))
+
+
 def department_summaries(depts: DataFrame, kpis: DataFrame, anomalies: DataFrame,
                          reports: DataFrame | None = None, n: int = 6, preview: int | None = None) -> DataFrame:
     """Per department the newest ``n`` KPI rows (``row_number <= n``, a

@@ -117,6 +117,17 @@ WHERE template_id = 2 AND global_field_name <> 'error_value'""",
 }
 FIXTURE_SQL.update(CONFIG_SQL)
 
+# A set of tables with faults: unparsable amounts and dates, a date column
+# without any date, and a table whose amount raises an error when it is read.
+FAULTY_SQL: dict[str, str] = {
+    "contributions_ok": "SELECT o_orderkey AS id, o_totalprice AS amount, o_orderdate AS paid_at FROM orders",
+    "payments_dirty": "SELECT event_id AS ref, value AS amount, date AS payment_date FROM fx_dirty",
+    "claims_undated": "SELECT event_id AS ref, 'never' AS closed_on FROM events",
+    "pensions_broken": "SELECT o_orderkey AS ref, CAST(o_orderpriority AS INT) AS monthly_amount, o_orderdate AS paid_on FROM orders",
+    "stock_plain": "SELECT p_partkey AS ref, p_brand AS brand FROM part",
+}
+FIXTURE_SQL.update(FAULTY_SQL)
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 

@@ -34,17 +34,14 @@ def _demo_sql(tab: str, cols: list[str]) -> str:
                              for i, c in enumerate(cols))
     return f"""
 WITH long AS ({unp}),
-counts AS (SELECT o, c, v, count(*) AS total FROM long GROUP BY o, c, v),
-nv AS (SELECT o FROM counts GROUP BY o HAVING count(*) >= 2 ORDER BY o LIMIT 4),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY o ORDER BY total DESC, v ASC NULLS LAST) AS INT) AS rank
-           FROM counts)
-SELECT c AS column_name, o + 1 AS col_ordinal, v AS bucket, total, rank
-FROM ranked WHERE rank <= 12 AND o IN (SELECT o FROM nv)"""
+counts AS (SELECT o, c, v, count(*) AS total FROM long GROUP BY o, c, v)
+SELECT c AS column_name, o + 1 AS col_ordinal, v AS bucket, total
+FROM counts WHERE o IN (SELECT o FROM counts GROUP BY o HAVING count(*) >= 2)"""
 
 
 @register("a4_demographic_customer", _demo_sql("customer", ["c_name", "c_mktsegment"]))
 def q_a4_customer(spark, sf):
-    """A4: top-12 values of the text columns of customer."""
+    """A4: the value counts of the text columns of customer."""
     return analyses.demographic(table(spark, sf, "customer"))
 
 
@@ -54,6 +51,15 @@ def q_a4_lineitem(spark, sf):
     return analyses.demographic(table(spark, sf, "lineitem"))
 
 
+@register("a4_demographic_top", """
+SELECT 'c_name' AS column_name, 1 AS col_ordinal, c_name AS bucket, total, rank FROM (
+  SELECT c_name, count(*) AS total, CAST(row_number() OVER (ORDER BY count(*) DESC, c_name ASC NULLS LAST) AS INT) AS rank
+  FROM customer GROUP BY 1) WHERE rank <= 12""")
+def q_a4_top(spark, sf):
+    """A4 as a top-k report: the 12 most frequent values of the first text column of customer."""
+    return analyses.demographic(table(spark, sf, "customer"), top=12, max_cols=1)
+
+
 @register("a5_missing_recent_orders", """
 SELECT max(o_orderdate) AS last_seen, count(*) AS total_records FROM orders""")
 def q_a5(spark, sf):
@@ -61,6 +67,32 @@ def q_a5(spark, sf):
     return analyses.missing_recent(table(spark, sf, "orders"), "o_orderdate")
 
 
+DIRTY_DATES = ("dd", "SELECT TRY_CAST(date AS TIMESTAMP) AS t, TRY_CAST(value AS DOUBLE) AS value FROM fx_dirty")
+
+
+@register("a2_time_series_sum_dirty", with_fixtures("""
+SELECT CAST(date_trunc('month', t) AS DATE) AS bucket, round(sum(value), 2) AS total
+FROM dd WHERE t IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 24""", DIRTY_DATES))
+def q_a2_dirty(spark, sf):
+    """A2 on text dates and text amounts, some of them unparsable."""
+    out = analyses.time_series_sum(fixture(spark, sf, "fx_dirty"), "value", "date", 24)
+    return out.withColumn("total", round_half_up("total", 2))
+
+
+@register("a3_count_over_time_dirty", with_fixtures("""
+SELECT CAST(date_trunc('week', t) AS DATE) AS bucket, count(*) AS total
+FROM dd WHERE t IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 26""", DIRTY_DATES))
+def q_a3_dirty(spark, sf):
+    """A3 on text dates, some of them unparsable."""
+    return analyses.count_over_time(fixture(spark, sf, "fx_dirty"), "date", 26)
+
+
+@register("a5_missing_recent_dirty", with_fixtures("SELECT max(t) AS last_seen, count(*) AS total_records FROM dd", DIRTY_DATES))
+def q_a5_dirty(spark, sf):
+    """A5 on text dates: the newest date that parses, and all rows."""
+    return analyses.missing_recent(fixture(spark, sf, "fx_dirty"), "date")
+
+
 @register("a6_late_accounts_orders", """
 WITH d AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders
            WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL),

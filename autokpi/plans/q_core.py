@@ -162,31 +162,37 @@ def q_w3(spark, sf):
 
 
 @register("w3_latest_kpi_within_newest_25", with_fixtures("""
-SELECT department_id, kpi_name, recorded_at, user_id, value, source_record_count, status FROM (
-  SELECT *, row_number() OVER (PARTITION BY department_id, kpi_name ORDER BY recorded_at DESC, user_id DESC) AS rn2
-  FROM (SELECT *, row_number() OVER (PARTITION BY department_id ORDER BY recorded_at DESC, user_id DESC) AS rn
-        FROM fx_kpi_results) WHERE rn <= 25) WHERE rn2 = 1"""))
+SELECT department_id, kpi_name, recorded_at, user_id, value, source_record_count, status, rn <= 25 AS within_newest FROM (
+  SELECT *, row_number() OVER (PARTITION BY department_id, kpi_name ORDER BY recorded_at DESC, user_id DESC) AS rn2,
+         row_number() OVER (PARTITION BY department_id ORDER BY recorded_at DESC, user_id DESC, kpi_name DESC) AS rn
+  FROM fx_kpi_results) WHERE rn2 = 1"""))
 def q_w3_within(spark, sf):
-    """W3 with the per-tenant cap: newest KPI per name within each department's newest 25 rows."""
+    """Newest result of every KPI, and whether it is among its department's newest 25 rows."""
     kr = fixture(spark, sf, "fx_kpi_results")
-    out = kpi.latest_per(kr, ["department_id", "kpi_name"], ["recorded_at", "user_id"],
-                         within=(["department_id"], 25))
-    return out.select("department_id", "kpi_name", "recorded_at", "user_id", "value", "source_record_count", "status")
+    out = kpi.latest_per(kr, ["department_id", "kpi_name"], ["recorded_at", "user_id"], mark_within=(["department_id"], 25))
+    return out.select("department_id", "kpi_name", "recorded_at", "user_id", "value", "source_record_count", "status", "within_newest")
 
 
 @register("k4_lineage_records", with_fixtures("""
 SELECT CAST(department_id AS STRING) || ':' || CAST(recorded_at AS STRING) AS batch_source_id,
   kpi_name, CAST(user_id AS STRING) AS source_record_id, kpi_name AS record_label, recorded_at AS record_date,
-  coalesce(TRY_CAST(value AS DOUBLE), 0.0) AS record_value
+  coalesce(TRY_CAST(value AS DOUBLE), 0.0) AS record_value, department_id AS p_department, user_id AS p_user, kpi_name AS p_kpi,
+  CAST(recorded_at AS STRING) AS p_recorded, value AS p_value, source_record_count AS p_count, status AS p_status,
+  CAST(department_id AS STRING) || ':' || CAST(recorded_at AS STRING) AS p_batch, 8 AS p_fields
 FROM fx_kpi_results"""))
 def q_k4(spark, sf):
-    """K4: lineage rows (batch id = department:day) with the full-row JSON payload."""
+    """K4: lineage rows (batch id = department:day); the full-row JSON payload is read back field by field."""
     kr = fixture(spark, sf, "fx_kpi_results")
     kr = kr.withColumn("batch_source_id", F.concat_ws(":", F.col("department_id").cast("string"),
                                                       F.col("recorded_at").cast("string")))
     out = sinks.lineage(kr, batch_col="batch_source_id", id_col="user_id", label_col="kpi_name",
                         date_col="recorded_at")
-    return out.drop("raw_payload")
+    read = F.from_json("raw_payload", "department_id int, user_id int, kpi_name string, recorded_at string, value double, "
+                                      "source_record_count bigint, status string, batch_source_id string")
+    names = {"p_department": "department_id", "p_user": "user_id", "p_kpi": "kpi_name", "p_recorded": "recorded_at", "p_value": "value",
+             "p_count": "source_record_count", "p_status": "status", "p_batch": "batch_source_id"}
+    out = out.withColumn("p", read).withColumn("p_fields", F.size(F.json_object_keys("raw_payload")))
+    return out.select("*", *[F.col(f"p.{c}").alias(n) for n, c in names.items()]).drop("p", "raw_payload")
 
 
 @register("k5_changed_only_status", with_fixtures("""

@@ -30,6 +30,53 @@ def q_a9(spark, sf):
     return out.withColumn("value", round_half_up("value", 2))
 
 
+@register("a9_combined_maps", with_fixtures("""
+SELECT recorded_at AS report_date, department_name, kpi_name, round(sum(value), 2) AS value,
+  round(sum(sum(value)) OVER (PARTITION BY recorded_at, kpi_name), 2) AS combined
+FROM kd GROUP BY 1, 2, 3""", KR_DEPT))
+def q_a9_maps(spark, sf):
+    """The department map of every report date, unfolded, with each KPI's entry of the combined map."""
+    rep = rollups.combined_report(_kr(spark, sf), _depts(spark, sf))
+    per = rep.select("report_date", "combined_kpis", F.explode("department_breakdown").alias("department_name", "m"))
+    per = per.select("report_date", "combined_kpis", "department_name", F.explode("m").alias("kpi_name", "value"))
+    out = per.select("report_date", "department_name", "kpi_name", "value", F.col("combined_kpis")[F.col("kpi_name")].alias("combined"))
+    return out.withColumn("value", round_half_up("value", 2)).withColumn("combined", round_half_up("combined", 2))
+
+
+@register("l5_dashboard", with_fixtures("""
+SELECT 'department_kpi_day' AS section, recorded_at AS period, NULL::INT AS department_id, department_name, kpi_name, round(sum(value), 2) AS value,
+  count(*) AS row_count, count(*) FILTER (WHERE status <> 'NORMAL') AS anomaly_count, NULL::BIGINT AS department_count, NULL::INT AS rank, NULL::VARCHAR AS status
+FROM kd GROUP BY recorded_at, department_name, kpi_name
+UNION ALL SELECT 'kpi_day', recorded_at, NULL, NULL, kpi_name, round(sum(value), 2), count(*), count(*) FILTER (WHERE status <> 'NORMAL'), NULL, NULL, NULL
+FROM kd GROUP BY recorded_at, kpi_name
+UNION ALL SELECT 'department_day', recorded_at, NULL, department_name, NULL, round(sum(value), 2), count(*), count(*) FILTER (WHERE status <> 'NORMAL'), NULL, NULL, NULL
+FROM kd GROUP BY recorded_at, department_name
+UNION ALL SELECT 'day', recorded_at, NULL, NULL, NULL, round(sum(value), 2), count(*), count(*) FILTER (WHERE status <> 'NORMAL'), NULL, NULL, NULL
+FROM kd GROUP BY recorded_at
+UNION ALL SELECT 'kpi', NULL, NULL, NULL, kpi_name, round(sum(value), 2), count(*), count(*) FILTER (WHERE status <> 'NORMAL'), count(DISTINCT department_id), NULL, NULL
+FROM kd GROUP BY kpi_name
+UNION ALL SELECT 'department_kpi', NULL, department_id, NULL, kpi_name, round(sum(value), 2), count(*), count(*) FILTER (WHERE status <> 'NORMAL'), NULL, NULL, NULL
+FROM kd GROUP BY department_id, kpi_name
+UNION ALL SELECT 'department', NULL, department_id, NULL, NULL, round(sum(value), 2), count(*), count(*) FILTER (WHERE status <> 'NORMAL'), NULL, NULL, NULL
+FROM kd GROUP BY department_id
+UNION ALL SELECT 'latest', recorded_at, department_id, NULL, kpi_name, round(value, 2), source_record_count, NULL, NULL, NULL, status FROM (
+  SELECT *, row_number() OVER (PARTITION BY department_id, kpi_name ORDER BY recorded_at DESC, user_id DESC) AS rn FROM fx_kpi_results) WHERE rn = 1
+UNION ALL SELECT 'snapshot', recorded_at, NULL, NULL, trim(replace(kpi_name, '_', ' ')), round(value, 2), NULL, NULL, NULL, NULL, status FROM (
+  SELECT * FROM fx_kpi_results ORDER BY coalesce(value, 0.0) DESC, recorded_at, kpi_name, department_id, user_id LIMIT 12)
+UNION ALL SELECT 'department_top', t.recorded_at, d.id, d.name, t.kpi_name, round(t.value, 2), NULL, coalesce(a.n, 0), NULL, t.rank, t.status
+FROM fx_departments d
+LEFT JOIN (SELECT department_id, count(*) AS n FROM fx_kpi_results WHERE status <> 'NORMAL' GROUP BY 1) a ON a.department_id = d.id
+LEFT JOIN (SELECT * FROM (SELECT department_id, kpi_name, recorded_at, value, status,
+             CAST(row_number() OVER (PARTITION BY department_id ORDER BY recorded_at DESC, kpi_name, user_id) AS INT) AS rank
+           FROM fx_kpi_results) WHERE rank <= 6) t ON t.department_id = d.id""", KR_DEPT))
+def q_l5(spark, sf):
+    """The dashboard in long form; all its roll-ups come from one scan."""
+    from autokpi.plans import sync
+    kr = _kr(spark, sf)
+    out = sync.dashboard_rows(sync.dashboard(kr, kr.filter(F.col("status") != "NORMAL"), _depts(spark, sf)))
+    return out.withColumn("value", round_half_up("value", 2))
+
+
 @register("a9_combined_narrative", with_fixtures("""
 SELECT report_date, 'Combined governed-mesh snapshot for ' || CAST(report_date AS STRING) || ': ' ||
   string_agg(kpi_name || ' ' || format('{:,.2f}', round(v, 2)), ', ' ORDER BY kpi_name) AS narrative,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from autokpi.functions.core import round_half_up
 
 from autokpi.plans import sync
-from autokpi.plans.fixtures import fixture, table, with_fixtures
-from autokpi.plans.q_core import DAILY_EVENTS, w1_parts
-from autokpi.plans.registry import register
+from autokpi.plans import q_analyses  # noqa: F401 -- its oracles
+from autokpi.plans.fixtures import FAULTY_SQL, fixture, table, with_fixtures
+from autokpi.plans.q_core import DAILY_EVENTS, W2_SELECT, w1_parts
+from autokpi.plans.registry import ORACLES, register
 from autokpi.sinks import tables as sinks
 from autokpi.sources import readers
 
@@ -100,7 +101,7 @@ LEFT JOIN (SELECT kpi_name, count(*) AS source_record_count FROM fx_frame GROUP
     ("d", DAILY_EVENTS), *_L1_CTES, ("metrics", _L1_FINAL)))
 def q_l1(spark, sf):
     """L1: the KPI results of a full sync of the event frame (W1 + row counts)."""
-    out = sync.sync(fixture(spark, sf, "fx_frame"), persist=False)
+    out = sync.sync(fixture(spark, sf, "fx_frame"))
     return out["kpis"]
 
 
@@ -123,6 +124,79 @@ def q_l1_extract(spark, sf):
     return fr.select("date", "kpi_name", round_half_up("value", 2).alias("value"))
 
 
+@register("l1_extract_status_dirty", with_fixtures(f"""
+SELECT 'contributions_ok' AS table_name, 'Contribution' AS label, 'synced' AS outcome,
+  (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY) AS days,
+  (SELECT count(*) FROM orders) AS rows_read, 0 AS rows_rejected
+UNION ALL SELECT 'payments_dirty', 'Payment', 'synced',
+  (SELECT count(DISTINCT CAST(t AS DATE)) FROM (SELECT TRY_CAST(date AS TIMESTAMP) AS t FROM fx_dirty)
+   WHERE t > (SELECT max(TRY_CAST(date AS TIMESTAMP)) FROM fx_dirty) - INTERVAL 30 DAY),
+  (SELECT count(*) FROM fx_dirty), (SELECT count(*) FROM fx_dirty WHERE (value IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NULL)
+      OR (date IS NOT NULL AND TRY_CAST(date AS TIMESTAMP) IS NULL))
+UNION ALL SELECT 'pensions_broken', 'Pension', 'failed', NULL, NULL, NULL
+UNION ALL SELECT 'claims_undated', 'Claim', 'skipped', NULL, NULL, NULL
+UNION ALL SELECT 'stock_plain', 'Inventory', 'skipped', NULL, NULL, NULL"""))
+def q_l1_extract_dirty(spark, sf):
+    """L1 extraction from tables with faults: outcome, days and rows of each; the broken one ends only itself."""
+    out = sync.extract_isolated(spark, {t: fixture(spark, sf, t) for t in FAULTY_SQL})
+    return out["status"].drop("error")
+
+
+def _synced(spark, sf):
+    """The full sync of the event frame, with mappings of the fixture fields."""
+    return sync.sync(fixture(spark, sf, "fx_frame"), fields=fixture(spark, sf, "fx_fields"), mappings=fixture(spark, sf, "fx_mappings"),
+                     batch_id="b1", depts=fixture(spark, sf, "fx_departments"), department_id=1)
+
+
+@register("l1_sync_frame", with_fixtures("""
+SELECT source_row_id, kpi_name, value, value * 100.0 AS event_value FROM fx_frame"""))
+def q_l1_frame(spark, sf):
+    """L1: the mapped frame (the event type is no column of a canonical frame, so that mapping is skipped)."""
+    return _synced(spark, sf)["frame"].select("source_row_id", "kpi_name", "value", "event_value")
+
+
+_L1_AN = [("d", DAILY_EVENTS), *_L1_CTES, ("metrics", _L1_FINAL)]
+
+
+@register("l1_sync_anomalies", with_fixtures(W2_SELECT.format(keys="kpi_name, "), *_L1_AN))
+def q_l1_anomalies(spark, sf):
+    """L1: the anomalies of the sync."""
+    return _synced(spark, sf)["anomalies"]
+
+
+register("l1_sync_forecasts", ORACLES["f3_forecast_events"])(lambda spark, sf: _synced(spark, sf)["forecasts"])
+
+
+@register("l1_sync_lineage", with_fixtures("""
+SELECT 'b1' AS batch_source_id, kpi_name, source_row_id AS source_record_id, record_label, report_date AS record_date,
+  coalesce(value, 0.0) AS record_value, customer_id AS p_customer, value AS p_value FROM fx_frame"""))
+def q_l1_lineage(spark, sf):
+    """L1: the lineage of the sync, two fields read back from the payload."""
+    out = _synced(spark, sf)["lineage"]
+    return out.select("*", F.get_json_object("raw_payload", "$.customer_id").alias("p_customer"),
+                      F.get_json_object("raw_payload", "$.value").cast("double").alias("p_value")).drop("raw_payload")
+
+
+@register("l1_sync_combined", with_fixtures("""
+SELECT k.recorded_at AS report_date, coalesce(d.name, 'Unassigned') AS department_name, k.kpi_name, k.value
+FROM metrics k LEFT JOIN fx_departments d ON d.id = 1""", *_L1_AN))
+def q_l1_combined(spark, sf):
+    """L1: the combined report of the sync, its department map as rows."""
+    out = _synced(spark, sf)["combined"]
+    per = out.select("report_date", F.explode("department_breakdown").alias("department_name", "m"))
+    return per.select("report_date", "department_name", F.explode("m").alias("kpi_name", "value"))
+
+
+@register("l1_sync_briefing", with_fixtures("""
+SELECT max(CASE status WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END) AS severity,
+       count(*) AS kpis, count(*) FILTER (WHERE status <> 'NORMAL') AS anomaly_count FROM metrics""", *_L1_AN))
+def q_l1_briefing(spark, sf):
+    """L1: the briefing of the sync: overall colour, lines of KPIs, anomalies."""
+    b = _synced(spark, sf)["briefing"]
+    severity = F.when(F.col("overall_status") == "RED", 2).when(F.col("overall_status") == "AMBER", 1).otherwise(0)
+    return b.select(severity.alias("severity"), F.size(F.split("kpi_text", "\n")).cast("bigint").alias("kpis"), "anomaly_count")
+
+
 _L4_CTES, _L4_FINAL = w1_parts("d", True)
 
 

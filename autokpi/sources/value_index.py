@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autokpi.functions.core import quoted
+
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 _BITS = 63
 _FACTS = "column_no int, table_name string, column_name string, data_type string"
@@ -34,11 +36,6 @@ def indexed_columns(tables: dict[str, DataFrame]) -> list[tuple[int, str, str, T
     return [(i, *c) for i, c in enumerate(cols)]
 
 
-def quoted(name: str) -> Column:
-    """A top-level column by its exact name, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _cell(number: int, type_no: int, name: str, kind: T.DataType) -> Column:
     c = quoted(name)
     if isinstance(kind, _WHOLE):

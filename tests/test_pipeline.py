@@ -23,7 +23,7 @@ def test_whole_pipeline_on_dirty_input(spark):
     assert all(v == 0 for v in nulls.asDict().values())
     fields = spark.createDataFrame([(1, 1, "revenue", "currency", True)],
                                    "id int, template_id int, global_field_name string, data_type string, required boolean")
-    out = sync.sync(canon, fields=fields, persist=False)
+    out = sync.sync(canon, fields=fields)
     checks = {r.check_type for r in out["validation"].collect()}
     assert checks == {"schema", "null", "anomaly"}
     kpis = out["kpis"].collect()
