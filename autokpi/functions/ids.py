@@ -1,8 +1,8 @@
 """Deterministic row identifiers.
 
 * ``content_ids``: ``sha256`` of the row's text content plus an occurrence
-  number among byte-identical rows, derived from the positional index (below)
-  so a large set of identical rows is spread over many tasks.
+  number among byte-identical rows.  Identical rows are counted, which combines
+  them before the shuffle, and unfolded again with their numbers.
 * ``positional_index``: 1-based position in a total order without a global
   single-partition window: range-partition + sort within partitions, cut lineage
   with a reliable checkpoint, count rows per partition (one tiny aggregate),
@@ -19,6 +19,8 @@ from autokpi.session import ensure_checkpoint_dir
 
 _SEP = "\u001f"
 _NULL = "\\N"
+#: Identical rows that are unfolded in one place.
+UNFOLD = 100_000
 
 
 def row_content(df: DataFrame, cols: list[str] | None = None):
@@ -31,23 +33,20 @@ def content_ids(df: DataFrame, name: str, cols: list[str] | None = None,
     """Add ``name`` = ``sha2(content) || '-' || occurrence``.
 
     ``content_col`` names a precomputed content string (e.g. taken before a
-    coercion), else the content of ``cols`` is used.  A partially aggregated
-    count per hash separates unique rows (occurrence 1) from repeated ones;
-    only the repeated ones are numbered, by the positional index in hash
-    order (contiguous per hash) minus the hash's first position — no window
-    or task holds a hot hash.
+    coercion), else the content of ``cols`` is used.  Rows equal in every
+    column become one row with their number, so neither a window nor a join
+    meets them; the row is unfolded where it is, or, if it stands for more than
+    ``UNFOLD`` rows, in pieces of that size dealt over the tasks.
     """
-    h = "__content_sha"
+    h, n = "__content_sha", "__k"
     content = F.col(content_col) if content_col else row_content(df, cols)
-    hashed = df.withColumn(h, F.sha2(content, 256))
-    counts = hashed.groupBy(h).agg(F.count(F.lit(1)).alias("__k"))
-    j = hashed.join(counts, h)
-    uniq = j.filter(F.col("__k") == 1).withColumn(name, F.concat(F.col(h), F.lit("-1")))
-    dup = positional_index(j.filter(F.col("__k") > 1), [h], "__pos", tie=False)
-    first = dup.groupBy(h).agg(F.min("__pos").alias("__first"))
-    dup = dup.join(first, h).withColumn(
-        name, F.concat(F.col(h), F.lit("-"), (F.col("__pos") - F.col("__first") + 1).cast("string")))
-    return uniq.drop(h, "__k").unionByName(dup.drop(h, "__k", "__pos", "__first"))
+    counted = df.withColumn(h, F.sha2(content, 256)).groupBy(h, *[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias(n))
+    few = counted.filter(F.col(n) <= UNFOLD).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    many = counted.filter(F.col(n) > UNFOLD).withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n), F.lit(UNFOLD).cast("long"))))
+    many = many.repartition(h, "__from").withColumn(
+        "__i", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + UNFOLD - 1, F.col(n)))))
+    rows = few.unionByName(many.drop("__from"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.concat(F.col(h), F.lit("-"), F.col("__i").cast("string")).alias(name))
 
 
 def positional_index(df: DataFrame, order_cols: list[str], name: str = "position",

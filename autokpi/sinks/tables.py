@@ -14,10 +14,12 @@ from __future__ import annotations
 import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autokpi.functions import scan
+
 
 def append(df: DataFrame, path: str, partition_by: str | list[str] | None = None) -> None:
     """K1: append a result batch, partitioned by its date column."""
@@ -224,8 +226,9 @@ def lineage(df: DataFrame, batch_col: str = "batch_source_id", id_col: str = "so
 
 def changed_only(df: DataFrame, keys: list[str], order: list[str], col: str) -> DataFrame:
     """K5: keep a row only when ``col`` differs (null-safe) from the previous
-    row of the same key; the first row of a key is kept.  Shuffle key: ``keys``.
+    row of the same key; the first row of a key is kept.  A key's history is
+    cut into chunks of time with the last value carried over, so one key with a
+    large part of all rows spreads over many tasks (see ``functions.scan``).
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn("__prev", F.lag(F.col(col)).over(w)).withColumn("__rn", F.row_number().over(w))
-    return out.filter((F.col("__rn") == 1) | ~F.col("__prev").eqNullSafe(F.col(col))).drop("__prev", "__rn")
+    out = scan.with_previous(df, keys, order, col, "__prev", "__first")
+    return out.filter(F.col("__first") | ~F.col("__prev").eqNullSafe(F.col(col))).drop("__prev", "__first")
