@@ -78,6 +78,12 @@ def forecast_wide(fc: DataFrame, kpi_names: list[str] | None = None) -> DataFram
     return fc.groupBy(F.col("forecast_date").alias("date")).agg(*aggs)
 
 
+def forecast_maps(fc: DataFrame) -> DataFrame:
+    """W7 with the KPI names as data: one row per forecast date with ``kpis``, a MAP<kpi, (value, lower, upper)>."""
+    entry = F.struct("kpi_name", F.struct(F.col("predicted_value").alias("value"), F.col("lower_bound").alias("lower"), F.col("upper_bound").alias("upper")))
+    return fc.groupBy(F.col("forecast_date").alias("date")).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("kpis"))
+
+
 def history_and_forecast(history: DataFrame, fc: DataFrame) -> DataFrame:
     """One series: history rows (date, kpi_name, value) and forecast rows
     (date, kpi_name, predicted_value, lower_bound, upper_bound)."""

@@ -113,6 +113,18 @@ def hide_retired_messages(df: DataFrame, col: str = "message") -> DataFrame:
     return df.filter(~F.coalesce(hit, F.lit(False)))
 
 
+# A report that holds all of these phrases is a retired demonstration report.
+RETIRED_REPORT_PHRASES = ("Net Revenue is 190,000", "Inventory Value is", "Support Tickets is 150")
+
+
+def hide_retired_reports(df: DataFrame, col: str = "narrative") -> DataFrame:
+    """Drop reports whose text holds every marker phrase (as spelt); a null text stays."""
+    every = F.lit(True)
+    for phrase in RETIRED_REPORT_PHRASES:
+        every = every & F.col(col).contains(phrase)
+    return df.filter(~F.coalesce(every, F.lit(False)))
+
+
 def _json_value(c: Column, t: T.DataType) -> Column:
     """``c`` with the leaves of its type in JSON-safe form, nested ones too."""
     if isinstance(t, T.DateType):

@@ -87,15 +87,18 @@ def mapping_status(fields: DataFrame, mappings: DataFrame) -> DataFrame:
     return g.withColumn("valid", F.col("missing_required") == "")
 
 
-def kpi_mode(fields: DataFrame, mappings: DataFrame) -> DataFrame:
+def kpi_mode(fields: DataFrame, mappings: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """Per template, ``configured`` as soon as any field is mapped,
     ``configured-unmapped`` when fields exist but none is mapped, ``auto``
-    when no fields are defined; with field and mapping counts."""
+    when no fields are defined; with field and mapping counts.  ``templates``
+    (``id``) names the templates to tell about; without it only those with
+    fields are known, and none is ``auto``."""
     st = mapping_status(fields, mappings)
-    mode = (F.when(F.col("total_fields") == 0, "auto")
-            .when(F.col("mapped_fields") > 0, "configured")
-            .otherwise("configured-unmapped"))
-    return st.select("template_id", mode.alias("mode"), "total_fields", "mapped_fields")
+    if templates is not None:
+        st = templates.select(F.col("id").alias("template_id")).distinct().join(st, "template_id", "left")
+    total, mapped = (F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("total_fields", "mapped_fields"))
+    mode = F.when(total == 0, "auto").when(mapped > 0, "configured").otherwise("configured-unmapped")
+    return st.select("template_id", mode.alias("mode"), total, mapped)
 
 
 def runtime_config(departments: DataFrame, templates: DataFrame) -> DataFrame:

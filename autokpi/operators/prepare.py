@@ -225,6 +225,11 @@ def auto_model(df: DataFrame, distinct_cap: int = 20) -> tuple[DataFrame, DataFr
     return roles_df, sugg_df
 
 
+def kpi_candidates(roles: DataFrame) -> DataFrame:
+    """V7: the columns that make KPIs (role metric), in column order."""
+    return roles.filter(F.col("role") == "metric").select("ordinal", "column_name")
+
+
 def run_suggestion(df: DataFrame, kind: str, metric: str, by: str) -> DataFrame:
     """The modeller's roll-up: ``sum(metric)`` by the date or category column."""
     key = F.to_date(_q(by)).alias(by) if kind == "time_series" else _q(by)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autokpi.functions.core import round_half_up
+from autokpi.functions.core import quoted, round_half_up
 from pyspark.sql import types as T
 
 from autokpi.operators.frame import KPI_COLUMNS, RETIRED_KPI_NAMES
@@ -24,8 +24,7 @@ def _pct0(x: float) -> str:
     return f"{x * 100:.0f}"
 
 
-def _q(name: str) -> Column:
-    return F.col(f"`{name}`")
+_q = quoted
 
 
 # --------------------------------------------------------------------- A7 / A8
@@ -41,16 +40,7 @@ def validation_frame(df: DataFrame, kpi_names: list[str] | None = None) -> DataF
     (report_date, customer_id) with partial aggregation; largest group = the
     rows of one account-day; one job (+1 to list the KPI names).
     """
-    if "report_date" in df.columns:
-        rd = F.coalesce(F.col("report_date").cast("string"), F.lit(""))
-    elif "date" in df.columns:
-        rd = F.coalesce(F.to_date(F.col("date")).cast("string"), F.lit(""))
-    else:
-        rd = F.current_date().cast("string")
-    cid = F.coalesce(F.col("customer_id").cast("string"), F.lit("ACCOUNT-PRIMARY")) \
-        if "customer_id" in df.columns else F.lit("ACCOUNT-PRIMARY")
-    base = df.withColumn("report_date", rd).withColumn("customer_id", cid)
-    keys = ["report_date", "customer_id"]
+    base, keys = _keyed(df), ["report_date", "customer_id"]
     if "kpi_name" not in df.columns:
         return base.select(*keys).dropDuplicates()
     if kpi_names is None:
@@ -65,6 +55,46 @@ def validation_frame(df: DataFrame, kpi_names: list[str] | None = None) -> DataF
     return base.groupBy(*keys).agg(*aggs)
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with the validation keys filled: report_date (text) and customer_id."""
+    if "report_date" in df.columns:
+        rd = F.coalesce(F.col("report_date").cast("string"), F.lit(""))
+    elif "date" in df.columns:
+        rd = F.coalesce(F.to_date(F.col("date")).cast("string"), F.lit(""))
+    else:
+        rd = F.current_date().cast("string")
+    cid = F.coalesce(F.col("customer_id").cast("string"), F.lit("ACCOUNT-PRIMARY")) \
+        if "customer_id" in df.columns else F.lit("ACCOUNT-PRIMARY")
+    return df.withColumn("report_date", rd).withColumn("customer_id", cid)
+
+
+def validation_rows(df: DataFrame) -> DataFrame:
+    """A7 in long form: (report_date, customer_id, kpi_name, value), the sum of each KPI of each account-day.
+
+    KPI names stay data: nothing is listed on the driver and no column is made
+    of a name, so their number and spelling do not matter.
+    """
+    return _keyed(df).filter(F.col("kpi_name").isNotNull()).groupBy("report_date", "customer_id", "kpi_name").agg(
+        F.sum(F.coalesce(F.col("value").try_cast("double"), F.lit(0.0))).alias("value"))
+
+
+def validation_extras(df: DataFrame) -> DataFrame:
+    """The other part of A7: one row per account-day with the first non-null value (by ``source_row_id``) of every extra column."""
+    extras = [c for c in df.columns if c not in KPI_COLUMNS]
+    order = F.col("source_row_id") if "source_row_id" in df.columns else F.lit(0)
+    base = _keyed(df)
+    if not extras:
+        return base.select("report_date", "customer_id").distinct()
+    return base.groupBy("report_date", "customer_id").agg(*[F.min_by(_q(c), F.when(_q(c).isNotNull(), order)).alias(c) for c in extras])
+
+
+def validation_maps(df: DataFrame) -> DataFrame:
+    """A7 with one row per account-day: its extra columns and ``kpis``, a MAP<kpi, sum> (absent KPIs have no entry)."""
+    rows = validation_rows(df).groupBy("report_date", "customer_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("kpi_name", "value")))).alias("kpis"))
+    return validation_extras(df).join(rows, ["report_date", "customer_id"], "left")
+
+
 def kpi_row_counts(frame: DataFrame, results: DataFrame) -> DataFrame:
     """Attach the number of source rows per KPI to KPI results."""
     counts = frame.groupBy("kpi_name").agg(F.count(F.lit(1)).alias("source_record_count"))
@@ -73,8 +103,8 @@ def kpi_row_counts(frame: DataFrame, results: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------- V1
 
-def schema_check(df: DataFrame, fields: DataFrame, soften: bool = False) -> DataFrame:
-    """V1: required field names must be columns of ``df``.
+def schema_check(df: DataFrame, fields: DataFrame, soften: bool = False, names: DataFrame | None = None) -> DataFrame:
+    """V1: required field names must be columns of ``df``, or rows of ``names`` (kpi_name) where that is given.
 
     ``fields`` has ``global_field_name``, ``required``.  No requirements ->
     pass; missing -> fail (``soften`` turns it into a warning, used when the
@@ -84,7 +114,12 @@ def schema_check(df: DataFrame, fields: DataFrame, soften: bool = False) -> Data
     req = fields.filter(F.coalesce(F.col("required"), F.lit(False)) & F.col("global_field_name").isNotNull()) \
         .select(F.col("global_field_name").cast("string").alias("global_field_name"),
                 F.col("id") if "id" in fields.columns else F.lit(0).alias("id"))
-    flagged = req.withColumn("__missing", ~F.col("global_field_name").isin(df.columns))
+    known = F.col("global_field_name").isin(df.columns)
+    if names is not None:
+        held = names.select(F.col("kpi_name").alias("__held")).distinct()
+        req = req.join(held, F.col("global_field_name") == F.col("__held"), "left")
+        known = known | F.col("__held").isNotNull()
+    flagged = req.withColumn("__missing", ~known)
     agg = flagged.agg(
         F.count(F.lit(1)).alias("n_required"),
         F.sort_array(F.collect_list(F.when(F.col("__missing"), F.struct("id", "global_field_name"))))
@@ -110,9 +145,11 @@ def null_profile(df: DataFrame, threshold: float = 0.10) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__total")]
     aggs += [F.sum(F.when(_q(c).isNull(), 1).otherwise(0)).alias(f"__n{i}") for i, c in enumerate(cols)]
     one = df.agg(*aggs)
-    stack = "stack({}, {}) AS (column_name, null_count)".format(
-        len(cols), ", ".join(f"'{c}', CAST(__n{i} AS BIGINT)" for i, c in enumerate(cols)))
-    long = one.selectExpr("__total", stack)
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__n{i}").cast("bigint").alias("null_count")) for i, c in enumerate(cols)])
+    return _null_rates(one.select("__total", F.inline(each)), t)
+
+
+def _null_rates(long: DataFrame, t: float) -> DataFrame:
     rate = F.try_divide(F.col("null_count"), F.col("__total"))
     return long.select(
         "column_name", "null_count", F.col("__total").alias("total_rows"),
@@ -125,7 +162,10 @@ def null_check(df: DataFrame, threshold: float = 0.10) -> DataFrame:
     """V2: one result row: warning when any column's null rate exceeds the
     threshold (clamped to 0..1), pass otherwise or when empty."""
     t = min(max(float(threshold), 0.0), 1.0)
-    prof = null_profile(df, t)
+    return _null_result(null_profile(df, t), t)
+
+
+def _null_result(prof: DataFrame, t: float) -> DataFrame:
     agg = prof.agg(F.max("__total").alias("total"),
                    F.sum(F.col("flagged").cast("int")).alias("n_flag"),
                    F.max(F.when(F.col("flagged"), F.col("null_pct"))).alias("worst"))
@@ -186,9 +226,12 @@ def magnitude_profile(cur: DataFrame, hist: DataFrame, threshold: float = 0.50)
     aggs += [total(c, 1).alias(f"c{i}") for i, c in enumerate(cols)]
     aggs += [total(c, 0).alias(f"h{i}") for i, c in enumerate(cols)]
     both = tagged.agg(*aggs)
-    stack = "stack({}, {}) AS (column_name, current_total, previous_total)".format(
-        len(cols), ", ".join(f"'{c}', c{i}, h{i}" for i, c in enumerate(cols)))
-    long = both.selectExpr("c_n AS n_cur", "h_n AS n_hist", stack)
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("current_total"), F.col(f"h{i}").alias("previous_total"))
+                     for i, c in enumerate(cols)])
+    return _changes(both.select(F.col("c_n").alias("n_cur"), F.col("h_n").alias("n_hist"), F.inline(each)), t)
+
+
+def _changes(long: DataFrame, t: float) -> DataFrame:
     change = F.try_divide(F.abs(F.col("current_total") - F.col("previous_total")), F.abs(F.col("previous_total")))
     return (long.filter(F.col("previous_total") != 0)
             .select("column_name", round_half_up("current_total", 2).alias("current_total"),
@@ -201,9 +244,10 @@ def magnitude_check(cur: DataFrame, hist: DataFrame, threshold: float = 0.50) ->
     """V3: warning when any KPI's total moved more than ``threshold`` vs history
     (D18: message says "vs history"); pass when history or current is empty."""
     t = min(max(float(threshold), 0.0), 10.0)
-    prof = magnitude_profile(cur, hist, t)
-    n_cur = cur.agg(F.count(F.lit(1))).scalar()
-    n_hist = hist.agg(F.count(F.lit(1))).scalar()
+    return _magnitude_result(magnitude_profile(cur, hist, t), cur.agg(F.count(F.lit(1))).scalar(), hist.agg(F.count(F.lit(1))).scalar(), t)
+
+
+def _magnitude_result(prof: DataFrame, n_cur: Column, n_hist: Column, t: float) -> DataFrame:
     j = prof.filter("flagged").agg(
         F.count(F.lit(1)).alias("n_flag"),
         F.array_join(F.sort_array(F.collect_list("column_name")), ", ").alias("names"))
@@ -227,6 +271,32 @@ def validate(vf: DataFrame, fields: DataFrame, null_threshold: float = 0.10,
     return reduce(DataFrame.unionByName, parts)
 
 
+def validate_long(df: DataFrame, fields: DataFrame, null_threshold: float = 0.10, anomaly_threshold: float = 0.50,
+                  soften_schema: bool = False) -> DataFrame:
+    """V5 of a KPI frame with its KPI names as data: the rows that ``validate`` gives for its wide validation frame.
+
+    Each KPI's rows of the newest day, its totals then and before come from one
+    aggregate by name; an account-day of the newest day without the KPI is a
+    null of it.  Only extra columns, which the schema bounds, are handled as columns.
+    """
+    nt, at = min(max(float(null_threshold), 0.0), 1.0), min(max(float(anomaly_threshold), 0.0), 10.0)
+    sums, extras = validation_rows(df), validation_extras(df)
+    newest = extras.agg(F.max("report_date")).scalar()
+    cur, hist = extras.filter(F.col("report_date") == newest), extras.filter(F.col("report_date") < newest)
+    n_cur, n_hist = cur.agg(F.count(F.lit(1))).scalar(), hist.agg(F.count(F.lit(1))).scalar()
+    now, past = F.col("report_date") == newest, F.col("report_date") < newest
+    of = sums.groupBy("kpi_name").agg(
+        F.count(F.when(now, 1)).alias("present"), F.coalesce(F.sum(F.when(now, F.col("value"))), F.lit(0.0)).alias("current_total"),
+        F.coalesce(F.sum(F.when(past, F.col("value"))), F.lit(0.0)).alias("previous_total"))
+    nulls = of.select(n_cur.alias("__total"), F.col("kpi_name").alias("column_name"), (n_cur - F.col("present")).alias("null_count"))
+    nulls = null_profile(cur, nt).unionByName(_null_rates(nulls, nt))
+    retired = F.col("kpi_name").isin(*RETIRED_KPI_NAMES) | F.initcap(F.replace("kpi_name", F.lit("_"), F.lit(" "))).isin(*RETIRED_KPI_NAMES)
+    moved = of.filter(~retired).select(n_cur.alias("n_cur"), n_hist.alias("n_hist"), F.col("kpi_name").alias("column_name"), "current_total", "previous_total")
+    moved = magnitude_profile(cur, hist, at).unionByName(_changes(moved, at))
+    parts = [schema_check(extras, fields, soften_schema, of), _null_result(nulls, nt), _magnitude_result(moved, n_cur, n_hist, at)]
+    return reduce(DataFrame.unionByName, [p.withColumn("seq", F.lit(i + 1)) for i, p in enumerate(parts)])
+
+
 # ----------------------------------------------------------------- A12 / A13
 
 def _score() -> Column:

@@ -181,6 +181,43 @@ def tenant_scope(df: DataFrame, roles: DataFrame, user_id) -> DataFrame:
                     (F.col("user_id") == F.lit(user_id))).drop("__hit")
 
 
+def row_visibility(df: DataFrame, roles: DataFrame) -> DataFrame:
+    """J5 for every row and viewer at once: ``df`` with ``visible_to`` (how many viewers see the row) and ``viewers``.
+
+    ``viewers`` is an array of (bucket, bitmap): viewer v has bit
+    ``bitmap_bit_position(v)`` of bucket ``bitmap_bucket_number(v)``, where v is
+    the user id as a number.  A row is seen by admins, by the members of its
+    department and by its owner, so all rows of one (department, owner) share
+    their bitmaps: these are built by ``bitmap_construct_agg`` from the viewers
+    of departments, the admins and the owners, without a pair of row and viewer,
+    and joined to the rows.  ``sees`` tests one viewer.
+    """
+    kinds = df.select("department_id", "user_id").distinct()
+    admins = roles.filter(F.col("role") == "admin").select(F.col("user_id").alias("__v")).distinct()
+    members = roles.filter(F.col("department_id").isNotNull()).select("department_id", F.col("user_id").alias("__v")).distinct()
+    known = roles.select(F.col("user_id").alias("__v")).distinct()
+    by_department = kinds.join(members, "department_id").select("department_id", "user_id", "__v")
+    by_owner = kinds.join(known, kinds["user_id"] == known["__v"]).select("department_id", "user_id", "__v")
+    bit, bucket = F.bitmap_bit_position(F.col("__v").cast("bigint")), F.bitmap_bucket_number(F.col("__v").cast("bigint"))
+    own = by_department.unionByName(by_owner).groupBy("department_id", "user_id", bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+    every = admins.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))  # a row per 32,768 ids
+    everywhere = kinds.withColumn("__all", every.agg(F.collect_list(F.struct("bucket", "bitmap"))).scalar()).select(
+        "department_id", "user_id", F.inline("__all"))
+    both = own.unionByName(everywhere).groupBy("department_id", "user_id", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    seen = both.groupBy(F.col("department_id").alias("__d"), F.col("user_id").alias("__u")).agg(
+        F.sum(F.bitmap_count("bitmap")).alias("visible_to"), F.sort_array(F.collect_list(F.struct("bucket", "bitmap"))).alias("viewers"))
+    same = df["department_id"].eqNullSafe(seen["__d"]) & df["user_id"].eqNullSafe(seen["__u"])
+    return df.join(seen, same, "left").select(*[df[c] for c in df.columns], F.coalesce("visible_to", F.lit(0)).cast("bigint").alias("visible_to"), "viewers")
+
+
+def sees(viewers, user_id: int):
+    """Whether one viewer's bit is set in the ``viewers`` of ``row_visibility``."""
+    number, place = F.bitmap_bucket_number(F.lit(int(user_id)).cast("bigint")), F.bitmap_bit_position(F.lit(int(user_id)).cast("bigint"))
+    mine = F.filter(viewers, lambda x: x["bucket"] == number)
+    byte = F.conv(F.hex(F.substring(mine[0]["bitmap"], (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (F.size(mine) > 0) & (byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0)
+
+
 def visible_row_counts(df: DataFrame, roles: DataFrame) -> DataFrame:
     """J5 for every user at once: how many rows each user may see.
 

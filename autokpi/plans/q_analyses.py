@@ -184,6 +184,15 @@ def q_w7(spark, sf):
     return forecast.forecast_wide(forecast.forecast(fixture(spark, sf, "fx_frame")), EVENT_KPIS)
 
 
+@register("w7_forecast_maps", with_fixtures("""
+SELECT forecast_date AS date, kpi_name, round(yhat, 2) AS value, round(yhat - 1.2816 * sd, 2) AS lower, round(yhat + 1.2816 * sd, 2) AS upper
+FROM fc""", *F3_CTES))
+def q_w7_maps(spark, sf):
+    """W7 with a map of forecasts per date, unfolded."""
+    maps = forecast.forecast_maps(forecast.forecast(fixture(spark, sf, "fx_frame")))
+    return maps.select("date", F.explode("kpis").alias("kpi_name", "f")).select("date", "kpi_name", "f.value", "f.lower", "f.upper")
+
+
 @register("u2_history_and_forecast", with_fixtures("""
 SELECT date, kpi_name, round(value, 2) AS value, NULL::DOUBLE AS predicted_value, NULL::DOUBLE AS lower_bound,
        NULL::DOUBLE AS upper_bound, 'history' AS kind FROM d

@@ -413,6 +413,15 @@ def q_v7_events(spark, sf):
     return roles.withColumn("column_count", F.col("column_count").cast("int"))
 
 
+@register("v7_kpi_candidates_lineitem", " UNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{c}' AS column_name FROM lineitem HAVING count({c}) > 0 AND stddev_samp({c}) / nullif(avg({c}), 0) > 0.1"
+    for i, c in [(5, "l_quantity"), (6, "l_extendedprice"), (7, "l_discount"), (8, "l_tax")]))
+def q_v7_candidates(spark, sf):
+    """V7: the KPI candidates of lineitem (its keys and its line number are identifiers by name)."""
+    roles, _ = prepare.auto_model(table(spark, sf, "lineitem"))
+    return prepare.kpi_candidates(roles)
+
+
 @register("a18_run_suggestions_orders", """
 SELECT 1 AS ordinal, CAST(CAST(o_orderdate AS DATE) AS STRING) AS bucket, round(sum(o_totalprice), 2) AS total
 FROM orders GROUP BY 2

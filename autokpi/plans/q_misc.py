@@ -349,6 +349,32 @@ def q_p3(spark, sf):
     return hide_retired(kr)
 
 
+_REPORT_TEXT = """CASE WHEN o_orderkey % 7 = 0 THEN NULL
+  ELSE 'Order ' || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN ': Net Revenue is 190,000.' ELSE '' END ||
+       CASE WHEN o_orderkey % 3 = 0 THEN ' Inventory Value is 5.' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN ' Support Tickets is 150.' ELSE '' END END"""
+
+
+@register("p3_hide_retired_reports", f"""
+SELECT o_orderkey, narrative FROM (SELECT o_orderkey, {_REPORT_TEXT} AS narrative FROM orders)
+WHERE o_orderkey % 7 = 0 OR NOT (o_orderkey % 30 = 0)""")
+def q_p3_reports(spark, sf):
+    """Reports that hold all three marker phrases are hidden; others, and null texts, stay."""
+    from autokpi.operators.frame import hide_retired_reports
+    return hide_retired_reports(table(spark, sf, "orders").select("o_orderkey", F.expr(_REPORT_TEXT).alias("narrative")))
+
+
+_MESSAGE = """CASE o_orderkey % 5 WHEN 0 THEN 'NET_REVENUE moved by ' || CAST(o_totalprice AS STRING) WHEN 1 THEN 'Support tickets: none'
+  WHEN 2 THEN NULL WHEN 3 THEN 'Net revenues of inventory value' ELSE 'All fields present' END"""
+
+
+@register("p3_hide_retired_messages", f"""
+SELECT o_orderkey, message FROM (SELECT o_orderkey, {_MESSAGE} AS message FROM orders) WHERE o_orderkey % 5 IN (2, 4)""")
+def q_p3_messages(spark, sf):
+    """Messages that name a retired KPI, in either spelling and any case, are hidden."""
+    from autokpi.operators.frame import hide_retired_messages
+    return hide_retired_messages(table(spark, sf, "orders").select("o_orderkey", F.expr(_MESSAGE).alias("message")))
+
+
 @register("p5_json_safe_orders", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,
        o_orderpriority FROM orders""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from autokpi.functions.core import round_half_up
 from autokpi.operators import mapping, quality
 from autokpi.plans.fixtures import BASE_TABLES, fixture, table, with_fixtures
-from autokpi.plans.registry import register
+from autokpi.plans.registry import ORACLES, register
 from autokpi.sources import catalog
 
 EVENT_KPIS = ["click", "error", "purchase", "signup", "view"]
@@ -149,6 +149,25 @@ def q_v5(spark, sf):
     return quality.validate(vf, fields, 0.10, 0.50)
 
 
+@register("v5_validate_long", ORACLES["v5_validate"])
+def q_v5_long(spark, sf):
+    """V5 of the event frame with its KPI names as data (no column per KPI, no list of names)."""
+    fields = spark.createDataFrame([(1, "click", True), (2, "view", True), (3, "nope", False)],
+                                   "id int, global_field_name string, required boolean")
+    return quality.validate_long(fixture(spark, sf, "fx_frame"), fields, 0.10, 0.50)
+
+
+@register("a7_validation_maps", with_fixtures("""
+SELECT coalesce(CAST(report_date AS STRING), '') AS report_date, coalesce(customer_id, 'ACCOUNT-PRIMARY') AS customer_id, kpi_name,
+  round(sum(coalesce(value, 0.0)), 2) AS value
+FROM fx_frame WHERE kpi_name IS NOT NULL GROUP BY 1, 2, 3"""))
+def q_a7_maps(spark, sf):
+    """A7 with a map of KPI sums per account-day, unfolded."""
+    maps = quality.validation_maps(fixture(spark, sf, "fx_frame"))
+    out = maps.select("report_date", "customer_id", F.explode("kpis").alias("kpi_name", "value"))
+    return out.withColumn("value", round_half_up("value", 2))
+
+
 TOP_LOGS_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY department_id
   ORDER BY created_at DESC, id DESC) AS rn FROM fx_validation_logs)"""
 PER_TYPE_SQL = "SELECT department_id, check_type, arg_max(status, (created_at, id)) AS status FROM top GROUP BY 1, 2"
@@ -287,6 +306,17 @@ def q_v13(spark, sf):
     return mapping.kpi_mode(fixture(spark, sf, "fields_all"), fixture(spark, sf, "mappings_all"))
 
 
+@register("v13_kpi_mode_templates", with_fixtures("""
+SELECT CAST(t.r_regionkey AS INT) AS template_id, CASE WHEN count(f.id) = 0 THEN 'auto' WHEN count(m.id) > 0 THEN 'configured'
+  ELSE 'configured-unmapped' END AS mode, count(f.id) AS total_fields, count(m.id) AS mapped_fields
+FROM region t LEFT JOIN fields_all f ON f.template_id = t.r_regionkey LEFT JOIN (SELECT DISTINCT template_field_id AS id FROM mappings_all) m ON m.id = f.id
+GROUP BY 1"""))
+def q_v13_templates(spark, sf):
+    """V13 for given templates (one per region): those without fields are ``auto``."""
+    templates = table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("id"))
+    return mapping.kpi_mode(fixture(spark, sf, "fields_all"), fixture(spark, sf, "mappings_all"), templates)
+
+
 @register("p13_runtime_config", with_fixtures("""
 SELECT d.id AS department_id, d.name AS company_name,
   coalesce(TRY_CAST(json_extract_string(t.config, '$.validation_rules.null_threshold') AS DOUBLE), 0.10) AS null_threshold,

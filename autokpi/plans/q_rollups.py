@@ -180,6 +180,17 @@ def q_j5(spark, sf):
     return rollups.visible_row_counts(_kr(spark, sf), fixture(spark, sf, "fx_user_roles"))
 
 
+@register("j5_row_visibility", with_fixtures("""
+SELECT k.department_id, k.user_id, k.kpi_name, k.recorded_at,
+  (SELECT count(DISTINCT r.user_id) FROM fx_user_roles r WHERE r.role = 'admin' OR r.user_id = k.user_id OR r.department_id = k.department_id) AS visible_to,
+  k.user_id = 3 OR k.department_id IN (SELECT department_id FROM fx_user_roles WHERE user_id = 3 AND department_id IS NOT NULL) AS seen_by_3
+FROM fx_kpi_results k"""))
+def q_j5_rows(spark, sf):
+    """By how many viewers each KPI result is seen, and whether viewer 3 sees it."""
+    out = rollups.row_visibility(_kr(spark, sf), fixture(spark, sf, "fx_user_roles"))
+    return out.select("department_id", "user_id", "kpi_name", "recorded_at", "visible_to", rollups.sees(F.col("viewers"), 3).alias("seen_by_3"))
+
+
 LINEAGE_SQL = """SELECT CAST(n.n_regionkey AS INT) AS department_id, CAST(n.n_nationkey AS INT) AS user_id,
   o.o_orderpriority AS kpi_name, CAST(o.o_orderdate AS DATE) AS recorded_at, o.o_orderkey AS source_record_id,
   o.o_totalprice AS record_value

@@ -42,9 +42,8 @@ def sync(canonical: DataFrame, fields: DataFrame | None = None, mappings: DataFr
     mapped = canonical
     if mappings is not None:
         mapped = mapping.apply_mappings(canonical, mapping.mapping_rules(mappings, fields))
-    vf = quality.validation_frame(mapped)
     soften = fields.limit(1).count() == 0
-    validation = quality.validate(vf, fields, null_threshold, anomaly_threshold, soften_schema=soften)
+    validation = quality.validate_long(mapped, fields, null_threshold, anomaly_threshold, soften_schema=soften)
     metrics = kpi.kpi_metrics(canonical)
     kpis = quality.kpi_row_counts(canonical, metrics)
     if department_id is not None:
