@@ -47,6 +47,8 @@ doc_id has several texts, one of them is measured for all.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -202,9 +204,10 @@ def _measured(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def _prefixes(packed: DataFrame, threshold: float) -> DataFrame:
-    """(id, key, rest): each text's rarest shingles that weigh more than 1 - threshold of it.
+    """(id, key, rest, flat, flat_rest): each text's rarest shingles that weigh more than 1 - threshold of it.
 
-    ``rest`` is the share of the text's weight from that shingle on.
+    ``rest`` is the share of the text's weight from that shingle on; ``flat`` the number of its shingles and
+    ``flat_rest`` that from that one on, both null if it repeats one.
     """
     spark = packed.sparkSession
 
@@ -224,7 +227,7 @@ def _prefixes(packed: DataFrame, threshold: float) -> DataFrame:
     def rarest(batches):
         often = shipped.value
         for batch in batches:
-            ids, keys, rest = [], [], []
+            ids, keys, rest, flat, flat_rest = [], [], [], [], []
             for i, ha, ta in zip(*(c.to_pylist() for c in batch.columns)):
                 h, w = np.frombuffer(ha, dtype=np.uint64), 1.0 + np.log(np.frombuffer(ta, dtype=np.int32))
                 order = np.lexsort((h, often[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
@@ -233,11 +236,17 @@ def _prefixes(packed: DataFrame, threshold: float) -> DataFrame:
                 ids.append(np.full(near.sum(), i, dtype=np.int64))
                 keys.append(h[order[near]].view(np.int64))
                 rest.append(1 - before[near] / w.sum())
+                size = len(h) if w.max(initial=1.0) == 1.0 else -1
+                flat.append(np.full(near.sum(), size))
+                flat_rest.append(size - np.arange(near.sum()))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)),
-                                                  pa.array(np.concatenate(rest))], names=["id", "key", "rest"])
+                size = np.concatenate(flat)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(rest)),
+                     pa.array(size, mask=size < 0), pa.array(np.concatenate(flat_rest), mask=size < 0)],
+                    names=["id", "key", "rest", "flat", "flat_rest"])
 
-    return packed.select("id", "hashes", "times").mapInArrow(rarest, "id long, key long, rest double")
+    return packed.select("id", "hashes", "times").mapInArrow(rarest, "id long, key long, rest double, flat long, flat_rest long")
 
 
 def _outside_hub(near: DataFrame, packed: DataFrame) -> DataFrame:
@@ -361,9 +370,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id
     prefix = prefix.join(outside, "id", "left")
     may_reach = 1 / F.col("x.rest") + 1 / F.col("y.rest") <= 1 / threshold + 1 + 1e-9
     most = F.least("x.inside", "y.inside") + F.size(F.array_intersect("x.outside", "y.outside"))
+    few_left = F.least("x.flat_rest", "y.flat_rest") < threshold / (1 + threshold) * (F.col("x.flat") + F.col("y.flat")) - 1e-6
     too_few = (F.col("x.hub") == F.col("y.hub")) & (most < threshold / (1 + threshold) * (F.col("x.total") + F.col("y.total")) - 1e-6)
     add(pairs_with(prefix.withColumnRenamed("id", "b"), prefix, (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.b"))
-                   & may_reach & ~F.coalesce(too_few, F.lit(False))))
+                   & may_reach & ~F.coalesce(few_left, F.lit(False)) & ~F.coalesce(too_few, F.lit(False))))
     link_count = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(
         F.count(F.lit(1)).alias("links"))
     classes = (first.join(final, first.rep == final.id, "left").drop("id").join(link_count, "rep", "left")
@@ -378,9 +388,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id:
                          text: str = "text") -> DataFrame:
     """``docs`` with one row for each class, all columns kept; null ids stay."""
     classes = near_duplicate_classes(docs, threshold, doc_id, text)
-    keep = (classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("__keep"))
-            .agg(F.count(F.lit(1)).alias("__rows")))
-    kept = docs.join(keep, docs[doc_id].cast("long") == F.col("__keep"), "inner")
-    once = kept.where("__rows = 1").select(*[docs[c] for c in docs.columns])
-    again = kept.where("__rows > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([doc_id])
+    name = uuid.uuid4().hex  # no column of the table is called like it
+    keep = (classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias(f"id_{name}"))
+            .agg(F.count(F.lit(1)).alias(f"rows_{name}")))
+    kept = docs.join(keep, docs[doc_id].cast("long") == F.col(f"id_{name}"), "inner")
+    once = kept.where(f"rows_{name} = 1").select(*[docs[c] for c in docs.columns])
+    again = kept.where(f"rows_{name} > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([doc_id])
     return once.unionAll(again).unionAll(docs.where(F.col(doc_id).isNull()))
