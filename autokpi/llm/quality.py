@@ -8,7 +8,7 @@
    bad documents, and so the posterior of every pattern.  No given label is used.
 3. A logistic scorer over ``DIMS`` hashed features (character-class trigrams,
    words, and coarse steps of the same rates) learns the posteriors.  It is
-   fitted on the driver on a bounded sample, the ``SAMPLE`` documents of
+   fitted in one task on a bounded sample, the ``SAMPLE`` documents of
    smallest id hash; patterns, posteriors and scores cover all documents.
 
 A document is rejected when the scorer's probability of good is under
@@ -203,10 +203,15 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
                     [batch.column(0)[p.rows], pa.array(code, pa.int64()),
                      pa.array([row.astype(np.float16).tobytes() for row in x], pa.binary())], names=["h", "code", "x"])
 
-    rows = pick.mapInArrow(featurise, "h long, code long, x binary").orderBy("h", "code").limit(sample).toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float16).reshape(-1, DIMS).astype(np.float32)
-    y = np.array([posterior[c] for c in rows.column("code").to_pylist()])
-    return posterior, fit_scorer(x, y) if len(y) else np.zeros(DIMS + 1)
+    def learn(batches):
+        rows = [(x, c) for batch in batches for x, c in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())]
+        x = np.frombuffer(b"".join(x for x, _ in rows), dtype=np.float16).reshape(-1, DIMS).astype(np.float32)
+        w = fit_scorer(x, np.array([posterior[c] for _, c in rows])) if rows else np.zeros(DIMS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["w"])
+
+    rows = pick.mapInArrow(featurise, "h long, code long, x binary").orderBy("h", "code").limit(sample).select("code", "x")
+    learned = rows.coalesce(1).mapInArrow(learn, "w binary").first()
+    return posterior, np.frombuffer(learned.w, dtype="<f8") if learned is not None else np.zeros(DIMS + 1)
 
 
 def _score(p: grams.Piece, w: np.ndarray, rate: np.ndarray) -> np.ndarray:
