@@ -41,11 +41,15 @@ LABELLERS = [
     ("stutter", "repeat", 0.15, 0.03, 1, 12),
     ("variety", "distinct", 0.18, 0.40, -1, 30),
     ("function_words", "short", 0.08, 0.20, -1, 20),
+    ("mark_runs", "runs", 0.10, 0.02, 1, 1),
+    ("lone_marks", "lone", 0.10, 0.01, 1, 1),
 ]
-#: Prior of the labellers: a bad vote on a good document is this rare, on a bad one this common, and the
-#: prior counts ``TRUST`` times as much as the documents do.
-FALSE_ALARM, TRUE_ALARM, TRUST = 0.0005, 0.15, 3.0
-RATES = ["upper", "bang", "symbol", "bar", "repeat", "distinct", "short"]
+#: Labellers that know Latin script alone; they abstain where most letters are of another.
+LATIN_ONLY = {"function_words"}
+#: Prior of the labellers: a bad vote on a good document is this rare, on a bad one this common; the prior
+#: counts as much as this many documents, whatever the corpus.
+FALSE_ALARM, TRUE_ALARM, TRUST = 0.0005, 0.15, 25.0
+RATES = ["upper", "bang", "symbol", "bar", "repeat", "distinct", "short", "foreign", "runs", "lone"]
 
 #: character classes: 0 control, 1 space, 2 newline, 3 lower, 4 upper, 5 digit, 6 stop, 7 bang, 8 bar, 9 symbol, 10 other
 _CLASS = np.full(256, 9, dtype=np.int64)
@@ -79,21 +83,32 @@ def rates(p: grams.Piece) -> np.ndarray:
     new = np.ones(len(w), dtype=bool)
     new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
     distinct = np.bincount(d[new], minlength=p.docs)
-    short = np.bincount(p.doc[p.end - p.begin <= 3], minlength=p.docs)
+    chars = np.concatenate(([0], np.cumsum((p.raw & 0xC0) != 0x80)))
+    short = np.bincount(p.doc[chars[p.end] - chars[p.begin] <= 3], minlength=p.docs)
+    doubled = np.zeros(len(p.raw), dtype=bool)
+    doubled[1:] = (p.raw[1:] == p.raw[:-1]) & (cls[1:] >= 7) & (cls[1:] <= 9)
+    runs = _per_row(doubled, p.bounds)
+    space = np.concatenate(([True], cls <= 2, [True]))
+    lone = _per_row((cls >= 7) & (cls <= 9) & space[:-2] & space[2:], p.bounds)
+    foreign = _per_row(p.raw >= 0xCD, p.bounds)  # first bytes of letters beyond the Latin blocks
+    latin = _per_row((cls == 3) | (cls == 4) | ((p.raw >= 0xC3) & (p.raw < 0xCD)), p.bounds)
     return np.column_stack([
         _per_row(cls == 4, p.bounds) / letters, _per_row(cls == 7, p.bounds) / marks,
         _per_row(cls == 9, p.bounds) / marks, _per_row(cls == 8, p.bounds) / marks,
         np.bincount(p.doc[same], minlength=p.docs) / words,
-        np.where(words >= 30, distinct / np.minimum(words, 400), 1.0), short / words])
+        np.where(words >= 30, distinct / np.minimum(words, 400), 1.0), short / words,
+        foreign / np.maximum(foreign + latin, 1), runs / words, lone / words])
 
 
 def votes(rate: np.ndarray, words: np.ndarray) -> np.ndarray:
     """(rows, labellers) votes; every labeller says bad for a row without words."""
+    foreign = rate[:, RATES.index("foreign")] > 0.5
     out = np.zeros((len(rate), len(LABELLERS)), dtype=np.int64)
-    for i, (_, name, bad, good, sign, fewest) in enumerate(LABELLERS):
+    for i, (labeller, name, bad, good, sign, fewest) in enumerate(LABELLERS):
         x = rate[:, RATES.index(name)]
         within = sign * x <= sign * good
-        out[:, i] = np.where(words < fewest, 0, np.where(sign * x > sign * bad, -1, within.astype(np.int64)))
+        silent = (words < fewest) | (foreign if labeller in LATIN_ONLY else False)
+        out[:, i] = np.where(silent, 0, np.where(sign * x > sign * bad, -1, within.astype(np.int64)))
     out[words == 0] = -1
     return out
 
@@ -114,7 +129,7 @@ def features(p: grams.Piece, rate: np.ndarray) -> np.ndarray:
         got = np.bincount(p.doc * _WORD_SLOTS + slot, minlength=p.docs * _WORD_SLOTS).reshape(p.docs, _WORD_SLOTS)
         out[:, _TRI_SLOTS:_TRI_SLOTS + _WORD_SLOTS] = np.sqrt(got / np.maximum(got.sum(axis=1, keepdims=True), 1))
     step = np.minimum((np.sqrt(np.clip(rate, 0, 1)) * 16).astype(np.int64), 15)
-    for i in range(rate.shape[1]):
+    for i in range((DIMS - _TRI_SLOTS - _WORD_SLOTS) // 16 - 1):
         out[np.arange(p.docs), _TRI_SLOTS + _WORD_SLOTS + i * 16 + step[:, i]] = 1.0
     out[:, -1] = p.counts() == 0
     return out
@@ -152,10 +167,9 @@ def fit_labellers(code: np.ndarray, n: np.ndarray, rounds: int = 200) -> dict[in
         prior = np.clip((n * post).sum() / n.sum(), 1e-3, 1 - 1e-3)
         logs = []
         for weight, p, alarm in ((n * post, prior, FALSE_ALARM), (n * (1 - post), 1 - prior, TRUE_ALARM)):
-            trust = TRUST * weight.sum() + 1.0
             like = np.full(len(v), np.log(p))
             for vote in v.T:
-                rate = (weight[vote == -1].sum() + trust * alarm) / (weight[vote != 0].sum() + trust)
+                rate = (weight[vote == -1].sum() + TRUST * alarm) / (weight[vote != 0].sum() + TRUST)
                 like += np.log(np.where(vote == -1, rate, np.where(vote == 1, 1 - rate, 1.0)))
             logs.append(like)
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -60, 60)))

@@ -74,16 +74,23 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _license_oracle() -> str:
     quote = lambda x: x.replace("'", "''")
 
+    stated = (r"(?m)^[ \t]*((copyright|copr\.?|\(c\)|©)[ \t]*[:,]?[ \t]*(\(c\)|©|[12][0-9]{3}|[\[<{(]?(yyyy|year)|by[ \t]|copyright)[^\n]*"
+              r"|all rights reserved\.?[ \t]*)$")
+    same = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("&", " and "), ("http://", "https://"),
+            ("favour", "favor"), ("judgement", "judgment"), ("fulfil ", "fulfill ")]
+
     def lined(expr: str) -> str:
-        out = f"regexp_replace(lower({expr}), '(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
-        for old, new in license_scan.SAME:
+        out = f"regexp_replace(lower({expr}), '{stated}', '', 'g')"
+        for old, new in same:
             out = f"replace({out}, '{old}', '{new}')"
         return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
     whole = "trim(regexp_replace(t, '[ \\n]+', ' ', 'g'))"
     known = ", ".join(f"('{a}', '{quote(b)}')" for a, b in license_scan.KNOWN)
+    digests = ", ".join(f"('{a}', '{b}')" for a, b in license_scan.KNOWN_DIGESTS)
     return f"""
-WITH known AS (SELECT DISTINCT license, sha256({whole}) AS digest FROM (SELECT license, {lined('txt')} AS t FROM (VALUES {known}) v(license, txt))),
+WITH known AS (SELECT DISTINCT license, sha256({whole}) AS digest FROM (SELECT license, {lined('txt')} AS t FROM (VALUES {known}) v(license, txt))
+  UNION SELECT * FROM (VALUES {digests}) w(license, digest)),
 c AS (SELECT doc_id, {lined('text')} AS t FROM documents),
 u AS (SELECT doc_id, 'text' AS scope, {whole} AS x FROM c
       UNION ALL SELECT doc_id, 'line', trim(x) FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM c)),

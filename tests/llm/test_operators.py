@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import textwrap
 import uuid
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +143,42 @@ def test_licenses_match_entire_units_only(spark):
     assert got == {0: ("MIT", None), 1: (None, "MIT"), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None)}
 
 
+def wrapped(text, width):
+    """A text with its paragraphs wrapped anew; lines that state a copyright stay lines."""
+    out, held = [], []
+
+    def flush():
+        if held:
+            out.append(textwrap.fill(" ".join(held), width, break_long_words=False, break_on_hyphens=False) if width else " ".join(held))
+            held.clear()
+
+    for line in text.split("\n"):
+        if not line.strip() or re.match(r"\s*(copyright\s*(\(c\)|\d|\[)|\(c\)|©)", line, re.I):
+            flush()
+            out.append(line)
+        else:
+            held.append(line.strip())
+    flush()
+    return "\n".join(out)
+
+
+LICENCE_FILES = {"Apache-2.0": "Apache-2.0", "Artistic-1.0": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+                 "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3",
+                 "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_every_known_licence_in_three_wrappings(spark):
+    texts = [(name, text) for name, text in license_scan.KNOWN]
+    folder = Path("/usr/share/common-licenses")
+    files = {n: folder / f for n, f in LICENCE_FILES.items() if (folder / f).exists()}
+    assert set(LICENCE_FILES) == {n for n, _ in license_scan.KNOWN_DIGESTS}
+    texts += [(name, path.read_text(encoding="utf-8")) for name, path in files.items()]
+    cases = [(name, head + wrapped(text, width)) for name, text in texts for width in (None, 40, 72)
+             for head in ("", "Copyright (c) 2021, Some Holder\nAll rights reserved.\n\n")]
+    got = {r.doc_id: r.license for r in license_scan.scan(docs_of(spark, [t for _, t in cases]), license_scan.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(cases))] == [n for n, _ in cases]
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(2)
     pool = [" ".join(words(rng, 40)) for _ in range(12)]
@@ -295,3 +333,42 @@ def test_url_rules_equal_brute_force(spark):
         want = max(fit, default=(0, 0, None, "allow"))
         assert got[i] == (host, path, want[2], want[3]), u
     assert {r.verdict for r in url_rules.judge(pages, url_rules.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
+
+
+def test_clean_texts_in_other_scripts_are_kept(spark):
+    rng = random.Random(12)
+    script = lambda low, high, n: " ".join("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(1, 8))) for _ in range(n))
+    english = [" ".join(w if rng.random() < .6 else rng.choice(["of", "the", "a", "is"]) for w in words(rng, 80)) for _ in range(270)]
+    others = [script(*r, 60) for r in ((0x627, 0x64A), (0x5D0, 0x5EA), (0x905, 0x939), (0x430, 0x44F)) for _ in range(30)]
+    bad = ["!! ".join(words(rng, 60)).upper() for _ in range(30)] + [" ".join(w + "###" for w in words(rng, 60)) for _ in range(30)]
+    keep = {r.doc_id: r.keep for r in quality.quality_scores(docs_of(spark, english + others + bad)).collect()}
+    assert all(keep[i] for i in range(390)) and not any(keep[i] for i in range(390, 450))
+
+
+def test_em_learns_that_a_labeller_is_wrong():
+    """Three labellers agree on one document in five; a fourth calls documents bad at random."""
+    rng = np.random.default_rng(3)
+    bad = rng.random(20000) < 0.2
+    v = np.ones((20000, len(quality.LABELLERS)), dtype=np.int64)
+    for k in range(3):
+        v[:, k] = np.where(bad, np.where(rng.random(20000) < 0.8, -1, 1), np.where(rng.random(20000) < 0.01, -1, 1))
+    v[:, 3] = np.where(rng.random(20000) < 0.3, -1, 1)
+    v[:, 4:] = 0
+    code, inverse, n = np.unique(((v + 1) * 3 ** np.arange(v.shape[1])).sum(axis=1), return_inverse=True, return_counts=True)
+    post = quality.fit_labellers(code, n.astype(float))
+    good = np.array([post[c] for c in code.tolist()])[inverse] >= 0.5
+    assert (good == ~bad).mean() > 0.97  # 0.979 is the most that three such labellers allow
+    wrong_alone = (v[:, 3] == -1) & (v[:, :3] == 1).all(axis=1)
+    assert good[wrong_alone].mean() > 0.99
+
+
+def test_quality_of_repeated_rows_null_ids_and_long_texts(spark):
+    rng = random.Random(4)
+    base = [" ".join(words(rng, 50) + ["of", "the", "a"] * 10) for _ in range(40)] + ["#### ".join(words(rng, 40)) for _ in range(10)]
+    long = " ".join(rng.choice(["of", "the", "a"] + words(rng, 3)) for _ in range(60000))
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(base)] + [(None, base[0], "en", "s", None), (3, base[3], "en", "s", None), (900, long, "en", "s", None)]
+    got = quality.quality_scores(spark.createDataFrame(rows, DOCS)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.words, r.score, r.keep))
+    assert len(got) == 53 and len(by[3]) == 1 and by[None] == by[0] and {k for *_, k in by[900]} == {True}
