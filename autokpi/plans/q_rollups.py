@@ -191,6 +191,13 @@ def q_j5_rows(spark, sf):
     return out.select("department_id", "user_id", "kpi_name", "recorded_at", "visible_to", rollups.sees(F.col("viewers"), 3).alias("seen_by_3"))
 
 
+@register("j5_tenant_scope", with_fixtures("""
+SELECT * FROM fx_kpi_results WHERE user_id = 3 OR department_id IN (SELECT department_id FROM fx_user_roles WHERE user_id = 3 AND department_id IS NOT NULL)"""))
+def q_j5_scope(spark, sf):
+    """J5 for one viewer (user 3, no admin): rows of their department and their own."""
+    return rollups.tenant_scope(_kr(spark, sf), fixture(spark, sf, "fx_user_roles"), 3)
+
+
 LINEAGE_SQL = """SELECT CAST(n.n_regionkey AS INT) AS department_id, CAST(n.n_nationkey AS INT) AS user_id,
   o.o_orderpriority AS kpi_name, CAST(o.o_orderdate AS DATE) AS recorded_at, o.o_orderkey AS source_record_id,
   o.o_totalprice AS record_value

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autokpi.functions.core import round_half_up
@@ -11,6 +14,7 @@ from autokpi.plans import q_analyses  # noqa: F401 -- its oracles
 from autokpi.plans.fixtures import FAULTY_SQL, fixture, table, with_fixtures
 from autokpi.plans.q_core import DAILY_EVENTS, W2_SELECT, w1_parts
 from autokpi.plans.registry import ORACLES, register
+from autokpi.session import ensure_checkpoint_dir
 from autokpi.sinks import tables as sinks
 from autokpi.sources import readers
 
@@ -105,6 +109,50 @@ def q_l1(spark, sf):
     return out["kpis"]
 
 
+_STORED = """SELECT CASE WHEN user_id % 4 = 0 THEN NULL ELSE department_id END AS department_id, user_id, kpi_name, recorded_at, value, status
+FROM fx_kpi_results"""
+
+
+def _stored(spark, sf, name: str) -> tuple[str, DataFrame]:
+    """A new folder beside the checkpoints, and KPI results of which some have no department."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows = fixture(spark, sf, "fx_kpi_results").select(
+        F.when(F.col("user_id") % 4 != 0, F.col("department_id")).alias("department_id"), "user_id", "kpi_name", "recorded_at", "value", "status")
+    return folder, rows
+
+
+@register("k1_append_stored", with_fixtures("SELECT * FROM r", ("r", _STORED)))
+def q_k1(spark, sf):
+    """K1: two batches appended to a partitioned table and read back (some rows have no department)."""
+    path, rows = _stored(spark, sf, "k1")
+    sinks.append(rows.filter("status = 'NORMAL'"), path, "department_id")
+    sinks.append(rows.filter("status <> 'NORMAL'"), path, "department_id")
+    return spark.read.parquet(path).select(rows.columns)
+
+
+@register("k2_upsert_stored", with_fixtures("""
+SELECT department_id, user_id, kpi_name, recorded_at, CASE WHEN user_id % 3 = 0 AND (department_id IS NULL OR department_id = 2) THEN value * 2 ELSE value END AS value,
+  CASE WHEN user_id % 3 = 0 AND (department_id IS NULL OR department_id = 2) THEN 'CHANGED' ELSE status END AS status FROM r""", ("r", _STORED)))
+def q_k2_stored(spark, sf):
+    """K2 on a stored table: changed rows of the department 2 and of none; the other rows of both partitions stay."""
+    path, rows = _stored(spark, sf, "k2")
+    sinks.append(rows, path, "department_id")
+    changes = rows.filter("user_id % 3 = 0 and (department_id is null or department_id = 2)")
+    changes = changes.withColumn("value", F.col("value") * 2).withColumn("status", F.lit("CHANGED"))
+    sinks.upsert(spark, path, changes, ["department_id", "user_id", "kpi_name", "recorded_at"], "recorded_at", "department_id")
+    return spark.read.parquet(path).select(rows.columns)
+
+
+@register("k3_purge_stored", with_fixtures("""
+SELECT * FROM r WHERE NOT coalesce(department_id = 1 OR (department_id IS NULL AND status = 'CRITICAL'), false)""", ("r", _STORED)))
+def q_k3_stored(spark, sf):
+    """K3 on a stored table: a whole department and some rows without one go; other partitions are not rewritten."""
+    path, rows = _stored(spark, sf, "k3")
+    sinks.append(rows, path, "department_id")
+    sinks.purge(spark, path, F.expr("department_id = 1 or (department_id is null and status = 'CRITICAL')"), "department_id")
+    return spark.read.parquet(path).select(rows.columns)
+
+
 def _a1(tab: str, amt: str, dt: str, label: str) -> str:
     return (f"SELECT CAST(CAST({dt} AS DATE) AS TIMESTAMP) AS date, '{label}' AS kpi_name, round(sum({amt}), 2) AS value "
             f"FROM {tab} WHERE {dt} > (SELECT max({dt}) FROM {tab}) - INTERVAL 30 DAY GROUP BY CAST({dt} AS DATE)")
