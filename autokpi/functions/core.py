@@ -88,4 +88,4 @@ def quoted(name: str) -> Column:
 def event_time(df, name: str) -> Column:
     """The time in a column: dates and timestamps as they are, text parsed, unparsable text null."""
     kind = df.schema[name].dataType
-    return quoted(name).try_cast("timestamp") if isinstance(kind, StringType) else quoted(name)
+    return quoted(name).try_cast("timestamp_ntz") if isinstance(kind, StringType) else quoted(name)

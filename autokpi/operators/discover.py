@@ -258,7 +258,7 @@ def read_columns(df: DataFrame, spec: dict) -> list[str]:
 def unparsable(df: DataFrame, amount: str | None, date: str | None) -> list[tuple[str, Column]]:
     """(column, condition) for the text columns among them: a value that is neither null nor readable."""
     out = []
-    for name, kind in ((amount, "double"), (date, "timestamp")):
+    for name, kind in ((amount, "double"), (date, "timestamp_ntz")):
         if name and isinstance(df.schema[name].dataType, T.StringType):
             out.append((name, quoted(name).isNotNull() & quoted(name).try_cast(kind).isNull()))
     return out

@@ -120,7 +120,7 @@ def q_p11(spark, sf):
 _W1E_CTES, _W1E_FINAL = w1_parts("d", True)
 
 
-@register("p12_explain_kpi_events", with_fixtures(f"""
+EXPLAIN_SQL = f"""
 SELECT kpi_name, {_py_title('kpi_name')} || ' is currently ' || format('{{:,.2f}}', round(value, 2)) || ', ' ||
   CASE WHEN dod_pct > 0 THEN 'increased' ELSE 'decreased' END || ' ' || printf('%.1f', round(abs(dod_pct), 1)) ||
   '% day-over-day and ' || CASE WHEN wow_pct > 0 THEN 'up' ELSE 'down' END || ' ' ||
@@ -128,7 +128,10 @@ SELECT kpi_name, {_py_title('kpi_name')} || ' is currently ' || format('{{:,.2f}
   CASE status WHEN 'CRITICAL' THEN 'This requires immediate attention.'
               WHEN 'WARNING' THEN 'This warrants close monitoring.' ELSE 'Performance is within normal parameters.' END
   AS explanation
-FROM metrics""", ("d", DAILY_EVENTS), *_W1E_CTES, ("metrics", _W1E_FINAL)))
+FROM metrics"""
+
+
+@register("p12_explain_kpi_events", with_fixtures(EXPLAIN_SQL, ("d", DAILY_EVENTS), *_W1E_CTES, ("metrics", _W1E_FINAL)))
 def q_p12_kpi(spark, sf):
     """One-line explanation of each event type's latest movement."""
     return report.explain_kpi(kpi.kpi_metrics(fixture(spark, sf, "fx_frame"))).select("kpi_name", "explanation")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from autokpi.functions.core import round_half_up
 
 from autokpi.plans import sync
-from autokpi.plans import q_analyses  # noqa: F401 -- its oracles
+from autokpi.plans import q_analyses, q_discover, q_misc, q_quality  # noqa: F401 -- their oracles
 from autokpi.plans.fixtures import FAULTY_SQL, fixture, table, with_fixtures
 from autokpi.plans.q_core import DAILY_EVENTS, W2_SELECT, w1_parts
 from autokpi.plans.registry import ORACLES, register
@@ -249,13 +249,38 @@ _L4_CTES, _L4_FINAL = w1_parts("d", True)
 
 
 @register("l4_analyst_explanations", with_fixtures("""
-SELECT kpi_name, z_score FROM metrics ORDER BY z_score DESC, kpi_name LIMIT 3""",
-    ("d", DAILY_EVENTS), *_L4_CTES, ("metrics", _L4_FINAL)))
+SELECT m.kpi_name, m.z_score, e.explanation FROM (SELECT kpi_name, z_score FROM metrics ORDER BY z_score DESC, kpi_name LIMIT 3) m
+JOIN (""" + q_misc.EXPLAIN_SQL + """) e USING (kpi_name)""", ("d", DAILY_EVENTS), *_L4_CTES, ("metrics", _L4_FINAL)))
 def q_l4(spark, sf):
     """L4: the analyst run's top-3 explained KPIs of the event frame."""
     frame = fixture(spark, sf, "fx_frame")
     out = sync.analyst(frame, fixture(spark, sf, "fx_validation_logs"), 4, True, "2024-02-03")
-    return out["explanations"].select("kpi_name", "z_score")
+    return out["explanations"].select("kpi_name", "z_score", "explanation")
+
+
+@register("l4_analyst_insights", ORACLES["f8_insights_events"])
+def q_l4_insights(spark, sf):
+    """L4: the analyst run's insights of the event frame (as of 2024-02-12)."""
+    out = sync.analyst(fixture(spark, sf, "fx_frame"), fixture(spark, sf, "fx_validation_logs"), 4, True, "2024-02-12 00:00:00")
+    return out["insights"]
+
+
+def _dirty_analyst(spark, sf):
+    logs = fixture(spark, sf, "fx_validation_logs")
+    days = F.datediff(F.lit("2024-02-03").cast("date"), logs.agg(F.max(F.to_date("created_at"))).scalar())
+    return sync.analyst(fixture(spark, sf, "fx_dirty"), logs, days, True, "2024-02-03", account="category")
+
+
+@register("l4_analyst_actions", ORACLES["v6_prepare_actions"])
+def q_l4_actions(spark, sf):
+    """L4: what the analyst run does to prepare the dirty frame."""
+    return _dirty_analyst(spark, sf)["actions"]
+
+
+@register("l4_analyst_governance", ORACLES["f9_governance_dirty"])
+def q_l4_governance(spark, sf):
+    """L4: the analyst run's governance score of the dirty frame."""
+    return _dirty_analyst(spark, sf)["governance"]
 
 
 @register("l2_overview_kpis", """
