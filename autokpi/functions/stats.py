@@ -74,7 +74,7 @@ def _of(alias: str):
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """Per ``keys``: the exact median of non-null ``value`` (mean of the two middle values for an even count)."""
     q = exact_quantiles(df, keys, value, [0.5], out)
-    return q.select(*keys, F.col(out)[0].alias(out))
+    return q.select(*keys, F.get(F.col(out), 0).alias(out))
 
 
 def mode_by(df: DataFrame, keys: list[str], value: str, out: str = "mode") -> DataFrame:

@@ -214,7 +214,7 @@ def sees(viewers, user_id: int):
     """Whether one viewer's bit is set in the ``viewers`` of ``row_visibility``."""
     number, place = F.bitmap_bucket_number(F.lit(int(user_id)).cast("bigint")), F.bitmap_bit_position(F.lit(int(user_id)).cast("bigint"))
     mine = F.filter(viewers, lambda x: x["bucket"] == number)
-    byte = F.conv(F.hex(F.substring(mine[0]["bitmap"], (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.get(mine, 0)["bitmap"], (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return (F.size(mine) > 0) & (byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0)
 
 
