@@ -14,8 +14,9 @@ that is itself in the vocabulary is its one token, as in that encoder.
 
 Nothing is shuffled: tokens depend on the pieces alone.  The vocabulary, read
 on the driver from a path that is a parameter, is broadcast; its file must not
-exceed ``VOCABULARY_BYTES``.  A task holds one block and the tokens of up to
-``KNOWN_PIECES`` pieces seen before, forgotten all at once when they are more.
+exceed ``VOCABULARY_BYTES``.  A task holds one block and two generations of
+about ``KNOWN_PIECES`` pieces seen before; the older one is forgotten when the
+newer is full, but for the pieces that came again.
 
 Defined cases: a null or empty text has no tokens; bytes that are no UTF-8 are
 replaced by U+FFFD before encoding; repeated rows give repeated results; an
@@ -40,7 +41,7 @@ from autokpi.llm.frames import python_tasks
 #: Fixed value: the public pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_BYTES = 4 << 20
-KNOWN_PIECES = 1 << 19
+KNOWN_PIECES = 1 << 18
 VOCABULARY_BYTES = 64 << 20
 
 
@@ -65,34 +66,36 @@ class MergeReplay:
         for token, rank in ranks.items():
             self.text[rank] = token
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.shift = max(ranks.values()).bit_length()
         #: What two tokens side by side make: every split of every token into two tokens.
         self.made = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    self.made[a << 32 | b] = rank
+                    self.made[a << self.shift | b] = rank
         self.first = np.full((256, 256), -1, dtype=np.int64)
         for a in range(256):
             for b in range(256):
-                self.first[a, b] = self.made.get(int(self.single[a]) << 32 | int(self.single[b]), -1)
+                self.first[a, b] = self.made.get(int(self.single[a]) << self.shift | int(self.single[b]), -1)
 
-    def index(self, flat: np.ndarray, starts: np.ndarray) -> dict[int, list[int]]:
-        """{rank: places} of the pairs of single bytes, none across two pieces."""
-        rank = self.first[flat[:-1], flat[1:]]
-        rank[starts[1:-1] - 1] = -1
+    def index(self, flat: np.ndarray, starts: np.ndarray) -> tuple[list[int], dict[int, list[int]]]:
+        """What the pair of single bytes at each place makes (-1: nothing, or across two pieces), and {rank: places}."""
+        rank = np.append(self.first[flat[:-1], flat[1:]], -1)
+        rank[starts[1:] - 1] = -1
         at = np.flatnonzero(rank >= 0)
         at = at[np.argsort(rank[at], kind="stable")]
         heads = np.flatnonzero(np.diff(rank[at], prepend=-1))
-        return dict(zip(rank[at[heads]].tolist(), [part.tolist() for part in np.split(at, heads[1:])] if len(at) else []))
+        parts = [part.tolist() for part in np.split(at, heads[1:])] if len(at) else []
+        return rank.tolist(), dict(zip(rank[at[heads]].tolist(), parts))
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The token ids of each non-empty piece as packed little-endian unsigned 32-bit integers."""
-        made = self.made.get
+        made, shift = self.made.get, self.shift
         flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         starts = np.zeros(len(pieces) + 1, dtype=np.int64)
         np.cumsum([len(p) for p in pieces], out=starts[1:])
-        places = self.index(flat, starts)
+        makes, places = self.index(flat, starts)  # makes: the rank of the pair that starts at a place, or -1
         token = self.single[flat].tolist()
         step = np.arange(len(flat))
         before, after = step - 1, step + 1
@@ -106,21 +109,24 @@ class MergeReplay:
             at = places.pop(rank)
             at.sort()
             held_to, held = -1, []
+            high = rank << shift
             for i in at:
                 if i < held_to:
                     held.append(i)
                     continue
-                j = right[i]
-                if j < 0 or made(token[i] << 32 | token[j]) != rank:  # merged meanwhile
+                if makes[i] != rank:  # merged meanwhile
                     continue
-                token[i], token[j] = rank, -1
+                j = right[i]
                 k = right[i] = right[j]
-                right[j] = -1
+                token[i], token[j], makes[j] = rank, -1, -1
                 lowest = rank
                 if k >= 0:
                     left[k] = i
-                    r = made(rank << 32 | token[k])
-                    if r is not None:
+                    r = made(high | token[k])
+                    if r is None:
+                        makes[i] = -1
+                    else:
+                        makes[i] = r
                         if r in places:
                             places[r].append(i)
                         else:
@@ -128,10 +134,15 @@ class MergeReplay:
                             push(ranks, r)
                         if r < lowest:
                             lowest = r
+                else:
+                    makes[i] = -1
                 h = left[i]
                 if h >= 0:
-                    r = made(token[h] << 32 | rank)
-                    if r is not None:
+                    r = made(token[h] << shift | rank)
+                    if r is None:
+                        makes[h] = -1
+                    else:
+                        makes[h] = r
                         if r in places:
                             places[r].append(h)
                         else:
@@ -185,6 +196,7 @@ class Coder:
         self.merges = MergeReplay(ranks)
         self.ranks = ranks
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """The text's pieces; characters that the libraries class differently are split as the vocabulary's own does."""
@@ -193,12 +205,16 @@ class Coder:
         return [text[m.start():m.end()] for m in self.pattern.finditer(text.translate(self.differences))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > KNOWN_PIECES:  # pieces of the last generation that come again move to the new one
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         split = [self.split(t) for t in texts]
         new, raw = [], []
         for piece in {p for pieces in split for p in pieces if p not in known}:
+            ids = older.get(piece)
+            if ids is not None:
+                known[piece] = ids
+                continue
             data = piece.encode()
             rank = self.ranks.get(data)
             if rank is not None:
@@ -210,6 +226,7 @@ class Coder:
             known.update(zip(new, self.merges.replay(raw)))
         return [b"".join([known[p] for p in pieces]) for pieces in split]
 
+
 #: The running vocabulary's coder and the pieces it has seen, kept by a worker from task to task.
 _coders: dict[str, Coder] = {}
 
