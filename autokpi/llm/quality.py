@@ -230,7 +230,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
 
 def _score(p: grams.Piece, w: np.ndarray, rate: np.ndarray) -> np.ndarray:
     z = features(p, rate) @ w[:-1].astype(np.float32) + w[-1]
-    return np.where(p.counts() == 0, 0.0, 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))))
+    s = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+    return np.where(p.counts() == 0, 0.0, np.round(s, 6))  # the sums depend on a batch's shape beyond that
 
 
 def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
