@@ -1,7 +1,9 @@
 """The whole pipeline on tiny tables, against what each stage must keep."""
 
+import hashlib
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -55,3 +57,29 @@ def test_stages_keep_clean_documents_and_drop_the_rest(spark, tmp_path):
 def test_tables_without_text_give_no_shards(spark, tmp_path, rows):
     tables(spark, str(tmp_path), rows, [(1, "one two three four five six")])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_is_stored_in_queue_order(spark, tmp_path):
+    rng = random.Random(22)
+    rows = [(i, prose(rng, rng.randint(5, 40)), "xyyzzzz"[i % 7]) for i in range(140)]
+    tables(spark, str(tmp_path), rows, [(1, "one two three four five six")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    got = [i for f in sorted((tmp_path / "mixed").glob("part-*.parquet")) for i in pq.read_table(f)["doc_id"].to_pylist()]
+    weight, words = {"x": 3, "y": 1, "z": 2}, {i: len(t.split()) for i, t, _ in rows}
+    queues = {s: sorted((i for i, _, of in rows if of == s), key=lambda i: hashlib.md5(f"mix-1|{i}".encode()).hexdigest()) for s in weight}
+    size = {s: sum(words[i] for i in q) for s, q in queues.items()}
+    low, high = 0.0, 1e6  # the level at which the targets make 150 % of the words
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(weight[s] * level, 2 * size[s]) for s in size) < 1.5 * sum(size.values()) else (low, level)
+    want = []
+    for s, queue in queues.items():
+        at = 0
+        for i in queue * 2:
+            if at + words[i] / 2 <= min(weight[s] * level, 2 * size[s]) + 1e-6:
+                want.append(((at + words[i]) / weight[s], i))
+            at += words[i]
+    finish = [x for x, _ in sorted(want)]
+    assert len(set(finish)) > 100 and sorted(i for _, i in want) == sorted(got)
+    assert got != sorted(got) and {(x, i) for x, i in want} == set(zip(finish, got))
